@@ -1,0 +1,9 @@
+from pyspark.sql import functions as F
+
+from verbamill.plans.registry import query
+from verbamill.session import table
+
+
+@query("event_mix", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def event_mix(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
