@@ -10,6 +10,7 @@ Null and empty texts have no ids and the digests of no bytes. Repeated rows each
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from .common import chunks, map_rows, rows_of, written
 from .vocabulary import frequent_band, is_frequent, pretoken_counts
 
 #: Words whose merges are replayed together, and parts whose ids a task keeps.
-REPLAYED, KEPT = 20_000, 250_000
+REPLAYED, KEPT = 50_000, 250_000
 
 
 def load_ranks(rank_file: str) -> dict[bytes, int]:
@@ -34,82 +35,108 @@ def load_ranks(rank_file: str) -> dict[bytes, int]:
 
 
 class MergeReplay:
-    """Ids of many byte strings at once."""
+    """Packed ids (little-endian unsigned 32-bit integers) of many byte strings at once."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.names = {v: k for k, v in ranks.items()}
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int | None] = {}
-
-    def merged(self, a: int, b: int) -> int | None:
-        """The id, which is also the rank, of the pair's merge."""
-        if (a, b) not in self.pairs:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            self.pairs[a, b] = self.ranks.get(self.names[a] + self.names[b])
-        return self.pairs[a, b]
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int] | None] = [[self.ranks[w]] if w in self.ranks else None if w else [] for w in words]
-        todo = [k for k, x in enumerate(out) if x is None]
-        token: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts = []
-        for k in todo:
-            at = len(token)
-            starts.append(at)
-            token += map(self.byte_ids.__getitem__, words[k])
-            n = len(token)
-            before += [-1, *range(at, n - 1)]
-            after += [*range(at + 1, n), -1]
-        # where[p]: the rank of the pair that starts at position p, None if it has no merge
-        merged = self.merged
-        where: list[int | None] = [merged(token[p], token[q]) if (q := after[p]) >= 0 else None for p in range(len(token))]
-        index: dict[int, list[int]] = {}
-        for p, rank in enumerate(where):
-            if rank is not None:
-                index.setdefault(rank, []).append(p)
-        queue = list(index)
-        heapq.heapify(queue)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        # every pair of tokens that has a merge; the merge's id is also its rank
+        found = {ranks[w[:k]] << 17 | ranks[w[k:]]: r for w, r in ranks.items() for k in range(1, len(w)) if w[:k] in ranks and w[k:] in ranks}
+        self.keys = np.sort(np.fromiter(found, np.int64, len(found)))
+        self.merges = np.array([found[k] for k in self.keys.tolist()], np.int64)
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge, -1 where there is none."""
+        key = left << 17 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.merges[at], -1)
+
+    def one_by_one(self, word: bytes) -> bytes:
+        """The merges of a single word, lowest rank first and leftmost first."""
+        ids = [self.ranks[bytes([b])] for b in word]
+        while len(ids) > 1:
+            ranks = self.pair_ranks(np.array(ids[:-1]), np.array(ids[1:]))
+            if not (ranks >= 0).any():
+                break
+            k = int(np.where(ranks >= 0, ranks, 1 << 40).argmin())
+            ids[k : k + 2] = [int(ranks[k])]
+        return packed(ids)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        out = [packed([self.ranks[w]]) if w in self.ranks else b"" for w in words]
+        todo = [k for k, w in enumerate(words) if w and not out[k]]
+        if not todo:
+            return out
+        sizes = np.array([len(words[k]) for k in todo])
+        ends = sizes.cumsum()
+        n = int(ends[-1])
+        # position n stands for "none" on either side; no pair with it has a merge
+        token = np.append(self.byte_ids[np.frombuffer(b"".join([words[k] for k in todo]), np.uint8)], (1 << 17) - 1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends - 1], after[n] = n, n
+        before[ends - sizes], before[n] = n, n
+        alive = np.ones(n, bool)
+        where = np.append(self.pair_ranks(token[:-1], token[after[:-1]]), -1)
+        index: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def enter(places: np.ndarray) -> None:
+            ranks = where[places]
+            order = ranks.argsort(kind="stable")
+            ranks, places = ranks[order], places[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            for rank, some in zip(ranks[np.append(0, cuts)].tolist(), np.split(places, cuts)):
+                if rank in index:
+                    index[rank].append(some)
+                else:
+                    index[rank] = [some]
+                    heapq.heappush(queue, rank)
+
+        if len(places := np.flatnonzero(where >= 0)):
+            enter(places)
+        odd: set[int] = set()
         while queue:
             rank = heapq.heappop(queue)
-            places = sorted(index.pop(rank, ()))
-            for k, p in enumerate(places):
-                if where[p] != rank:
-                    continue
-                q = after[p]
-                token[p] = rank
-                after[p] = r = after[q]
-                where[q] = None
-                if r >= 0:
-                    before[r] = p
-                sooner = False
-                for left in (before[p], p):
-                    if left < 0:
-                        continue
-                    right = after[left]
-                    where[left] = new = merged(token[left], token[right]) if right >= 0 else None
-                    if new is not None:
-                        if new not in index:
-                            index[new] = []
-                            heapq.heappush(queue, new)
-                        index[new].append(left)
-                        sooner |= new < rank
-                if sooner and places[k + 1 :]:  # an earlier merge has become possible; the rest of this rank waits
-                    index.setdefault(rank, []).extend(places[k + 1 :])
-                    heapq.heappush(queue, rank)
-                    break
-        for k, at in zip(todo, starts):
-            ids = []
-            while at >= 0:
-                ids.append(token[at])
-                at = after[at]
-            out[k] = ids
+            places = index.pop(rank)
+            p = np.unique(np.concatenate(places))
+            p = p[where[p] == rank]
+            if len(p) > 1:  # of pairs that overlap, the leftmost goes first, so every other one of a run
+                joined = np.append(False, after[p[:-1]] == p[1:])
+                if joined.any():
+                    k = np.arange(len(p))
+                    p = p[(k - np.maximum.accumulate(np.where(joined, 0, k))) % 2 == 0]
+            if not len(p):
+                continue
+            q = after[p]
+            r = after[q]
+            token[p], where[q], alive[q] = rank, -1, False
+            after[p], before[r] = r, p
+            left = before[p]
+            touched = np.concatenate([p, left[left < n]])
+            where[touched] = new = self.pair_ranks(token[touched], token[after[touched]])
+            where[n] = -1
+            if (sooner := (new >= 0) & (new < rank)).any():  # bulk order would differ from rank order in these words
+                odd.update(np.searchsorted(ends, touched[sooner], "right").tolist())
+            if len(touched := touched[new >= 0]):
+                enter(touched)
+        counts = np.add.reduceat(alive, ends - sizes, dtype=np.int64)
+        ids, stops = token[:n][alive].astype("<u4").tobytes(), (counts.cumsum() * 4).tolist()
+        start = 0
+        for k, stop in zip(todo, stops):
+            out[k] = ids[start:stop]
+            start = stop
+        for k in odd:
+            out[todo[k]] = self.one_by_one(words[todo[k]])
         return out
 
 
+@functools.lru_cache(2)
+def replay_of(rank_file: str) -> MergeReplay:
+    """One for each Python worker, which serves many tasks."""
+    return MergeReplay(load_ranks(rank_file))
+
+
 def packed(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
@@ -118,12 +145,12 @@ def pretoken_ids(vocabulary: DataFrame, rank_file: str) -> DataFrame:
     """(pretoken, freq, ids): ids as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = MergeReplay(load_ranks(rank_file))
+        replay = replay_of(rank_file)
         for batch in batches:
             for at in range(0, batch.num_rows, REPLAYED):
                 part = batch.slice(at, REPLAYED)
                 ids = replay.encode([x.encode() for x in part.column(0).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([packed(x) for x in ids], pa.binary())], ["pretoken", "freq", "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], ["pretoken", "freq", "ids"])
 
     return vocabulary.select("pretoken", "freq").mapInArrow(run, "pretoken string, freq long, ids binary")
 
@@ -132,7 +159,7 @@ class BlockEncoder:
     """Packed ids of whole texts; frequent: packed ids of frequent pre-tokens."""
 
     def __init__(self, rank_file: str, frequent: dict[str, bytes]):
-        self.replay, self.frequent = MergeReplay(load_ranks(rank_file)), frequent
+        self.replay, self.frequent = replay_of(rank_file), frequent
         self.find = regex.compile(PATTERN).findall
         self.parts: dict[str, bytes] = {}
 
@@ -144,7 +171,7 @@ class BlockEncoder:
         ids = {}
         for at in range(0, len(rare), REPLAYED):
             some = rare[at : at + REPLAYED]
-            ids.update(zip(some, map(packed, self.replay.encode([x.encode() for x in some]))))
+            ids.update(zip(some, self.replay.encode([x.encode() for x in some])))
         return {x: b"".join([frequent.get(y) or ids[y] for y in found]) for x, found in split.items()}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
