@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +32,17 @@ def local_session(cpus: int | None = None, app: str = "verbamill") -> SparkSessi
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the base tables; only Spark opens the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python tasks can import it anywhere."""
+    sc = spark.sparkContext
+    if getattr(sc, "_verbamill_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    held = tempfile.mkdtemp(prefix="verbamill-code-")
+    with zipfile.ZipFile(f"{held}/verbamill_code.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(f"{held}/verbamill_code.zip")
+    sc._verbamill_shipped = True
