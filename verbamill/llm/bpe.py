@@ -22,7 +22,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_rows, rows_of, written
+from .common import chunks, in_arrow, map_rows, rows_of, written
 from .vocabulary import frequent_band, is_frequent, pretoken_counts
 
 #: Words whose merges are replayed together, and parts whose ids a task keeps.
@@ -152,7 +152,7 @@ def pretoken_ids(vocabulary: DataFrame, rank_file: str) -> DataFrame:
                 ids = replay.encode([x.encode() for x in part.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], ["pretoken", "freq", "ids"])
 
-    return vocabulary.select("pretoken", "freq").mapInArrow(run, "pretoken string, freq long, ids binary")
+    return in_arrow(vocabulary.select("pretoken", "freq"), run, "pretoken string, freq long, ids binary")
 
 
 class BlockEncoder:

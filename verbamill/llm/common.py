@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from verbamill.session import ship
+
 #: Rows turned into Python objects at a time, so that a batch of long texts is not held twice.
 ROWS_AT_ONCE = 256
 
@@ -46,6 +48,12 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
             yield list(zip(*(column.to_pylist() for column in part.columns)))
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """mapInArrow, with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, ddl)
+
+
 def map_rows(df: DataFrame, start: Callable[[], Callable[[list[tuple]], tuple | list]], schema: pa.Schema, ddl: str) -> DataFrame:
     """mapInArrow over slices of rows. start() builds a task's state and returns the function for one slice,
     which gives the output columns (lists or arrays) of that slice."""
@@ -56,7 +64,7 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[[list[tuple]], tuple |
             columns = each(rows)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(columns, schema)], schema=schema)
 
-    return df.mapInArrow(run, ddl)
+    return in_arrow(df, run, ddl)
 
 
 class Bounded(dict):

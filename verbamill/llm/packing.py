@@ -22,7 +22,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, written
+from .common import in_arrow, rows_of, written
 
 CAPACITY, END_ID = 4096, 2
 #: Parts of texts whose ids a task keeps.
@@ -82,7 +82,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int32()), *(pa.array(x, pa.int64()) for x in zip(*out))], ["block", "nth", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "block int, nth long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return in_arrow(rows, run, "block int, nth long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -167,4 +167,4 @@ def pack(docs: DataFrame, tokenizer_file: str | None = None, capacity: int = CAP
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return in_arrow(ranked, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -18,7 +18,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, rows_of, written
+from .common import Bounded, in_arrow, rows_of, written
 from .vocabulary import END, frequent_band, is_frequent, pieces_of, pretoken_counts
 
 
@@ -36,7 +36,7 @@ def piece_counts(vocabulary: DataFrame, tokenizer_file: str) -> DataFrame:
                 found = tokenizer.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(x) for x in found], pa.int32())], ["pretoken", "freq", "n_pieces"])
 
-    return vocabulary.select("pretoken", "freq").mapInArrow(run, "pretoken string, freq long, n_pieces int")
+    return in_arrow(vocabulary.select("pretoken", "freq"), run, "pretoken string, freq long, n_pieces int")
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,7 +81,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str | None = None, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(ids, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], ["rid", "doc_id", "n_bytes", "pretoken", "times"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    counted = rows.mapInArrow(run, "rid long, doc_id long, n_bytes long, pretoken string, times long").join(rare, "pretoken", "left")
+    counted = in_arrow(rows, run, "rid long, doc_id long, n_bytes long, pretoken string, times long").join(rare, "pretoken", "left")
     return (
         counted.groupBy("rid", "doc_id")
         .agg(F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("times") * F.coalesce("n_pieces", F.lit(1))).alias("n_tokens"))

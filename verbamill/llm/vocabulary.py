@@ -14,7 +14,7 @@ from public_tokenizers import PATTERN
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, rows_of
+from .common import chunks, in_arrow, rows_of
 
 #: Most entries of a dictionary that is sent to all tasks, and the most characters of an entry.
 MOST_FREQUENT, LONGEST = 1 << 17, 64
@@ -72,7 +72,7 @@ def pretoken_counts(texts: DataFrame, special: str | None = None) -> DataFrame:
         if later or first:
             yield out(later, first)
 
-    return texts.mapInArrow(run, "pretoken string, freq long").groupBy("pretoken").agg(F.sum("freq").alias("freq"))
+    return in_arrow(texts, run, "pretoken string, freq long").groupBy("pretoken").agg(F.sum("freq").alias("freq"))
 
 
 def band() -> Column:
