@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_classifier, quality_rules, token_counts, toxicity
+from . import bpe, exact_topk, fixity, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity
 from .common import table
 
 #: A document of more tokens than this is over the limit.
@@ -16,6 +16,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ids=False)
 
@@ -26,11 +31,24 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model, metadata=("n_chars",))
 
 
+def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of the pages, as the records of WARC files, against a second replica. The tables hold one copy only, so
+    the other is that copy with known damage: every 61st page's record has another last byte, every 61st is gone."""
+    records = fixity.warc_records(table(spark, sf_dir, "pages"))
+    whole = F.substring("record", 1, F.length("record") - 5)
+    damaged = records.filter(F.coalesce(F.col("page_id") % 61 != 1, F.lit(True))).withColumn("record", F.when(F.col("page_id") % 61 == 0, F.concat(whole, F.lit("~\r\n\r\n"))).otherwise(F.col("record")))
+    return fixity.audit(fixity.digests(records), fixity.digests(damaged))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("segments")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -42,11 +60,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_exact_topk": op2_exact_topk,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_classifier": op4_quality_classifier,
+    "op6_merkle_fixity": op6_merkle_fixity,
     "op7_toxicity": op7_toxicity,
+    "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The digests, offsets and damage as SQL; the trees only find the same rows without comparing all.
+OP6_SQL = """
+WITH records AS (
+  SELECT page_id, page_id // 1000 AS warc_file, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+    || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages),
+placed AS (
+  SELECT *, strlen(record) AS length, sum(strlen(record)) OVER (PARTITION BY warc_file ORDER BY page_id) - strlen(record) AS "offset" FROM records)
+SELECT CAST(warc_file AS BIGINT) AS warc_file, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, page_id,
+  CASE page_id % 61 WHEN 0 THEN 'changed' ELSE 'missing' END AS status, sha256(record) AS expected,
+  CASE page_id % 61 WHEN 0 THEN sha256(record[:-6] || '~' || chr(13) || chr(10) || chr(13) || chr(10)) END AS found
+FROM placed WHERE page_id % 61 IN (0, 1)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_merkle_fixity": OP6_SQL}
