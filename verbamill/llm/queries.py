@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_topk, fixity, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity
+from . import bpe, exact_topk, fixity, neardup, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity
 from .common import table
 
 #: A document of more tokens than this is over the limit.
@@ -31,6 +31,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model, metadata=("n_chars",))
 
 
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of the pages, as the records of WARC files, against a second replica. The tables hold one copy only, so
     the other is that copy with known damage: every 61st page's record has another last byte, every 61st is gone."""
@@ -63,6 +67,7 @@ QUERIES = {
     "op2_exact_topk": op2_exact_topk,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_minhash_neardup": op5_minhash_neardup,
     "op6_merkle_fixity": op6_merkle_fixity,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scan": op8_secret_scan,
