@@ -1,13 +1,59 @@
-"""From documents to packed training sequences, in stages that each write what the next one reads."""
+"""From documents to packed training sequences.
+
+STAGES run in order, each on all that the one before it kept; `run` writes each stage's rows as Parquet in the shared
+folder and hands the reread table to the next. All but the last return the columns of documents. Null and empty texts
+and ids, ties, repeated rows and extra columns are treated as the operators' own docstrings say; a document without
+an id is never dropped for a class or a near copy it cannot be matched with.
+
+No SQL expresses the learned stages, so ORACLE_SQL is None; tests/llm compares each stage with a brute-force version."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verbamill.llm import neardup, packing, quality_classifier, secret_scan, toxicity
+from verbamill.llm.common import table, written
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be good."""
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.keep(docs, model)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted to be toxic."""
+    return toxicity.keep(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of the smallest id; of rows that repeat an id, one."""
+    found = neardup.near_duplicates(docs)
+    dropped = written(found.filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    alone = docs.filter("doc_id IS NULL")
+    rest = docs.filter("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return rest.select(*docs.columns).unionAll(alone)
+
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with the secrets in its text masked and its length brought up to date."""
+    out = secret_scan.mask_secrets(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", quality), ("toxicity", clean), ("near_copies", distinct), ("secrets", masked), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -67,6 +67,21 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[[list[tuple]], tuple |
     return in_arrow(df, run, ddl)
 
 
+def filter_rows(df: DataFrame, columns: tuple, start: Callable[[], Callable[[list[tuple]], list[bool]]]) -> DataFrame:
+    """The rows of df for which the function that start() builds, given slices of those columns, says so. Batches are
+    cut in Arrow; other columns never become Python objects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good = start()
+        for batch in batches:
+            at = [batch.schema.get_field_index(c) for c in columns]
+            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(k, ROWS_AT_ONCE)
+                yield part.filter(pa.array(good(list(zip(*(part.column(i).to_pylist() for i in at)))), pa.bool_()))
+
+    return in_arrow(df, run, df.schema)
+
+
 class Bounded(dict):
     """A cache by key; missing keys are made by make(key), and it is emptied once it holds `limit` entries."""
 

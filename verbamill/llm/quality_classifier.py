@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, map_rows, rows_of
+from .common import filter_rows, in_arrow, map_rows, rows_of
 from .labelled import MOST_LABELLED, fold, labelled_sample
 
 WORDS, BINS, FACTORS = 1 << 14, 16, 8
@@ -145,3 +145,21 @@ def score(docs: DataFrame, model: FactorisationMachine | None, of: int = 3, held
     schema = pa.schema([("id", pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(fold(of, id_col) == held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"), *[F.col(c) for c in metadata])
     return map_rows(rows, start, schema, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def keep(docs: DataFrame, model: FactorisationMachine | None, text_col: str = "text", metadata: tuple = ()) -> DataFrame:
+    """The rows of docs that are predicted to be good, all columns as they are: each row decides for itself, so
+    nothing is joined or shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        machine = sent.value
+
+        def good(rows: list[tuple]) -> list[bool]:
+            found = [features(text, tuple(extra)) for text, *extra in rows]
+            starts = np.append(0, np.cumsum([len(i) for i, _ in found])[:-1])
+            return (machine.score(np.concatenate([i for i, _ in found]), np.concatenate([v for _, v in found]), starts) >= 0.5).tolist()
+
+        return good
+
+    return docs if model is None else filter_rows(docs, (text_col, *metadata), start)

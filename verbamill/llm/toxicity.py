@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, in_arrow, map_rows, rows_of
+from .common import Bounded, filter_rows, in_arrow, map_rows, rows_of
 from .labelled import MOST_LABELLED, fold, labelled_sample
 
 TOKENS, PREFIXES = 1 << 18, 1 << 16
@@ -210,3 +210,15 @@ def score(docs: DataFrame, model: ToxicSegments | None, of: int = 5, held_out: i
     schema = pa.schema([("id", pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("segments", passage)])
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(fold(of, id_col) == held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     return map_rows(rows, start, schema, f"id {kind}, held_out boolean, score double, predicted int, segments array<struct<start:int,end:int,score:double>>").withColumnRenamed("id", id_col)
+
+
+def keep(docs: DataFrame, model: ToxicSegments | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not predicted to be toxic, all columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        model = sent.value
+        scored = model.cache()
+        return lambda rows: (model.probability([model.statistic(*model.segments(text, scored)) for (text,) in rows]) < 0.5).tolist()
+
+    return docs if model is None else filter_rows(docs, (text_col,), start)
