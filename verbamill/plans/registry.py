@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from verbamill.plans import flagship  # noqa: F401
+    from verbamill.plans import curation, evaluation, lexicon, sequences, text_stats  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -37,4 +37,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["event_mix"](spark, sf_dir)
+    return queries()["corpus_wer_by_category"](spark, sf_dir)
