@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbamill.functions.distance import similarity
+from verbamill.functions.text import let
 from verbamill.session import ship
 
 
@@ -24,7 +25,7 @@ def leak_guard(df: DataFrame, ids: Column, held: DataFrame, held_ids: Column) ->
 def shared_ngrams(df: DataFrame, words: Column, held: DataFrame, held_words: Column, n: int, id_col: str) -> DataFrame:
     """Ids of df that share a run of n words with a held-out row. Runs of the held side are distinct first; where Spark
     finds them small it sends them out, and the larger side is not shuffled."""
-    runs = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    runs = lambda c: let(c, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))))
     known = held.select(F.explode(runs(held_words)).alias("_run")).distinct()
     return df.select(id_col, F.explode(F.array_distinct(runs(words))).alias("_run")).join(known, "_run", "left_semi").select(id_col).distinct()
 
@@ -47,8 +48,8 @@ def similar(left: DataFrame, right: DataFrame, a: str, b: str, most: int, least:
 
 def ngrams(c: Column, n: int = 3) -> Column:
     """Character n-grams of the string between two spaces."""
-    padded = F.concat(F.lit(" "), c, F.lit(" "))
-    return F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substr(padded, i, F.lit(n)))).otherwise(F.array(padded))
+    grams = lambda p: F.when(F.length(p) >= n, F.transform(F.sequence(F.lit(1), F.length(p) - n + 1), lambda i: F.substr(p, i, F.lit(n)))).otherwise(F.array(p))
+    return let(F.concat(F.lit(" "), c, F.lit(" ")), grams)
 
 
 def ngram_cosine(left: DataFrame, right: DataFrame, a: str, b: str, left_id: str, right_id: str, n: int, least: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verbamill.functions.text import let
+
 START = "<s>"
 DISCOUNT, FLOOR = 0.75, 1e-10
 
@@ -13,11 +15,15 @@ def padded(tokens: Column, n: int) -> Column:
     return F.concat(F.array_repeat(F.lit(START), n - 1), tokens) if n > 1 else tokens
 
 
+def _steps(tokens: str, n: int) -> Column:
+    """(context, word) at each token."""
+    step = lambda p, i: F.struct(F.array_join(F.slice(p, i, n - 1), " ").alias("context"), F.get(p, i + n - 2).alias("word"))
+    return let(padded(F.col(tokens), n), lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - n + 1), lambda i: step(p, i)))
+
+
 def ngrams(df: DataFrame, tokens: str, n: int) -> DataFrame:
     """(context, word): context is the n - 1 tokens before, joined by spaces."""
-    p = padded(F.col(tokens), n)
-    each = F.when(F.size(tokens) > 0, F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.struct(F.array_join(F.slice(p, i, n - 1), " ").alias("context"), F.get(p, i + n - 2).alias("word"))))
-    return df.select(F.explode(each).alias("g")).select("g.context", "g.word")
+    return df.filter(F.size(tokens) > 0).select(F.explode(_steps(tokens, n)).alias("g")).select("g.context", "g.word")
 
 
 def counts(df: DataFrame, tokens: str, order: int) -> DataFrame:
@@ -62,9 +68,7 @@ def probabilities(table: DataFrame, order: int, discount: float = DISCOUNT) -> D
 def sentence_scores(df: DataFrame, id_col: str, tokens: str, table: DataFrame, order: int) -> DataFrame:
     """(id, words, log10_p, perplexity): perplexity is 10 ^ (-log10_p / words); a probability is at least FLOOR."""
     p = probabilities(table, order)
-    pad = padded(F.col(tokens), order)
-    each = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.struct(F.array_join(F.slice(pad, i, order - 1), " ").alias("context"), F.get(pad, i + order - 2).alias("word")))
-    rows = df.filter(F.size(tokens) > 0).select(id_col, F.explode(each).alias("g")).select(id_col, "g.context", "g.word")
+    rows = df.filter(F.size(tokens) > 0).select(id_col, F.explode(_steps(tokens, order)).alias("g")).select(id_col, "g.context", "g.word")
     scored = rows.join(p.drop("count"), ["context", "word"], "left").withColumn("lp", F.log10(F.greatest(F.coalesce("p", F.lit(FLOOR)), F.lit(FLOOR))))
     out = scored.groupBy(id_col).agg(F.count("*").alias("words"), F.sum("lp").alias("log10_p"))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_p") / F.col("words")))
