@@ -1 +1,156 @@
+"""Queries over texts: cleaning, splitting, vocabularies, n-grams and language models."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from verbamill.functions import python_text
+from verbamill.functions.text import broken_reference, choice_letter, clean_transcript, dedup_key, json_body, leaderboard, length_outlier, offset_tokens, paragraphs, sentences, strip_html, tokens, whisper_like, words
+from verbamill.operators import lm, spans
+from verbamill.plans.registry import query
+from verbamill.session import ship, table
+
+TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z]+(?:''[a-z]+)?|[\\x{0600}-\\x{06ff}]+|\\d+(?:\\.\\d+)?')"
+
+
+@query("html_clean", """SELECT page_id, length(t) AS chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+ regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
+ '[\\s\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{3000}]+', ' ', 'g')) AS t FROM pages)""")
+def html_clean(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", strip_html("html").alias("t")).select("page_id", F.length("t").cast("long").alias("chars"), F.md5("t").alias("digest"))
+
+
+@query("html_unescaped")
+def html_unescaped(spark, sf_dir):
+    """Every entity that HTML names, by an Arrow function, then the cleaner."""
+    ship(spark)
+    return table(spark, sf_dir, "pages").select("page_id", F.length(clean_transcript(python_text.unescaped(F.col("html")))).alias("chars"))
+
+
+@query("sentence_split", "SELECT doc_id, len(s) AS sentences, CAST(coalesce(list_sum(list_transform(s, lambda x: length(x))), 0) AS BIGINT) AS chars FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= 10) AS s FROM documents)")
+def sentence_split(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").select("doc_id", sentences("text").alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("sentences"), F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("chars"))
+
+
+@query("paragraph_filter", """SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: len(list_filter(string_split_regex(regexp_replace(x, '\\[\\d+(?:,\\s*\\d+)*\\]', ' ', 'g'), '\\s+'), lambda y: y <> '')) BETWEEN 6 AND 220)) AS paragraphs FROM documents""")
+def paragraph_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(paragraphs("text")).cast("long").alias("paragraphs"))
+
+
+@query("vocabulary", "SELECT word, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda w: w <> '')) AS word FROM documents) GROUP BY word")
+def vocabulary(spark, sf_dir):
+    """Every distinct word with its count and how many documents hold it: words are counted within a document first."""
+    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(words("text")).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("c"))
+    return each.groupBy("word").agg(F.sum("c").alias("n"), F.count("*").alias("documents"))
+
+
+@query("top_words", "SELECT lang, word, n, r FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r]+'), lambda w: w <> '')) AS word FROM documents) GROUP BY ALL)) WHERE r <= 20")
+def top_words(spark, sf_dir):
+    """The twenty commonest words of each language."""
+    counted = table(spark, sf_dir, "documents").select("lang", F.explode(words(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")).cast("long"))
+    return ranked.filter("r <= 20")
+
+
+@query("term_coverage", """WITH t AS (SELECT DISTINCT unnest(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 5)) AS term FROM benchmark),
+ c AS (SELECT term, count(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda w: w <> '')) AS term FROM documents) WHERE term IN (SELECT term FROM t) GROUP BY term)
+ SELECT CASE WHEN n IS NULL THEN '0' WHEN n <= 5 THEN '1-5' WHEN n <= 20 THEN '6-20' WHEN n <= 100 THEN '21-100' ELSE '100+' END AS bucket, count(*) AS terms, CAST(sum(coalesce(n, 0)) AS BIGINT) AS occurrences, count(*) FILTER (n >= 30) AS strong FROM t LEFT JOIN c USING (term) GROUP BY 1""")
+def term_coverage(spark, sf_dir):
+    """How often the corpus has each term of a vocabulary, in buckets."""
+    split = lambda c: F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z]+")
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.filter(split(F.col("text")), lambda w: F.length(w) >= 5)).alias("term")).distinct()
+    found = table(spark, sf_dir, "documents").select(F.explode(split(F.col("text"))).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    n = F.col("n")
+    rows = terms.join(found, "term", "left").withColumn("bucket", F.when(n.isNull(), "0").when(n <= 5, "1-5").when(n <= 20, "6-20").when(n <= 100, "21-100").otherwise("100+"))
+    return rows.groupBy("bucket").agg(F.count("*").alias("terms"), F.sum(F.coalesce(n, F.lit(0))).alias("occurrences"), F.count_if(n >= 30).alias("strong"))
+
+
+@query("normalised_digests", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[!\"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~\\x{060c}\\x{061b}\\x{061f}]', '', 'g'), '\\s+', ' ', 'g'))) AS leaderboard, md5(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')))) AS key FROM documents")
+def normalised_digests(spark, sf_dir):
+    """Digests of two normal forms of every text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(leaderboard("text")).alias("leaderboard"), F.md5(dedup_key("text")).alias("key"))
+
+
+@query("whisper_normal_form")
+def whisper_normal_form(spark, sf_dir):
+    ship(spark)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(whisper_like(python_text.nfkd(F.col("text")))).alias("digest"))
+
+
+@query("spelled_numbers")
+def spelled_numbers(spark, sf_dir):
+    """Number words as digits, in every turn of every conversation."""
+    ship(spark)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", python_text.folded_numbers(F.col("text")).alias("text"))
+
+
+@query("token_offsets", "SELECT conv_id, turn, len(w) AS tokens, CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS chars FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^ \\t\\n\\r]+') AS w FROM conversations) WHERE len(w) > 0")
+def token_offsets(spark, sf_dir):
+    """Offsets of all tokens, told by their number and the characters that they span; a span cut out by its offsets is
+    the token itself, or the row would be absent."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", offset_tokens("text", r"[^ \t\n\r]+").alias("o")).filter(F.size("o") > 0)
+    right = F.forall("o", lambda t: F.substr(F.col("text"), t["start"] + 1, t["end"] - t["start"]) == t["text"])
+    return rows.filter(right).select("conv_id", "turn", F.size("o").cast("long").alias("tokens"), F.aggregate("o", F.lit(0).cast("long"), lambda n, t: n + t["end"] - t["start"]).alias("chars"))
+
+
+@query("broken_and_outlying", "SELECT lang, count(*) AS rows, count(*) FILTER (n = 0 OR n > 5 * 200 OR abs(n - 200) / 200.0 > 1.5) AS outliers FROM (SELECT lang, len(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda w: w <> '')) AS n FROM documents) GROUP BY lang".replace("n = 0 OR n > 5 * 200 OR ", ""))
+def broken_and_outlying(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("lang", F.size(words("text")).alias("n"), broken_reference("text").alias("broken"))
+    return rows.groupBy("lang").agg(F.count("*").alias("rows"), F.count_if(length_outlier(F.col("n"), F.lit(200)) | F.col("broken")).alias("outliers"))
+
+
+@query("json_fields", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def json_fields(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json(json_body("props"), "k long")["k"].alias("k"))
+
+
+@query("choice_letters", "SELECT role, count(*) AS turns, count(*) FILTER (regexp_matches(text, '(?:^|[^A-Za-z])([A-D])(?:[^A-Za-z]|$)')) AS chosen FROM conversations GROUP BY role")
+def choice_letters(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.count(choice_letter("text", 4)).alias("chosen"))
+
+
+def spoken(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("sid"), tokens("text").alias("tokens"))
+
+
+PADDED = f"""t AS (SELECT conv_id || '-' || turn AS sid, {TOKENS} AS w FROM conversations),
+g AS (SELECT sid, n, unnest(list_transform(range(1, len(w) + 1), lambda i: {{'context': coalesce(list_aggregate((list_concat(list_transform(range(n - 1), lambda j: '<s>'), w))[i:i + n - 2], 'string_agg', ' '), ''), 'word': w[i]}})) AS x FROM t, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) > 0),
+m AS (SELECT n, x.context AS context, x.word AS word, count(*) AS count FROM g GROUP BY ALL)"""
+
+
+@query("lm_counts", f"WITH {PADDED} SELECT CAST(n AS INTEGER) AS n, context, word, count FROM m")
+def lm_counts(spark, sf_dir):
+    return lm.counts(spoken(spark, sf_dir), "tokens", 3)
+
+
+@query("lm_continuations", f"WITH {PADDED} SELECT word, count(*) AS contexts FROM m WHERE n > 1 GROUP BY word")
+def lm_continuations(spark, sf_dir):
+    return lm.continuations(lm.counts(spoken(spark, sf_dir), "tokens", 3))
+
+
+KN = f"""{PADDED}, c AS (SELECT word, count(*) AS k FROM m WHERE n > 1 GROUP BY word), b AS (SELECT word, k / (SELECT CAST(sum(k) AS DOUBLE) FROM c) AS p FROM c),
+z AS (SELECT n, context, CAST(sum(count) AS DOUBLE) AS total, count(*) AS follows FROM m GROUP BY n, context),
+p2 AS (SELECT m.context, m.word, greatest(m.count - 0.75, 0) / total + 0.75 * follows / total * p AS p FROM m JOIN z ON z.n = 2 AND m.n = 2 AND z.context = m.context JOIN b ON b.word = m.word),
+p3 AS (SELECT m.context, m.word, greatest(m.count - 0.75, 0) / total + 0.75 * follows / total * p AS p FROM m JOIN z ON z.n = 3 AND m.n = 3 AND z.context = m.context JOIN p2 ON p2.context = substr(m.context, instr(m.context, ' ') + 1) AND p2.word = m.word)"""
+
+
+@query("kneser_ney", f"WITH {KN} SELECT context, word, round(p, 8) AS p FROM p3")
+def kneser_ney(spark, sf_dir):
+    return lm.probabilities(lm.counts(spoken(spark, sf_dir), "tokens", 3), 3).select("context", "word", F.round("p", 8).alias("p"))
+
+
+@query("sentence_perplexity", f"WITH {KN} SELECT sid, count(*) AS words, round(sum(log10(greatest(coalesce(p, 1e-10), 1e-10))), 5) AS log10_p, round(pow(10, -sum(log10(greatest(coalesce(p, 1e-10), 1e-10))) / count(*)), 4) AS perplexity FROM g LEFT JOIN p3 ON p3.context = x.context AND p3.word = x.word WHERE n = 3 GROUP BY sid")
+def sentence_perplexity(spark, sf_dir):
+    said = spoken(spark, sf_dir)
+    out = lm.sentence_scores(said, "sid", "tokens", lm.counts(said, "tokens", 3), 3)
+    return out.select("sid", "words", F.round("log10_p", 5).alias("log10_p"), F.round("perplexity", 4).alias("perplexity"))
+
+
+@query("token_windows", f"""WITH t AS (SELECT conv_id, {TOKENS} AS w FROM conversations), x AS (SELECT n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: list_aggregate(w[i:i + n - 1], 'string_agg', ' '))) AS phrase FROM t, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)
+ SELECT CAST(n AS INTEGER) AS width, count(*) AS windows, count(DISTINCT phrase) AS distinct_windows FROM x GROUP BY n""")
+def token_windows(spark, sf_dir):
+    rows = spans.token_windows(spoken(spark, sf_dir).select("sid", "tokens"), "tokens", 3)
+    counted = rows.groupBy("width", F.array_join("window", " ").alias("phrase")).agg(F.count("*").alias("c"))
+    return counted.groupBy("width").agg(F.sum("c").alias("windows"), F.count("*").alias("distinct_windows"))
