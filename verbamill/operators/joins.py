@@ -76,8 +76,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_
         return rows, n
 
     (rows, n), (asked, m) = blocks(vectors, "rb"), blocks(queries, "qb")
-    rows = rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("long"))
-    asked = asked.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long"))
+    rows = rows.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    asked = asked.withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
     def meet(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -46,3 +47,10 @@ def ship(spark: SparkSession) -> None:
             z.write(p, Path(root.name) / p.relative_to(root))
     sc.addPyFile(f"{held}/verbamill_code.zip")
     sc._verbamill_shipped = True
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one that the cluster names in spark.checkpoint.dir; one of our own where that
+    setting is absent."""
+    kept = spark.conf.get("spark.checkpoint.dir", "") or str(Path(tempfile.gettempdir()) / "verbamill-checkpoints")
+    return f"{kept.rstrip('/')}/verbamill/{name}-{uuid.uuid4().hex}"
