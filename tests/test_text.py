@@ -74,3 +74,19 @@ def test_python_measures():
     assert P.folded_numbers_of("take twenty five mg and one hundred and two") == "take 25 mg and 102"
     assert P.word_operations_of("a b", "b") == {"substitutions": 0, "deletions": 1, "insertions": 0}
     assert P.diff_blocks_of("a b c", "a x c") == [{"start": 1, "end": 2, "old": "b", "new": "x"}]
+
+
+def test_more_python_measures():
+    assert P.joined_compounds_of("blood sugar high", "bloodsugar high") == {"ref": "bloodsugar high", "hyp": "bloodsugar high"}
+    assert P.verbalised_of("take 125mg or 2.5 ml", {"mg": "milligrams"}) == "take one hundred twenty five milligrams or two point five ml"
+    assert P.sound_code_of("phone") == P.sound_code_of("fone") and P.sound_code_of("knight")[:1] == "N"
+    assert P.composite_of("panadol", "panadol") == 1.0 > P.composite_of("panadol", "insulin")
+    import numpy as np
+
+    frames = np.log(np.array([[0.6, 0.4], [0.5, 0.5]]))
+    assert np.exp(P.ctc_log_probability(frames, [1])) == pytest.approx(0.4 * 0.5 + 0.6 * 0.5 + 0.4 * 0.5)
+    assert np.exp(P.ctc_log_probability(frames, [])) == pytest.approx(0.3)
+
+
+def test_spelled_codes(spark):
+    assert one(spark, X.spelled_codes(F.lit("code a b-1 2 then x y"))) == ["ab12"]

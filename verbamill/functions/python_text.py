@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import difflib
 import html
+import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -222,3 +224,94 @@ def folded_numbers_of(text: str) -> str:
 
 def folded_numbers(c: Column) -> Column:
     return _each(folded_numbers_of, "string")(c)
+
+
+def joined_compounds_of(a: str, b: str) -> dict:
+    """Both texts with words joined wherever they differ only in where words are split."""
+    x, y = a.split(), b.split()
+    left, right = [], []
+    for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y).get_opcodes():
+        p, q = x[i:j], y[k:m]
+        if tag == "replace" and "".join(p) == "".join(q):
+            p, q = ["".join(p)], ["".join(q)]
+        left += p
+        right += q
+    return {"ref": " ".join(left), "hyp": " ".join(right)}
+
+
+def joined_compounds(ref: Column, hyp: Column) -> Column:
+    @F.pandas_udf("ref string, hyp string")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([joined_compounds_of(x or "", y or "") for x, y in zip(a, b)], columns=["ref", "hyp"])
+
+    return run(ref, hyp)
+
+
+def number_words_of(n: int) -> str:
+    """English words of a whole number below a million."""
+    small, tens = list(SMALL_NUMBERS), {v: k for k, v in TENS.items()}
+    if n < 20:
+        return small[n]
+    if n < 100:
+        return tens[n // 10 * 10] + (f" {small[n % 10]}" if n % 10 else "")
+    if n < 1000:
+        return f"{small[n // 100]} hundred" + (f" {number_words_of(n % 100)}" if n % 100 else "")
+    return f"{number_words_of(n // 1000)} thousand" + (f" {number_words_of(n % 1000)}" if n % 1000 else "")
+
+
+def verbalised_of(text: str, units: dict[str, str]) -> str:
+    """Numbers, with a unit that stands right after, as words; decimals digit by digit after the point."""
+
+    def say(m: re.Match) -> str:
+        whole, _, part = m[1].replace(",", ".").partition(".")
+        if len(whole) > 6:
+            return m[0]
+        said = number_words_of(int(whole)) + (" point " + " ".join(number_words_of(int(d)) for d in part) if part else "")
+        unit = (m[2] or "").lower()
+        return said + (f" {units.get(unit, unit)}" if unit else "")
+
+    return re.sub(r"(?<!\w)(\d+(?:[.,]\d+)?)(?:\s*([A-Za-z%]+))?", say, text)
+
+
+def verbalised(c: Column, units: dict[str, str]) -> Column:
+    return _each(lambda x: verbalised_of(x, units), "string")(c)
+
+
+def sound_code_of(word: str) -> str:
+    """A short code of how an English word sounds: silent letters dropped, digraphs and soft consonants resolved."""
+    w = re.sub(r"[^a-z]", "", word.lower())
+    for old, new in ((r"^(?:kn|gn|pn|ae|wr)", lambda m: m[0][1]), (r"^x", "s"), (r"^wh", "w"), (r"mb$", "m"), (r"sch", "sk"), (r"tch", "x"), (r"ch|sh", "x"), (r"ph", "f"), (r"th", "0"), (r"gh(?=[^aeiou]|$)", ""), (r"dg(?=[eiy])", "j"),
+                     (r"c(?=[eiy])", "s"), (r"g(?=[eiy])", "j"), (r"ck", "k"), (r"[cq]", "k"), (r"x(?=.)", "x"), (r"z", "s"), (r"v", "f"), (r"(.)\1+", r"\1")):
+        w = re.sub(old, new, w)
+    return (w[:1] + re.sub(r"[aeiouhwy]", "", w[1:])).upper()
+
+
+def composite_of(a: str, b: str) -> float:
+    """The best of a blend of spelling, spelling without separators and sound, and of the latter two with a discount;
+    the further lengths are apart, the less of it, by the square."""
+    a, b = a.lower(), b.lower()
+    x, y = re.sub(r"[\s\-_/.]", "", a), re.sub(r"[\s\-_/.]", "", b)
+    fuzzy, tight, sound = indel_ratio_of(a, b), indel_ratio_of(x, y), indel_ratio_of(sound_code_of(a), sound_code_of(b))
+    ratio = min(len(x), len(y)) / max(len(x), len(y), 1)
+    return max(0.5 * fuzzy + 0.2 * tight + 0.3 * sound, 0.92 * tight, 0.85 * sound) * (1 - (1 - ratio) ** 2)
+
+
+def composite(a: Column, b: Column) -> Column:
+    return _pairs(composite_of, "double")(a, b)
+
+
+def ctc_log_probability(frames: np.ndarray, labels: list[int], blank: int = 0) -> float:
+    """Log-probability of a label sequence under log-posteriors of (frames, symbols), summed over all alignments."""
+    path = [blank, *[s for x in labels for s in (x, blank)]]
+    a = np.full(len(path), -np.inf)
+    if not len(frames):
+        return 0.0 if not labels else -np.inf
+    a[0] = frames[0, blank]
+    if labels:
+        a[1] = frames[0, path[1]]
+    skip = np.array([k > 1 and path[k] != blank and path[k] != path[k - 2] for k in range(len(path))])
+    for f in frames[1:]:
+        one = np.append(-np.inf, a[:-1])
+        two = np.where(skip, np.append([-np.inf, -np.inf], a[:-2])[: len(a)], -np.inf)
+        a = np.logaddexp(np.logaddexp(a, one), two) + f[path]
+    return float(np.logaddexp(a[-1], a[-2]) if labels else a[-1])

@@ -259,7 +259,15 @@ def resolve(columns: Sequence[str], aliases: Sequence[str]) -> Column:
 
 
 def timestamp_seconds(c: Column | str) -> Column:
-    """mm:ss or hh:mm:ss as seconds; null if it is neither."""
-    p = F.split(F.translate(_text(c), EASTERN_DIGITS, DIGITS), ":")
+    """mm:ss or hh:mm:ss, in ASCII or Eastern digits, as seconds; null if it is neither."""
+    x = F.translate(_text(c), EASTERN_DIGITS, DIGITS)
+    p = F.split(x, ":")
     n = lambda i: F.get(p, i).cast("int")
-    return F.when(_text(c).rlike(r"^\d+:\d\d$"), n(0) * 60 + n(1)).when(_text(c).rlike(r"^\d+:\d\d:\d\d$"), n(0) * 3600 + n(1) * 60 + n(2))
+    return F.when(x.rlike(r"^\d+:\d\d$"), n(0) * 60 + n(1)).when(x.rlike(r"^\d+:\d\d:\d\d$"), n(0) * 3600 + n(1) * 60 + n(2))
+
+
+def spelled_codes(c: Column | str, tokens: int = 3, letters: int = 2) -> Column:
+    """Codes that are spelled out: runs of at least `tokens` single letters or digits, `letters` of them letters."""
+    runs = F.regexp_extract_all(F.lower(_text(c)), F.lit(r"\b[a-z0-9](?:[\s.\-]+[a-z0-9]\b){%d,}" % (tokens - 1)), 0)
+    joined = F.transform(runs, lambda r: F.regexp_replace(r, r"[\s.\-]+", ""))
+    return F.filter(joined, lambda r: F.length(F.regexp_replace(r, "[0-9]", "")) >= letters)

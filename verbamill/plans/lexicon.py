@@ -198,3 +198,13 @@ def let_cuts(part):
     starts = part.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("p_name"))))
     cuts = starts.withColumn("k", F.explode(F.sequence(F.lit(1), F.length("p_name") - F.col("i") + 1)))
     return cuts.select("p_name", "n", F.substr("p_name", "i", "k").alias("term")).distinct()
+
+
+@query("composite_scores")
+def composite_scores(spark, sf_dir):
+    """Spelling, compact spelling and sound as one score, for the pairs that lengths leave; the three best of a term."""
+    ship(spark)
+    left = names(spark, sf_dir)
+    pairs = joins.banded(left, left.select(F.col("term").alias("other")), "term", "other", 3).filter("term <> other")
+    scored = pairs.withColumn("score", python_text.composite(F.col("term"), F.col("other")))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "other"))).filter("rank <= 3")

@@ -242,3 +242,64 @@ def stream_upsert(spark, sf_dir):
     source, folder = scratch(spark, "edits"), scratch(spark, "dimension")
     table(spark, sf_dir, "events").select("user_id", "event_id", "event_type").write.json(source)
     return streams.upserted(streams.trace(spark, source, "user_id long, event_id long, event_type string"), folder, "user_id", "event_id")
+
+
+@query("ttl_cache")
+def ttl_cache(spark, sf_dir):
+    """The first event of each user and kind within five minutes, from a stream."""
+    source, folder = scratch(spark, "requests"), scratch(spark, "cache")
+    table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).write.json(source)
+    stream = streams.trace(spark, source, "event_id long, user_id long, event_type string, ts timestamp")
+    streams.run_once(streams.first_within(stream, ["user_id", "event_type"], "ts", "5 minutes"), f"{folder}/checkpoint", f"{folder}/out")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query("session_stream")
+def session_stream(spark, sf_dir):
+    """Sessions with a gap of 30 minutes that a stream has closed."""
+    source, folder = scratch(spark, "requests"), scratch(spark, "sessions")
+    table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")).write.json(source)
+    found = streams.session_windows(streams.trace(spark, source, "user_id long, ts timestamp"), "user_id", "ts", GAP, "1 hour")
+    streams.run_once(found, f"{folder}/checkpoint", f"{folder}/out")
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
+@query("failure_drilldown", "SELECT conv_id, turn, role FROM conversations WHERE length(text) > 400 AND role = 'assistant'")
+def failure_drilldown(spark, sf_dir):
+    """Reports with nested rows, unnested twice, and the rows that carry the flags."""
+    raw = F.struct("turn", "role", (F.length("text") > 400).alias("long"))
+    reports = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array(F.struct(F.lit("stage").alias("name"), F.collect_list(raw).alias("raw"))).alias("stage_reports"))
+    return reports.select("conv_id", F.explode("stage_reports").alias("s")).select("conv_id", F.explode("s.raw").alias("r")).filter("r.long AND r.role = 'assistant'").select("conv_id", "r.turn", "r.role")
+
+
+@query("registry_selection", "SELECT p_partkey AS slug, p_type AS stage FROM part WHERE (p_size % 7 <> 0 AND p_type = 'SMALL') OR p_partkey IN (7, 14)")
+def registry_selection(spark, sf_dir):
+    """Catalogue entries of a stage that are not disabled, and those asked for by name, disabled or not."""
+    part = table(spark, sf_dir, "part")
+    wanted = ((F.col("p_size") % 7 != 0) & (F.col("p_type") == "SMALL")) | F.col("p_partkey").isin(7, 14)
+    return part.filter(wanted).select(F.col("p_partkey").alias("slug"), F.col("p_type").alias("stage"))
+
+
+@query("spelled_codes", "SELECT c_custkey, array_to_string(list_filter(list_transform(regexp_extract_all(lower(s), '\\b[a-z0-9](?:[\\s.\\-]+[a-z0-9]\\b){2,}'), lambda r: regexp_replace(r, '[\\s.\\-]+', '', 'g')), lambda r: length(regexp_replace(r, '[0-9]', '', 'g')) >= 2), ',') AS codes FROM (SELECT c_custkey, 'id ' || substr(c_mktsegment, 1, 1) || ' ' || substr(c_mktsegment, 2, 1) || '-' || (c_custkey % 10) || ' end' AS s FROM customer)")
+def spelled_codes(spark, sf_dir):
+    from verbamill.functions.text import spelled_codes as codes
+
+    said = F.concat(F.lit("id "), F.substring("c_mktsegment", 1, 1), F.lit(" "), F.substring("c_mktsegment", 2, 1), F.lit("-"), (F.col("c_custkey") % 10).cast("string"), F.lit(" end"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(codes(said), ",").alias("codes"))
+
+
+@query("numbers_verbalised")
+def numbers_verbalised(spark, sf_dir):
+    """Sizes with their unit as words."""
+    ship(spark)
+    said = F.concat(F.lit("take "), F.col("p_size").cast("string"), F.lit("mg of "), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", python_text.verbalised(said, {"mg": "milligrams", "ml": "milliliters"}).alias("text"))
+
+
+@query("compounds_joined")
+def compounds_joined(spark, sf_dir):
+    """Pairs of texts that differ in where words are split, brought together before they are scored."""
+    ship(spark)
+    part = table(spark, sf_dir, "part")
+    pair = python_text.joined_compounds(F.col("p_name"), F.regexp_replace("p_name", " ", F.when(F.col("p_size") % 2 == 0, "").otherwise(" ")))
+    return part.withColumn("x", pair).select("p_partkey", "x.ref", "x.hyp")

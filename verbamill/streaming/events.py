@@ -41,3 +41,8 @@ def upserted(stream: DataFrame, folder: str, key: str, order: str) -> DataFrame:
 
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint-{uuid.uuid4().hex}").foreachBatch(merge).start().awaitTermination()
     return spark.read.parquet(last[0]) if last[0] else spark.createDataFrame([], stream.schema)
+
+
+def first_within(stream: DataFrame, keys: list[str], ts: str, ttl: str) -> DataFrame:
+    """The first event of each key within a time to live; state older than that is given up."""
+    return stream.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
