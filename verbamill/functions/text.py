@@ -15,23 +15,23 @@ from pyspark.sql import functions as F
 DIACRITICS = "[\u064b-\u065f\u0670\u0640]"
 SHORT_VOWELS = "[\u064b-\u0652]"
 TATWEEL = "\u0640"
-ALEFS, BARE_ALEF = "\u0623\u0625\u0622\u0671", "\u0627"
-EASTERN_DIGITS = "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669"
-PERSIAN_DIGITS = "\u06f0\u06f1\u06f2\u06f3\u06f4\u06f5\u06f6\u06f7\u06f8\u06f9"
+ALEFS, BARE_ALEF = "أإآٱ", "ا"
+EASTERN_DIGITS = "٠١٢٣٤٥٦٧٨٩"
+PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
 DIGITS = "0123456789"
-HAMZA, HAMZA_ON_WAW, HAMZA_ON_YA, WAW, YA = "\u0621", "\u0624", "\u0626", "\u0648", "\u064a"
-ALEF_MAKSURA, TEH_MARBUTA, HEH = "\u0649", "\u0629", "\u0647"
-ARTICLE = "\u0627\u0644"
+HAMZA, HAMZA_ON_WAW, HAMZA_ON_YA, WAW, YA = "ء", "ؤ", "ئ", "و", "ي"
+ALEF_MAKSURA, TEH_MARBUTA, HEH = "ى", "ة", "ه"
+ARTICLE = "ال"
 ARABIC = "[\u0600-\u06ff]"
 LATIN = "[A-Za-z]"
 # The consonants that sound alike once vowels are dropped.
 CONSONANT_CLASSES = {"p": "b", "v": "f", "c": "k", "g": "k", "q": "k"}
-# Prefixes written onto the next word, longest remainder first come first.
-CLITICS = ("\u0627\u0644", "\u0648\u0627\u0644", "\u0628\u0627\u0644", "\u0643\u0627\u0644", "\u0641\u0627\u0644", "\u0644\u0644", "\u0648", "\u0641", "\u0628", "\u0644", "\u0643", "\u0633")
+# Prefixes written onto the next word, in the order in which they are tried.
+CLITICS = ("ال", "وال", "بال", "كال", "فال", "لل", "و", "ف", "ب", "ل", "ك", "س")
 # Latin spelling of Arabic letters, digraphs included.
 LATIN_OF = {
-    "\u062b": "th", "\u062e": "kh", "\u0630": "dh", "\u0634": "sh", "\u063a": "gh", "\u0627": "a", "\u0628": "b", "\u062a": "t", "\u062c": "j", "\u062d": "h", "\u062f": "d", "\u0631": "r", "\u0632": "z",
-    "\u0633": "s", "\u0635": "s", "\u0636": "d", "\u0637": "t", "\u0638": "z", "\u0639": "a", "\u0641": "f", "\u0642": "q", "\u0643": "k", "\u0644": "l", "\u0645": "m", "\u0646": "n", "\u0647": "h", "\u0648": "w", "\u064a": "y", "\u0629": "a",
+    "ا": "a", "ب": "b", "ت": "t", "ث": "th", "ج": "j", "ح": "h", "خ": "kh", "د": "d", "ذ": "dh", "ر": "r", "ز": "z", "س": "s", "ش": "sh", "ص": "s", "ض": "d",
+    "ط": "t", "ظ": "z", "ع": "a", "غ": "gh", "ف": "f", "ق": "q", "ك": "k", "ل": "l", "م": "m", "ن": "n", "ه": "h", "و": "w", "ي": "y", "ة": "a",
 }
 # The entities that pages use most.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -84,9 +84,9 @@ def aggressive(c: Column | str) -> Column:
 def leaderboard(c: Column | str) -> Column:
     """Punctuation deleted without a space, short vowels dropped, two Persian letters and hamza forms folded, teh
     marbuta kept."""
-    x = F.regexp_replace(_text(c), r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~\u060c\u061b\u061f]""", "")
+    x = F.regexp_replace(_text(c), r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~،؛؟]""", "")
     x = F.regexp_replace(x, SHORT_VOWELS, "")
-    x = F.translate(x, "\u067e\u06a4" + "\u0622\u0623\u0625" + HAMZA_ON_WAW + HAMZA_ON_YA + EASTERN_DIGITS + HAMZA, "\u0628\u0641" + BARE_ALEF * 3 + WAW + YA + DIGITS)
+    x = F.translate(x, "پڤ" + "آأإ" + HAMZA_ON_WAW + HAMZA_ON_YA + EASTERN_DIGITS + HAMZA, "بف" + BARE_ALEF * 3 + WAW + YA + DIGITS)
     return squeezed(x)
 
 
