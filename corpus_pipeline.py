@@ -13,15 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbamill.llm import neardup, packing, quality_classifier, secret_scan, toxicity
-from verbamill.llm.common import table, written
+from verbamill.llm.common import spread, table, written
 
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good."""
-    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.keep(docs, model)
+    docs = spread(docs)
+    return quality_classifier.keep(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -15,12 +18,20 @@ from verbamill.session import ship
 
 #: Rows turned into Python objects at a time, so that a batch of long texts is not held twice.
 ROWS_AT_ONCE = 256
+#: Rows of an Arrow batch at most; a session that asks for fewer is left as it is.
+BATCH_KEY, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt evenly where a table comes in fewer parts than there are cores to work on them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where the setting is absent."""
     kept = spark.conf.get("spark.checkpoint.dir", "")
@@ -40,27 +51,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+def rows_of(batches: Iterator[pa.RecordBatch], at_once: int = ROWS_AT_ONCE) -> Iterator[list[tuple]]:
     """Slices of Arrow batches as lists of row tuples."""
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            part = batch.slice(at, ROWS_AT_ONCE)
+        for at in range(0, batch.num_rows, at_once):
+            part = batch.slice(at, at_once)
             yield list(zip(*(column.to_pylist() for column in part.columns)))
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
-    """mapInArrow, with this package on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, ddl)
+    """mapInArrow, with this package on the executors, in batches that stay small where texts are long. Workers serve
+    many tasks; what a task held goes back to the system at its end."""
+    spark = df.sparkSession
+    ship(spark)
+    if int(spark.conf.get(BATCH_KEY)) > MOST_ROWS:
+        spark.conf.set(BATCH_KEY, str(MOST_ROWS))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, ddl)
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def map_rows(df: DataFrame, start: Callable[[], Callable[[list[tuple]], tuple | list]], schema: pa.Schema, ddl: str) -> DataFrame:
+def map_rows(df: DataFrame, start: Callable[[], Callable[[list[tuple]], tuple | list]], schema: pa.Schema, ddl: str, at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """mapInArrow over slices of rows. start() builds a task's state and returns the function for one slice,
     which gives the output columns (lists or arrays) of that slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
-        for rows in rows_of(batches):
+        for rows in rows_of(batches, at_once):
             columns = each(rows)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(columns, schema)], schema=schema)
 
@@ -85,7 +112,7 @@ def filter_rows(df: DataFrame, columns: tuple, start: Callable[[], Callable[[lis
 class Bounded(dict):
     """A cache by key; missing keys are made by make(key), and it is emptied once it holds `limit` entries."""
 
-    def __init__(self, make: Callable, limit: int = 300_000):
+    def __init__(self, make: Callable, limit: int = 150_000):
         super().__init__()
         self.make, self.limit = make, limit
 

@@ -26,7 +26,7 @@ from .common import in_arrow, rows_of, written
 
 CAPACITY, END_ID = 4096, 2
 #: Parts of texts whose ids a task keeps.
-KEPT = 250_000
+KEPT = 150_000
 
 
 class PartTokenizer:

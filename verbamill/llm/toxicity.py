@@ -80,7 +80,7 @@ class ToxicSegments:
         return float(np.log((self.toxic[k] + TOKEN_PRIOR * share) / (self.clean[k] + TOKEN_PRIOR * (1 - share)))) - DRIFT
 
     def cache(self) -> Bounded:
-        return Bounded(self.token_score, 250_000)
+        return Bounded(self.token_score)
 
     def segments(self, text: str | None, scored: Bounded) -> tuple[int, list[tuple[int, int, float]]]:
         words = tokens(text)
