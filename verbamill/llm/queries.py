@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_topk, fixity, neardup, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity
-from .common import table
+from .common import spread, table
 
 #: A document of more tokens than this is over the limit.
 TOKEN_LIMIT = 512
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+    return token_counts.token_counts(documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,17 +26,17 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), ids=False)
+    return bpe.encode_documents(documents(spark, sf_dir), ids=False)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), metadata=("n_chars",))
     return quality_classifier.score(docs, model, metadata=("n_chars",))
 
 
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+    return neardup.near_duplicates(documents(spark, sf_dir), words=4, percent=80)
 
 
 def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,16 +49,16 @@ def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("segments")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    return secret_scan.find_secrets(documents(spark, sf_dir))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(documents(spark, sf_dir))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +94,56 @@ SELECT CAST(warc_file AS BIGINT) AS warc_file, CAST("offset" AS BIGINT) AS "offs
 FROM placed WHERE page_id % 61 IN (0, 1)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_merkle_fixity": OP6_SQL}
+#: Integer inner products of all pairs.
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+#: Every pair that shares a shingle, counted; then the smallest id that links reach.
+OP5_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+c AS (SELECT md5(array_to_string(list_sort(g), chr(10))) AS k, min(doc_id) AS rep, any_value(g) AS g, any_value(len(g)) AS n FROM s WHERE len(g) > 0 GROUP BY 1),
+x AS (SELECT rep, n, unnest(g) AS sh FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.sh = b.sh AND a.rep < b.rep GROUP BY 1, 2),
+e AS (SELECT a, b FROM p WHERE 100 * common >= 80 * (na + nb - common)),
+links AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT rep AS node, rep AS seen FROM c UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
+label AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
+member AS (SELECT s.doc_id, c.rep FROM s JOIN c ON md5(array_to_string(list_sort(s.g), chr(10))) = c.k)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, coalesce(component, n.doc_id) AS component_id, n.doc_id = coalesce(component, n.doc_id) AS kept
+FROM n LEFT JOIN member m ON m.doc_id = n.doc_id LEFT JOIN label ON label.node = m.rep
+"""
+
+#: The counts by windows as rows, and the hosts' shrunk rates.
+OP10_SQL = """
+WITH x AS (
+  SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda z: z <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda z: regexp_matches(z, '[^ \\x09-\\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - 3), lambda i: {'i': i, 'g': array_to_string(words[i:i + 4], ' ')})) AS u FROM x WHERE len(words) >= 5),
+d AS (SELECT doc_id, u.i AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, u.g) AS n FROM g) WHERE n > 1),
+m AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM d) GROUP BY doc_id),
+c AS (
+  SELECT doc_id, host, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(m.n, 0) AS n_repeat_words FROM x LEFT JOIN m USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS k FROM f GROUP BY host),
+q AS (SELECT avg(k / n) AS mean, var_pop(k / n) AS var FROM h),
+r AS (SELECT mean, CASE WHEN var > 0 THEN greatest(1.0, least(1000.0, mean * (1 - mean) / var - 1)) ELSE 1000.0 END AS strength FROM q),
+v AS (SELECT host, (k + mean * strength) / (n + strength) >= 0.6 AS failed FROM h, r)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT failed AS kept FROM f JOIN v USING (host)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op5_minhash_neardup": OP5_SQL, "op6_merkle_fixity": OP6_SQL, "op10_quality_rules": OP10_SQL}
