@@ -9,7 +9,8 @@
 3. In each band's bucket every class is checked against the smallest id alone: as many pairs as members, never all.
    The pairs are confirmed on full sets, and linked classes are joined into components.
 4. Buckets that still hold several components are settled exactly: members that a sketch comparison leaves a chance to
-   link across components are compared on full sets, block by block, and only links that join components are kept.
+   link across components are compared on full sets, block by block, each pair in the first band where it meets, and
+   only links that join components are kept.
 5. Components come from alternating large-star and small-star steps on tables in the shared folder.
 
 Documents without words have an empty set and are linked with nothing. Null ids are linked with nothing either: their
@@ -119,14 +120,14 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
     return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, words: int, sketches: bool = True) -> DataFrame:
-    """(doc_id, shingles, marks): marks are a byte of each coordinate of the sketch."""
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, shingles, marks): marks are two bytes of each coordinate of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for rows in rows_of(batches):
             found = [shingles(text) for _, text in rows]
-            marks = [sketch(s).astype(np.uint8).tobytes() if len(s) else b"" for s in found]
+            marks = [sketch(s).astype("<u2").tobytes() if len(s) else b"" for s in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["doc_id", "shingles", "marks"])
 
     return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, shingles array<long>, marks binary")
@@ -211,12 +212,15 @@ def settle(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for key, rows in by_group(batches, 4):
             rows.sort(key=lambda r: r[1])
             own, ids, labels, sizes = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2, 4))
-            marks = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), COORDINATES)
+            marks = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(len(rows), COORDINATES)
             hit = np.zeros(len(rows), bool)
             for i in range(len(rows)):
                 j = np.flatnonzero((labels != labels[i]) & ((own != own[i]) | (key[2] == key[3])) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
                 if len(j):
-                    hit[i] = ((marks[j] == marks[i]).mean(1) >= least).any()
+                    same = marks[j] == marks[i]
+                    # a pair that met in an earlier band is settled there
+                    met = same[:, : WIDTH * key[0]].reshape(len(j), key[0], WIDTH).all(2).any(1)
+                    hit[i] = ((same.mean(1) >= least) & ~met).any()
             if not hit.any():
                 continue
             # the same members meet in many bands; within a task they are settled once
