@@ -41,8 +41,11 @@ class MergeReplay:
         self.ranks = ranks
         self.names = {v: k for k, v in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        # every pair of tokens that has a merge; the merge's id is also its rank
-        found = {ranks[w[:k]] << 17 | ranks[w[k:]]: r for w, r in ranks.items() for k in range(1, len(w)) if w[:k] in ranks and w[k:] in ranks}
+        self.last_ids = self.byte_ids
+        self.index_pairs({ranks[w[:k]] << 17 | ranks[w[k:]]: r for w, r in ranks.items() for k in range(1, len(w)) if w[:k] in ranks and w[k:] in ranks})
+
+    def index_pairs(self, found: dict[int, int]) -> None:
+        """found: for every pair of tokens that has a merge, the merge's id, which is also its rank."""
         self.keys = np.sort(np.fromiter(found, np.int64, len(found)))
         self.merges = np.array([found[k] for k in self.keys.tolist()], np.int64)
 
@@ -54,7 +57,8 @@ class MergeReplay:
 
     def one_by_one(self, word: bytes) -> bytes:
         """The merges of a single word, lowest rank first and leftmost first."""
-        ids = [self.ranks[bytes([b])] for b in word]
+        raw = np.frombuffer(word, np.uint8)
+        ids = [*self.byte_ids[raw[:-1]].tolist(), int(self.last_ids[raw[-1]])]
         while len(ids) > 1:
             ranks = self.pair_ranks(np.array(ids[:-1]), np.array(ids[1:]))
             if not (ranks >= 0).any():
@@ -72,7 +76,9 @@ class MergeReplay:
         ends = sizes.cumsum()
         n = int(ends[-1])
         # position n stands for "none" on either side; no pair with it has a merge
-        token = np.append(self.byte_ids[np.frombuffer(b"".join([words[k] for k in todo]), np.uint8)], (1 << 17) - 1)
+        raw = np.frombuffer(b"".join([words[k] for k in todo]), np.uint8)
+        token = np.append(self.byte_ids[raw], (1 << 17) - 1)
+        token[ends - 1] = self.last_ids[raw[ends - 1]]
         after, before = np.arange(1, n + 2), np.arange(-1, n)
         after[ends - 1], after[n] = n, n
         before[ends - sizes], before[n] = n, n

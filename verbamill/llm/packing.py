@@ -11,7 +11,10 @@ Null and empty texts are a document of the end id alone. Repeated rows are packe
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -22,42 +25,94 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, rows_of, written
+from .bpe import MergeReplay
+from .common import MOST_ROWS, Bounded, in_arrow, rows_of, written
 
 CAPACITY, END_ID = 4096, 2
 #: Parts of texts whose ids a task keeps.
-KEPT = 150_000
+KEPT = 300_000
+
+
+#: A word of Latin letters that no normal form changes, and marks after it that are tokens apart from it.
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
+
+
+#: Latin-1 by kind: full stops and commas, letters with digits and white space, other marks.
+_KINDS = bytes(ord(",") if chr(b) in ".," else ord("a") if chr(b).isalnum() or chr(b) in " \t\n\r\x0b\x0c\x85\xa0" else ord("!") for b in range(256))
+
+
+def simplified(text: str) -> str:
+    """The text with fewer distinct parts, and the same tokens: lower case, full stops and commas set apart. Texts
+    beyond Latin-1, in which lower case and normal form are the characters' own, and texts that may hold a special
+    token stay as they are."""
+    try:
+        kinds = text.encode("latin-1").translate(_KINDS)
+    except UnicodeEncodeError:
+        return text
+    if "<|" in text:
+        return text
+    text = text.lower()
+    if b",," in kinds or b"!," in kinds or b",!" in kinds:  # beside another mark they may be one token with it
+        return text
+    return text.replace(",", " , ").replace(".", " . ")
+
+
+class WordReplay(MergeReplay):
+    """The merges of a vocabulary whose words end in a mark of their own, for words alone."""
+
+    def __init__(self, tokenizer_file: str):
+        with open(tokenizer_file, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        end, vocabulary, merges = model["end_of_word_suffix"], model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        # bytes that print stand for themselves in the file, others for the code points from 256 on
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printed]
+        char = {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(others)}
+        self.ranks: dict[bytes, int] = {}
+        self.byte_ids = np.array([vocabulary[char[b]] for b in range(256)], np.int64)
+        self.last_ids = np.array([vocabulary[char[b] + end] for b in range(256)], np.int64)
+        made = [vocabulary[a + b] for a, b in merges]
+        if made != sorted(made):
+            raise ValueError("ids of merges must rise with their rank")
+        self.index_pairs({vocabulary[a] << 17 | vocabulary[b]: i for (a, b), i in zip(merges, made)})
+
+
+@functools.lru_cache(2)
+def word_replay_of(tokenizer_file: str) -> WordReplay:
+    return WordReplay(tokenizer_file)
 
 
 class PartTokenizer:
     """Packed ids of whole texts. The vocabulary drops white space and joins nothing across it, so each part between
-    spaces is encoded once and looked up afterwards."""
+    spaces is encoded once and looked up afterwards: plain words by a replay of the merges over all new ones, anything
+    else by the library itself."""
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer, self.replay = Tokenizer.from_file(tokenizer_file), word_replay_of(tokenizer_file)
         self.parts: dict[str, bytes] = {"": b""}
-
-    def ids(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        self.marks = Bounded(lambda x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes())
+        self.marks[""] = b""
+
+    def learn(self, new: list[str]) -> None:
+        split = [_WORD(x) for x in new]
+        plain = [(x, m[1].lower(), m[2]) for x, m in zip(new, split) if m]
+        rest = [x for x, m in zip(new, split) if not m]
+        words = list({w for _, w, _ in plain})
+        ids = dict(zip(words, self.replay.encode([w.encode() for w in words])))
+        marks = self.marks
+        self.parts.update([(x, ids[w] + marks[m] if m else ids[w]) for x, w, m in plain])
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
+        self.parts.update([(x, np.array(y.ids, "<u4").tobytes()) for x, y in zip(rest, found)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.parts) > KEPT:
             self.parts = {"": b""}
-        parts = self.parts
-        cut = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
-        # a full stop or comma after a letter is a token of its own: such parts are made of two others
-        new = set(chain.from_iterable(cut)).difference(parts)
-        ending = {x for x in new if len(x) > 1 and x[-1] in ".," and x[-2].isalpha()}
-        base = {x[:-1] for x in ending}.union((".", ","))
-        todo = [x for x in base.union(new - ending) if x not in parts]
-        if todo:
-            found = self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)
-            parts.update((x, np.array(y.ids, "<u4").tobytes()) for x, y in zip(todo, found))
-        parts.update([(x, parts[x[:-1]] + parts[x[-1]]) for x in ending])
-        get = parts.__getitem__
+        cut = [simplified(x).replace("\n", " ").split(" ") if x else [] for x in texts]
+        self.learn(list(set(chain.from_iterable(cut)).difference(self.parts)))
+        get = self.parts.__getitem__
         return [b"".join(map(get, x)) for x in cut]
 
 
@@ -70,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
 
         block, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         tokenizer, end = PartTokenizer(tokenizer_file), np.array([end_id], "<u4").tobytes()
-        for rows in rows_of(batches):
+        for rows in rows_of(batches, MOST_ROWS):
             out = []
             for (doc_id, _), ids in zip(rows, tokenizer.encode([x for _, x in rows])):
                 ids += end
