@@ -22,7 +22,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, in_arrow, map_rows, rows_of, written
+from .common import MOST_ROWS, chunks, in_arrow, map_rows, rows_of, written
 from .vocabulary import frequent_band, is_frequent, pretoken_counts
 
 #: Words whose merges are replayed together, and parts whose ids a task keeps.
@@ -105,8 +105,8 @@ class MergeReplay:
         while queue:
             rank = heapq.heappop(queue)
             places = index.pop(rank)
-            p = np.unique(np.concatenate(places))
-            p = p[where[p] == rank]
+            p = np.sort(np.concatenate(places))
+            p = p[np.append(True, p[1:] != p[:-1]) & (where[p] == rank)]
             if len(p) > 1:  # of pairs that overlap, the leftmost goes first, so every other one of a run
                 joined = np.append(False, after[p[:-1]] == p[1:])
                 if joined.any():
@@ -224,5 +224,5 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, id_col: str
         return each
 
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.binary())] * ids
-    out = map_rows(docs, start, pa.schema(fields), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids)
+    out = map_rows(docs, start, pa.schema(fields), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids, MOST_ROWS)
     return out.withColumnRenamed("doc_id", id_col)
