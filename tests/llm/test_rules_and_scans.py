@@ -65,6 +65,21 @@ def test_novel_secrets_and_masking(docs_of):
     assert [r["text"] for r in out] == ["[SECRET] x", None, "plain"] and out[0]["score"] == "x"
 
 
+def test_every_run_near_a_sensitive_word_is_tested():
+    scan = secret_scan.Scanner().scan
+    first, second = "Zx81kQpL0vT3mNw7RyBs", "Qw93nBvC5xLz2aSdF7gH"
+
+    def found(text):
+        return [text[a:b] for a, k, b in scan(text)[1] if k == 3]
+
+    assert found(f"credential production-database-server is {first}") == [first]  # a plain word comes first
+    assert found(f"credentials: {first}, {second}") == [first, second]
+    assert found(f"credentials: {'0a' * 12} {second}") == [second]  # after a base span
+    assert found(f"credentials: abcdefghijklmnopqrstuvwxyz0123456789 {second}") == [second]  # after a run that is not novel
+    assert found(f"credential {'.' * (secret_scan.NEAR - 1)}{first}") == [first] and not found(f"credential {'.' * secret_scan.NEAR}{first}")
+    assert found(f"credential {first * 40}") == [] and found(f"credential auth {first}, bearer {second}") == [first, second]  # each once
+
+
 def test_fixity_finds_each_damage(spark):
     pages = spark.range(5000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), F.col("id")).alias("url"), F.repeat(F.lit("z"), (F.col("id") % 300).cast("int")).alias("html"))
     records = fixity.warc_records(pages).cache()

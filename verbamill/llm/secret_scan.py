@@ -26,7 +26,7 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{%d,}" % HEX_LEAST
 KINDS = ("assign", "access", "hex", "novel")
 #: Words after which an unbroken run may be a secret.
 SENSITIVE = r"(?i:pass|secret|token|api.?key|access.?key|private.?key|credential|bearer|auth|pwd)"
-RUN = r"[A-Za-z0-9+/_=-]{16,}"
+RUN, REST = r"[A-Za-z0-9+/_=-]{16,}", r"[A-Za-z0-9+/_=-]*"
 NEAR, SHORTEST, AROUND, NOVEL = 48, 16, 2048, 0.7
 #: Identifiers of common code and configuration.
 IDENTIFIERS = (
@@ -47,7 +47,7 @@ class Scanner:
 
         self.zstandard = zstandard
         self.assign, self.access, self.hex = (re.compile(x) for x in (ASSIGN, ACCESS, HEX))
-        self.sensitive, self.run = re.compile(SENSITIVE), re.compile(RUN)
+        self.sensitive, self.run, self.rest = (re.compile(x) for x in (SENSITIVE, RUN, REST))
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, place of the kind, end)."""
@@ -66,18 +66,17 @@ class Scanner:
     def novel(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         out, through = [], -1
         for word in self.sensitive.finditer(text):
-            m = self.run.search(text, max(word.end(), through), word.end() + NEAR + 512)
-            if m is None or m.start() > word.end() + NEAR:
-                continue
-            end = m.end()
-            while end < len(text) and re.match(r"[A-Za-z0-9+/_=-]", text[end]):  # the run may pass the stretch searched
-                end += 1
-            start, run = m.start(), text[m.start() : end]
-            through = end
-            if not (re.search(r"[0-9]", run) and re.search(r"[A-Za-z]", run)) or any(a < end and start < b for a, _, b in base):
-                continue
-            if self.cost(text[max(0, start - AROUND) : start], run, text[end : end + AROUND]) >= NOVEL * len(run):
-                out.append((start, 3, end))
+            # every run that starts near the word; those that an earlier word has led to are tested already
+            while m := self.run.search(text, max(word.end(), through), word.end() + NEAR + SHORTEST):
+                if m.start() > word.end() + NEAR:
+                    break
+                start, end = m.start(), self.rest.match(text, m.end()).end()  # the run may pass the stretch searched
+                run = text[start:end]
+                through = end
+                if not (re.search(r"[0-9]", run) and re.search(r"[A-Za-z]", run)) or any(a < end and start < b for a, _, b in base):
+                    continue
+                if self.cost(text[max(0, start - AROUND) : start], run, text[end : end + AROUND]) >= NOVEL * len(run):
+                    out.append((start, 3, end))
         return out
 
     def scan(self, text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
