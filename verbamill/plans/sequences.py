@@ -246,12 +246,13 @@ def stream_upsert(spark, sf_dir):
 
 @query("ttl_cache")
 def ttl_cache(spark, sf_dir):
-    """The first event of each user and kind within five minutes, from a stream."""
+    """The first event of each user and kind within five minutes, over all events that a stream has brought."""
     source, folder = scratch(spark, "requests"), scratch(spark, "cache")
-    table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).write.json(source)
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    rows.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(source)  # milliseconds only by default
     stream = streams.trace(spark, source, "event_id long, user_id long, event_type string, ts timestamp")
-    streams.run_once(streams.first_within(stream, ["user_id", "event_type"], "ts", "5 minutes"), f"{folder}/checkpoint", f"{folder}/out")
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    streams.run_once(stream, f"{folder}/checkpoint", f"{folder}/out")
+    return streams.first_within(spark.read.schema(stream.schema).parquet(f"{folder}/out"), ["user_id", "event_type"], "ts", "5 minutes")
 
 
 @query("session_stream")

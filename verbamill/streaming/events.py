@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbamill.session import ship
+
 
 def trace(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Events as they arrive in a folder of JSON Lines; a payload that is not JSON becomes text."""
@@ -43,6 +47,25 @@ def upserted(stream: DataFrame, folder: str, key: str, order: str) -> DataFrame:
     return spark.read.parquet(last[0]) if last[0] else spark.createDataFrame([], stream.schema)
 
 
-def first_within(stream: DataFrame, keys: list[str], ts: str, ttl: str) -> DataFrame:
-    """The first event of each key within a time to live; state older than that is given up."""
-    return stream.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
+def first_within(events: DataFrame, keys: list[str], ts: str, ttl: str) -> DataFrame:
+    """The events that find no entry of their keys in a cache with a time to live, in the order of their times; each
+    makes an entry, which an event more than `ttl` later no longer finds. Takes all events that have arrived, so the
+    result depends neither on their batches nor on the order of arrival. Ties go to the least of the other columns;
+    null keys are one key; an event without a time finds nothing and makes no entry. A task holds one entry at a time."""
+    columns, until = events.columns, f"_until_{uuid.uuid4().hex}"
+
+    def misses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = end = None
+        for b in batches:
+            times, ends = (b.column(b.schema.get_field_index(c)).cast(pa.int64()).to_pylist() for c in (ts, until))
+            taken = []
+            for key, at, last in zip(zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in keys)), times, ends):
+                if miss := at is None or key != held or at > end:
+                    if at is not None:
+                        held, end = key, last
+                taken.append(miss)
+            yield b.filter(pa.array(taken, pa.bool_())).select(columns)
+
+    ship(events.sparkSession)
+    dealt = events.withColumn(until, F.col(ts) + F.expr(f"INTERVAL {ttl}")).repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, ts, *[c for c in columns if c not in {*keys, ts}]).mapInArrow(misses, events.schema)
