@@ -85,3 +85,14 @@ def test_every_coordinate_fills_and_estimates():
     base = np.array([random.getrandbits(64) for _ in range(1100)], np.uint64)
     a, b = np.unique(base[:1000]), np.unique(base[100:])
     assert abs((neardup.sketch(a) == neardup.sketch(b)).mean() - 900 / 1100) < 0.08
+
+
+@pytest.mark.parametrize("met", [False, True])
+def test_pairs_are_left_only_to_bands_where_they_met(spark, met):
+    """Two sets whose marks agree throughout meet in band 1; only equal hashes of band 0 would have settled them there."""
+    marks, shingles = bytes(2 * neardup.COORDINATES), list(range(100))
+    first = [7, 7 if met else 8]
+    sets = [(i, shingles, bytearray(marks), bytearray(np.array([first[i], *range(1, neardup.BANDS)], "<u8").tobytes())) for i in (0, 1)]
+    sets = spark.createDataFrame(sets, "doc_id long, shingles array<long>, marks binary, bands binary")
+    members = spark.createDataFrame([(1, 1, i, i) for i in (0, 1)], "band int, key long, doc_id long, component long")
+    assert [tuple(sorted(r)) for r in neardup.settle(members, sets, 80).collect()] == ([] if met else [(0, 1)])

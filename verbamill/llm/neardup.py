@@ -121,16 +121,19 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, shingles, marks): marks are two bytes of each coordinate of the sketch."""
+    """(doc_id, shingles, marks, bands): marks are two bytes of each coordinate of the sketch, bands the bytes of its
+    band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for rows in rows_of(batches):
             found = [shingles(text) for _, text in rows]
-            marks = [sketch(s).astype("<u2").tobytes() if len(s) else b"" for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["doc_id", "shingles", "marks"])
+            values = [sketch(s) if len(s) else None for s in found]
+            marks = [b"" if v is None else v.astype("<u2").tobytes() for v in values]
+            hashes = [b"" if v is None else bands(v).astype("<u8").tobytes() for v in values]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(hashes, pa.binary())], ["doc_id", "shingles", "marks", "bands"])
 
-    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, shingles array<long>, marks binary")
+    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, shingles array<long>, marks binary, bands binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -213,13 +216,14 @@ def settle(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             rows.sort(key=lambda r: r[1])
             own, ids, labels, sizes = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2, 4))
             marks = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(len(rows), COORDINATES)
+            earlier = np.frombuffer(b"".join(r[5] for r in rows), "<u8").reshape(len(rows), key[0])
             hit = np.zeros(len(rows), bool)
             for i in range(len(rows)):
                 j = np.flatnonzero((labels != labels[i]) & ((own != own[i]) | (key[2] == key[3])) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
                 if len(j):
                     same = marks[j] == marks[i]
-                    # a pair that met in an earlier band is settled there
-                    met = same[:, : WIDTH * key[0]].reshape(len(j), key[0], WIDTH).all(2).any(1)
+                    # a pair that met in an earlier band is settled there; the marks alone cannot tell that it met
+                    met = (earlier[j] == earlier[i]).any(1)
                     hit[i] = ((same.mean(1) >= least) & ~met).any()
             if not hit.any():
                 continue
@@ -232,7 +236,7 @@ def settle(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             n = int(hit.sum())
             yield pa.RecordBatch.from_arrays([pa.array([digest] * n, pa.binary()), pa.array([key[2] == key[3]] * n, pa.bool_()), *(pa.array(x[hit], pa.int64()) for x in (own, ids, labels))], ["digest", "alone", "own", "doc_id", "component"])
 
-    marked = groups.join(sets.select("doc_id", "marks", F.size("shingles").cast("long").alias("size")), "doc_id").select(*keys, "own", "doc_id", "component", "marks", "size")
+    marked = groups.join(sets.select("doc_id", "marks", "bands", F.size("shingles").cast("long").alias("size")), "doc_id").select(*keys, "own", "doc_id", "component", "marks", "size", F.expr("substring(bands, 1, 8 * band)").alias("earlier"))
     spread = marked.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
     # one group of those with the same members, whatever bands they met in
     chosen = in_arrow(spread, near, "digest binary, alone boolean, own long, doc_id long, component long").distinct()
