@@ -1,17 +1,24 @@
 """Token counts, byte-level BPE and packing against the libraries, on hard texts."""
 
 import hashlib
+import os
 import random
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from verbamill.llm import bpe, packing, token_counts
+from verbamill.llm.ragged import Ragged
+
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -45,11 +52,48 @@ def test_byte_bpe_round_trip(docs_of, texts):
 
 
 def test_merge_replay_matches_one_by_one():
-    replay = bpe.MergeReplay(bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")))
+    replay = bpe.replay_of(P.path("byte_bpe_50k.tiktoken"))
     random.seed(5)
     words = [bytes(random.choice(b"aabt he\xc3\xa9") for _ in range(random.randint(1, 30))) for _ in range(500)]
-    words = [w for w in words if w not in replay.ranks]
-    assert replay.encode(words) == [replay.one_by_one(w) for w in words]
+    found = replay.encode(Ragged.of(words, np.uint8))
+    assert [found.run(k).tolist() for k in range(len(words))] == [replay.one_by_one(w) for w in words]
+    own = tiktoken.Encoding("own", pat_str=".+", mergeable_ranks=replay.ranks, special_tokens={})
+    assert [replay.one_by_one(w) for w in words if w not in replay.ranks] == [own._encode_single_piece(w) for w in words if w not in replay.ranks]
+
+
+def test_a_long_word_takes_no_quadratic_time():
+    replay, word = bpe.replay_of(P.path("byte_bpe_50k.tiktoken")), bytes(random.Random(1).choice(b"abcdefgh") for _ in range(200_000))
+    began = time.perf_counter()
+    assert bytes().join(replay.names[k] for k in replay.one_by_one(word)) == word and time.perf_counter() - began < 20
+
+
+SCRIPTS = ["abcdefghij ABC", "éàüßñçÉÀÜ  ", "абвгд жзи", "العربية  ", "日本語テキスト", "😀🎉 ‍️", "0123456789 ", ".,;:!?-_'\"()[]{}#$%&*+/<=>@\\^`|~", "\t\n\r\x0b\x0c\x1c\x85\xa0\u2003 ", "the and ing tion 's 'll "]
+
+
+def mixed_texts(n):
+    rng = random.Random(11)
+    return ["".join(rng.choice(rng.choice(SCRIPTS)) for _ in range(rng.randint(0, 40))) for _ in range(n)]
+
+
+def all_texts():
+    if not os.path.isdir(SF):
+        return mixed_texts(6000)
+    return mixed_texts(6000) + pq.read_table(f"{SF}/documents.parquet").column("text").to_pylist()
+
+
+def test_packed_ids_equal_the_library_on_documents_and_mixed_scripts():
+    texts, whole = all_texts(), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    found = packing.PartTokenizer(P.path("word_bpe_49k.json")).encode(texts)
+    want = whole.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+    assert all(found.run(k).tolist() == w.ids for k, w in enumerate(want))
+
+
+def test_byte_ids_equal_the_library_on_documents_and_mixed_scripts():
+    texts = all_texts()
+    encoder = bpe.BlockEncoder(P.path("byte_bpe_50k.tiktoken"), (pa.array([" the"]), Ragged.of([[bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))[b" the"]]], np.uint32)))
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=encoder.vocabulary.replay.ranks, special_tokens={})
+    found = encoder.encode(texts)
+    assert all(found.run(k).tolist() == own.encode_ordinary(t or "") and encoder.vocabulary.decode(found.run(k)).decode() == (t or "") for k, t in enumerate(texts))
 
 
 def test_packing(docs_of, texts):

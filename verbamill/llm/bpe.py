@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding by merge replay.
 
-The merges are replayed over all distinct pre-tokens of the corpus at once: an index from each merged pair to the
-positions where it stands is worked off in rank order, and a merge touches only the pairs with its two neighbours.
-The ids of the frequent pre-tokens (at most MOST_FREQUENT) go to every task; a task replays the merges for whatever
-rarer pre-tokens its own block of documents holds, block by block and by the same function, so no text is shuffled.
+The merges are replayed over distinct pre-tokens in bulk: an index from each merged pair to the positions where it
+stands is worked off in rank order, and a merge touches only the pairs with its two neighbours. The frequent
+pre-tokens of the whole corpus (at most MOST_FREQUENT) are replayed once, and their ids go to every task. Rarer ones
+are replayed by the same function in each slice of documents where they stand (SLICE_BYTES of text), so that no text
+is shuffled: to bring ids that a join finds back to their places would shuffle every document.
 
-Null and empty texts have no ids and the digests of no bytes. Repeated rows each give a row."""
+Null and empty texts, and tables without rows, have no ids and the digests of no bytes; a very long text is a slice of
+its own. Repeated rows each give a row, null ids stay null. Other columns, whatever their names, are not read."""
 
 from __future__ import annotations
 
@@ -17,17 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_ROWS, chunks, in_arrow, map_rows, rows_of, written
+from .common import in_arrow, parts_of, written
+from .ragged import Ragged, bytes_of, slices
 from .vocabulary import frequent_band, is_frequent, pretoken_counts
 
-#: Words whose merges are replayed together, and parts whose ids a task keeps.
-REPLAYED, KEPT = 50_000, 250_000
-
 
 def load_ranks(rank_file: str) -> dict[bytes, int]:
     with open(rank_file, "rb") as f:
@@ -35,7 +36,7 @@ def load_ranks(rank_file: str) -> dict[bytes, int]:
 
 
 class MergeReplay:
-    """Packed ids (little-endian unsigned 32-bit integers) of many byte strings at once."""
+    """Ids of many byte strings at once."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -46,6 +47,7 @@ class MergeReplay:
 
     def index_pairs(self, found: dict[int, int]) -> None:
         """found: for every pair of tokens that has a merge, the merge's id, which is also its rank."""
+        self.found = found
         self.keys = np.sort(np.fromiter(found, np.int64, len(found)))
         self.merges = np.array([found[k] for k in self.keys.tolist()], np.int64)
 
@@ -55,30 +57,37 @@ class MergeReplay:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.merges[at], -1)
 
-    def one_by_one(self, word: bytes) -> bytes:
-        """The merges of a single word, lowest rank first and leftmost first."""
+    def one_by_one(self, word: bytes) -> list[int]:
+        """The merges of a single word, lowest rank first and leftmost first: a heap of pairs over linked tokens."""
         raw = np.frombuffer(word, np.uint8)
         ids = [*self.byte_ids[raw[:-1]].tolist(), int(self.last_ids[raw[-1]])]
-        while len(ids) > 1:
-            ranks = self.pair_ranks(np.array(ids[:-1]), np.array(ids[1:]))
-            if not (ranks >= 0).any():
-                break
-            k = int(np.where(ranks >= 0, ranks, 1 << 40).argmin())
-            ids[k : k + 2] = [int(ranks[k])]
-        return packed(ids)
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        out = [packed([self.ranks[w]]) if w in self.ranks else b"" for w in words]
-        todo = [k for k, w in enumerate(words) if w and not out[k]]
-        if not todo:
-            return out
-        sizes = np.array([len(words[k]) for k in todo])
-        ends = sizes.cumsum()
-        n = int(ends[-1])
+        n, rank_of = len(ids), self.found.get
+        after, before = [*range(1, n), None], [None, *range(n - 1)]
+        heap = [(r, k) for k in range(n - 1) if (r := rank_of(ids[k] << 17 | ids[k + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, k = heapq.heappop(heap)
+            q = after[k]
+            if ids[k] is None or q is None or rank_of(ids[k] << 17 | ids[q]) != rank:
+                continue  # one of the two has been merged since
+            r = after[q]
+            ids[k], ids[q], after[k] = rank, None, r
+            if r is not None:
+                before[r] = k
+                if (x := rank_of(rank << 17 | ids[r])) is not None:
+                    heapq.heappush(heap, (x, k))
+            if (p := before[k]) is not None and (x := rank_of(ids[p] << 17 | rank)) is not None:
+                heapq.heappush(heap, (x, p))
+        return [x for x in ids if x is not None]
+
+    def encode(self, words: Ragged) -> Ragged:
+        """Ids of words, none of them empty, by merges alone."""
+        sizes, ends, n = words.sizes, words.sizes.cumsum(), len(words.values)
+        if not n:
+            return Ragged(np.zeros(0, np.uint32), sizes)
         # position n stands for "none" on either side; no pair with it has a merge
-        raw = np.frombuffer(b"".join([words[k] for k in todo]), np.uint8)
-        token = np.append(self.byte_ids[raw], (1 << 17) - 1)
-        token[ends - 1] = self.last_ids[raw[ends - 1]]
+        token = np.append(self.byte_ids[words.values], (1 << 17) - 1)
+        token[ends - 1] = self.last_ids[words.values[ends - 1]]
         after, before = np.arange(1, n + 2), np.arange(-1, n)
         after[ends - 1], after[n] = n, n
         before[ends - sizes], before[n] = n, n
@@ -91,8 +100,9 @@ class MergeReplay:
             ranks = where[places]
             order = ranks.argsort(kind="stable")
             ranks, places = ranks[order], places[order]
-            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
-            for rank, some in zip(ranks[np.append(0, cuts)].tolist(), np.split(places, cuts)):
+            cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+            for k, rank in enumerate(ranks[cuts[:-1]].tolist()):
+                some = places[cuts[k] : cuts[k + 1]]
                 if rank in index:
                     index[rank].append(some)
                 else:
@@ -105,9 +115,12 @@ class MergeReplay:
         while queue:
             rank = heapq.heappop(queue)
             places = index.pop(rank)
-            p = np.sort(np.concatenate(places))
-            p = p[np.append(True, p[1:] != p[:-1]) & (where[p] == rank)]
-            if len(p) > 1:  # of pairs that overlap, the leftmost goes first, so every other one of a run
+            p = np.sort(np.concatenate(places)) if len(places) > 1 else places[0]
+            p = p[where[p] == rank]
+            if len(p) > 1:
+                if len(places) > 1:
+                    p = p[np.append(True, p[1:] != p[:-1])]
+                # of pairs that overlap, the leftmost goes first, so every other one of a run
                 joined = np.append(False, after[p[:-1]] == p[1:])
                 if joined.any():
                     k = np.arange(len(p))
@@ -126,15 +139,14 @@ class MergeReplay:
                 odd.update(np.searchsorted(ends, touched[sooner], "right").tolist())
             if len(touched := touched[new >= 0]):
                 enter(touched)
-        counts = np.add.reduceat(alive, ends - sizes, dtype=np.int64)
-        ids, stops = token[:n][alive].astype("<u4").tobytes(), (counts.cumsum() * 4).tolist()
-        start = 0
-        for k, stop in zip(todo, stops):
-            out[k] = ids[start:stop]
-            start = stop
-        for k in odd:
-            out[todo[k]] = self.one_by_one(words[todo[k]])
-        return out
+        out = Ragged(token[:n][alive].astype(np.uint32), np.add.reduceat(alive, ends - sizes, dtype=np.int64))
+        if not odd:
+            return out
+        again = sorted(odd)
+        others = Ragged.of([self.one_by_one(words.run(k).tobytes()) for k in again], np.uint32)
+        codes = np.arange(len(sizes))
+        codes[again] = len(sizes) + np.arange(len(again))
+        return Ragged.joined([out, others]).take(codes)
 
 
 @functools.lru_cache(2)
@@ -143,59 +155,97 @@ def replay_of(rank_file: str) -> MergeReplay:
     return MergeReplay(load_ranks(rank_file))
 
 
-def packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+class Vocabulary:
+    """Ids of pre-tokens: of those that are tokens themselves their own, of others by a replay of the merges."""
+
+    def __init__(self, rank_file: str):
+        self.replay = replay_of(rank_file)
+        names = self.replay.names
+        self.tokens = pa.array(list(self.replay.ranks), pa.binary())
+        self.token_ids = np.fromiter(self.replay.ranks.values(), np.uint32, len(names))
+        self.names = Ragged.of([names.get(k, b"") for k in range(max(names) + 1)], np.uint8)
+
+    def encode(self, pretokens: pa.Array) -> Ragged:
+        """pretokens: distinct strings, none empty."""
+        own = pc.index_in(pretokens.cast(pa.binary()), value_set=self.tokens)
+        whole = pc.is_valid(own).to_numpy(zero_copy_only=False)
+        codes, n = np.empty(len(whole), np.int64), int(whole.sum())
+        codes[whole], codes[~whole] = np.arange(n), np.arange(n, len(whole))
+        tokens = Ragged(self.token_ids[own.drop_null().to_numpy()], np.ones(n, np.int64))
+        rest = self.replay.encode(bytes_of(pretokens.filter(pa.array(~whole))))
+        return Ragged.joined([tokens, rest]).take(codes)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that the ids stand for."""
+        return self.names.take(ids).values.tobytes()
+
+
+@functools.lru_cache(2)
+def vocabulary_of(rank_file: str) -> Vocabulary:
+    """One for each Python worker, which serves many tasks."""
+    return Vocabulary(rank_file)
 
 
 def pretoken_ids(vocabulary: DataFrame, rank_file: str) -> DataFrame:
-    """(pretoken, freq, ids): ids as little-endian unsigned 32-bit integers."""
+    """(pretoken, freq, ids): ids as little-endian unsigned 32-bit integers; merges are replayed over a slice at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = replay_of(rank_file)
-        for batch in batches:
-            for at in range(0, batch.num_rows, REPLAYED):
-                part = batch.slice(at, REPLAYED)
-                ids = replay.encode([x.encode() for x in part.column(0).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], ["pretoken", "freq", "ids"])
+        words = vocabulary_of(rank_file)
+        for part in slices(batches, "pretoken"):
+            ids = words.encode(part.column(0))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([ids.run(k).astype("<u4").tobytes() for k in range(part.num_rows)], pa.binary())], ["pretoken", "freq", "ids"])
 
     return in_arrow(vocabulary.select("pretoken", "freq"), run, "pretoken string, freq long, ids binary")
 
 
+#: Parts that are pre-tokens as they stand.
+_PLAIN = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+
+
 class BlockEncoder:
-    """Packed ids of whole texts; frequent: packed ids of frequent pre-tokens."""
+    """Ids of whole texts, a block of them at a time; frequent: pre-tokens and their ids."""
 
-    def __init__(self, rank_file: str, frequent: dict[str, bytes]):
-        self.replay, self.frequent = replay_of(rank_file), frequent
+    def __init__(self, rank_file: str, frequent: tuple[pa.Array, Ragged]):
+        self.vocabulary, (self.frequent, self.frequent_ids) = vocabulary_of(rank_file), frequent
         self.find = regex.compile(PATTERN).findall
-        self.parts: dict[str, bytes] = {}
-
-    def learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Packed ids of each part: its pre-tokens' from the dictionary, or by a replay over all that lack them."""
-        split = {x: self.find(x) for x in parts}
-        frequent = self.frequent
-        rare = list({y for x in split.values() for y in x if y not in frequent})
-        ids = {}
-        for at in range(0, len(rare), REPLAYED):
-            some = rare[at : at + REPLAYED]
-            ids.update(zip(some, self.replay.encode([x.encode() for x in some])))
-        return {x: b"".join([frequent.get(y) or ids[y] for y in found]) for x, found in split.items()}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [chunks(x) if x else [] for x in texts]
-        if len(self.parts) > KEPT:
-            self.parts.clear()
-        parts = self.parts
-        first = {x[0] for x in cut if x}
-        later = {y for x in cut for y in x[1:]}
-        new = {" " + y for y in later if y not in parts}
-        found = self.learn(new | first)
-        parts.update((x[1:], found[x]) for x in new)
-        get = parts.__getitem__
-        return [b"".join([found[x[0]], *map(get, x[1:])]) if x else b"" for x in cut]
-
-
-def decode(ids: bytes, names: list[bytes]) -> bytes:
-    return b"".join(map(names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+    def pretokens(self, parts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pre-tokens of distinct parts, and how many each part has; plain parts first, then the others."""
+        plain = pc.match_substring_regex(parts, _PLAIN)
+        found = [self.find(x) for x in parts.filter(pc.invert(plain)).to_pylist()]
+        plain = plain.to_numpy(zero_copy_only=False)
+        sizes = np.ones(len(parts), np.int64)
+        sizes[~plain] = [len(x) for x in found]
+        return pa.concat_arrays([parts.filter(pa.array(plain)), pa.array([y for x in found for y in x], pa.string())]), sizes, plain
+
+    def part_ids(self, parts: pa.Array) -> Ragged:
+        pretokens, sizes, plain = self.pretokens(parts)
+        coded = pretokens.dictionary_encode()
+        known = pc.index_in(coded.dictionary, value_set=self.frequent)
+        rare = pc.is_null(known).to_numpy(zero_copy_only=False)
+        where = np.empty(len(rare), np.int64)
+        where[~rare] = known.drop_null().to_numpy()
+        where[rare] = len(self.frequent) + np.arange(int(rare.sum()))
+        table = Ragged.joined([self.frequent_ids, self.vocabulary.encode(coded.dictionary.filter(pa.array(rare)))])
+        ids = table.take(where[coded.indices.to_numpy()])
+        # back from plain parts first to the order of the parts
+        order = np.empty(len(plain), np.int64)
+        n = int(plain.sum())
+        order[plain], order[~plain] = np.arange(n), np.arange(n, len(plain))
+        return ids.regrouped(np.concatenate([sizes[plain], sizes[~plain]])).take(order)
+
+    def encode(self, texts: list[str | None]) -> Ragged:
+        """A run of ids for each text."""
+        parts = parts_of(texts)
+        counts, flat = parts.value_lengths().to_numpy(), parts.flatten()
+        ends = counts.cumsum()
+        later = np.ones(len(flat), bool)
+        later[ends - counts] = False  # every text has a first part, which no space precedes
+        first, others = (flat.filter(pa.array(x)).dictionary_encode() for x in (~later, later))
+        distinct = pa.concat_arrays([first.dictionary, pc.binary_join_element_wise(pa.scalar(" "), others.dictionary, pa.scalar(""))])
+        codes = np.empty(len(flat), np.int64)
+        codes[~later], codes[later] = first.indices.to_numpy(), others.indices.to_numpy().astype(np.int64) + len(first.dictionary)
+        return self.part_ids(distinct).take(codes).regrouped(counts)
 
 
 def encode_documents(docs: DataFrame, rank_file: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
@@ -206,23 +256,17 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, id_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     vocabulary = written(pretoken_counts(docs.select("text")), "pretokens")
     lowest = frequent_band(vocabulary)
-    found = pretoken_ids(vocabulary.filter(is_frequent(lowest)), rank_file)
-    frequent = spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in found.select("pretoken", "ids").collect()})
+    found = pretoken_ids(vocabulary.filter(is_frequent(lowest)), rank_file).select("pretoken", "ids").collect()
+    known = pa.array([r[0] for r in found], pa.string()), Ragged(np.frombuffer(b"".join(bytes(r[1]) for r in found), "<u4"), np.array([len(r[1]) // 4 for r in found], np.int64))
+    frequent = spark.sparkContext.broadcast(known)
 
-    def start():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = BlockEncoder(rank_file, frequent.value)
-        names = [b""] * (max(encoder.replay.names) + 1)
-        for k, x in encoder.replay.names.items():
-            names[k] = x
         sha = lambda x: hashlib.sha256(x).hexdigest()
+        for part in slices(batches, "text"):
+            found = encoder.encode(part.column("text").to_pylist())
+            packed = [found.run(k).astype("<u4").tobytes() for k in range(part.num_rows)]
+            columns = [part.column("doc_id"), pa.array(found.sizes), pa.array([sha(x) for x in packed], pa.string()), pa.array([sha(encoder.vocabulary.decode(found.run(k))) for k in range(part.num_rows)], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(packed, pa.binary())] * ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)
 
-        def each(rows):
-            found = encoder.encode([text for _, text in rows])
-            out = [[r[0] for r in rows], [len(x) // 4 for x in found], [sha(x) for x in found], [sha(decode(x, names)) for x in found]]
-            return [*out, found] if ids else out
-
-        return each
-
-    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.binary())] * ids
-    out = map_rows(docs, start, pa.schema(fields), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids, MOST_ROWS)
-    return out.withColumnRenamed("doc_id", id_col)
+    return in_arrow(docs, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids).withColumnRenamed("doc_id", id_col)

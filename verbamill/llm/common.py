@@ -12,14 +12,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from verbamill.session import ship
 
 #: Rows turned into Python objects at a time, so that a batch of long texts is not held twice.
 ROWS_AT_ONCE = 256
-#: Rows of an Arrow batch at most; a session that asks for fewer is left as it is.
-BATCH_KEY, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,12 +59,9 @@ def rows_of(batches: Iterator[pa.RecordBatch], at_once: int = ROWS_AT_ONCE) -> I
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
-    """mapInArrow, with this package on the executors, in batches that stay small where texts are long. Workers serve
-    many tasks; what a task held goes back to the system at its end."""
-    spark = df.sparkSession
-    ship(spark)
-    if int(spark.conf.get(BATCH_KEY)) > MOST_ROWS:
-        spark.conf.set(BATCH_KEY, str(MOST_ROWS))
+    """mapInArrow, with this package on the executors. Spark bounds a batch by its bytes; callers cut it further.
+    Workers serve many tasks; what a task held goes back to the system at its end."""
+    ship(df.sparkSession)
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
@@ -131,3 +127,17 @@ def chunks(text: str) -> list[str]:
     """Cuts before each space that a non-space follows; every later part stands for a space and itself. No pre-token
     of the byte-level pattern crosses such a cut, so parts can be split and looked up one by one."""
     return _BREAK.split(text) if _GAP.search(text) else text.split(" ")
+
+
+def parts_of(texts: list[str | None]) -> pa.ListArray:
+    """The same parts of each text as an array of lists; a null or empty text has one empty part."""
+    gaps = [bool(x) and _GAP.search(x) is not None for x in texts]
+    plain = pc.split_pattern(pa.array(["" if g else x or "" for x, g in zip(texts, gaps)], pa.string()), " ")
+    if not any(gaps):
+        return plain
+    odd = pa.array([_BREAK.split(x) for x, g in zip(texts, gaps) if g], pa.list_(pa.string()))
+    at, found = [], 0
+    for k, g in enumerate(gaps):
+        at.append(len(texts) + found if g else k)
+        found += g
+    return pa.concat_arrays([plain, odd]).take(pa.array(at))

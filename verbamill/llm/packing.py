@@ -14,29 +14,21 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from public_tokenizers import path
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import MergeReplay
-from .common import MOST_ROWS, Bounded, in_arrow, rows_of, written
+from .common import in_arrow, written
+from .ragged import Ragged, bytes_of, slices
 
 CAPACITY, END_ID = 4096, 2
-#: Parts of texts whose ids a task keeps.
-KEPT = 300_000
-
-
-#: A word of Latin letters that no normal form changes, and marks after it that are tokens apart from it.
-_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)").fullmatch
-
-
 #: Latin-1 by kind: full stops and commas, letters with digits and white space, other marks.
 _KINDS = bytes(ord(",") if chr(b) in ".," else ord("a") if chr(b).isalnum() or chr(b) in " \t\n\r\x0b\x0c\x85\xa0" else ord("!") for b in range(256))
 
@@ -82,38 +74,44 @@ def word_replay_of(tokenizer_file: str) -> WordReplay:
     return WordReplay(tokenizer_file)
 
 
+#: A word of Latin letters that no normal form changes, and marks after it that are tokens apart from it.
+_PLAIN = "^(?P<word>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
+
+
 class PartTokenizer:
-    """Packed ids of whole texts. The vocabulary drops white space and joins nothing across it, so each part between
-    spaces is encoded once and looked up afterwards: plain words by a replay of the merges over all new ones, anything
-    else by the library itself."""
+    """Ids of whole texts, a block of them at a time. The vocabulary drops white space and joins nothing across it, so
+    each distinct part between spaces is encoded once: plain words by a replay of the merges over all of them, marks
+    and anything else by the library itself."""
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.replay = Tokenizer.from_file(tokenizer_file), word_replay_of(tokenizer_file)
-        self.parts: dict[str, bytes] = {"": b""}
-        self.marks = Bounded(lambda x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes())
-        self.marks[""] = b""
-
-    def learn(self, new: list[str]) -> None:
-        split = [_WORD(x) for x in new]
-        plain = [(x, m[1].lower(), m[2]) for x, m in zip(new, split) if m]
-        rest = [x for x, m in zip(new, split) if not m]
-        words = list({w for _, w, _ in plain})
-        ids = dict(zip(words, self.replay.encode([w.encode() for w in words])))
-        marks = self.marks
-        self.parts.update([(x, ids[w] + marks[m] if m else ids[w]) for x, w, m in plain])
-        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
-        self.parts.update([(x, np.array(y.ids, "<u4").tobytes()) for x, y in zip(rest, found)])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.parts) > KEPT:
-            self.parts = {"": b""}
-        cut = [simplified(x).replace("\n", " ").split(" ") if x else [] for x in texts]
-        self.learn(list(set(chain.from_iterable(cut)).difference(self.parts)))
-        get = self.parts.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+
+    def by_library(self, parts: pa.Array) -> Ragged:
+        found = self.tokenizer.encode_batch_fast(parts.to_pylist(), add_special_tokens=False) if len(parts) else []
+        return Ragged.of([x.ids for x in found], np.uint32)
+
+    def part_ids(self, parts: pa.Array) -> Ragged:
+        split = pc.extract_regex(parts, _PLAIN)
+        plain = pc.is_valid(split)
+        whole = split.drop_null()
+        words, marks = pc.utf8_lower(pc.struct_field(whole, "word")).dictionary_encode(), pc.struct_field(whole, "marks").dictionary_encode()
+        rest = self.by_library(parts.filter(pc.invert(plain)))
+        table = [self.replay.encode(bytes_of(words.dictionary)), self.by_library(marks.dictionary), rest, Ragged(np.zeros(0, np.uint32), np.zeros(1, np.int64))]
+        ends = np.cumsum([len(x.sizes) for x in table])
+        plain = plain.to_numpy(zero_copy_only=False)
+        codes = np.empty((len(parts), 2), np.int64)
+        codes[plain, 0], codes[plain, 1] = words.indices.to_numpy(), ends[0] + marks.indices.to_numpy()
+        codes[~plain, 0], codes[~plain, 1] = np.arange(ends[1], ends[2]), ends[2]
+        return Ragged.joined(table).take(codes.ravel()).regrouped(np.full(len(parts), 2))
+
+    def encode(self, texts: list[str | None]) -> Ragged:
+        """A run of ids for each text."""
+        cut = pc.split_pattern(pa.array([simplified(x).replace("\n", " ") if x else "" for x in texts], pa.string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        return self.part_ids(coded.dictionary).take(coded.indices.to_numpy()).regrouped(cut.value_lengths().to_numpy())
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,10 +123,10 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
 
         block, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         tokenizer, end = PartTokenizer(tokenizer_file), np.array([end_id], "<u4").tobytes()
-        for rows in rows_of(batches, MOST_ROWS):
-            out = []
-            for (doc_id, _), ids in zip(rows, tokenizer.encode([x for _, x in rows])):
-                ids += end
+        for part in slices(batches, "text"):
+            out, found = [], tokenizer.encode(part.column("text").to_pylist())
+            for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                ids = found.run(k).astype("<u4").tobytes() + end
                 total, view = len(ids) // 4, memoryview(ids)
                 for start in range(0, total, capacity):
                     length = min(capacity, total - start)
