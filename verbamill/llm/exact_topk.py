@@ -1,15 +1,20 @@
 """Exact top-k search by inner product over a bit-sliced index.
 
-Each component is quantised to an integer. A block of at most BLOCK rows is an index: for each dimension, bitmaps of
-its rows, one for each binary digit of the component. A query's scores for a whole block are sums of such slices,
-shifted by the set digits of the query's component and added with carry-save bitmap arithmetic; negative components
-take the complement of the slices, which shifts every score by the same amount. The top rows are selected from the
-most significant slice of the sum downward; rows that tie at the boundary are resolved by their ids.
-
-Queries come in blocks too, and each meets every block of the index in a task of its own, which returns at most k rows
-for each query; those are merged by query. Vectors that are null, hold a null or a non-finite component, or whose id is null
-take no part; vectors of another length than the commonest one are refused. Rows that repeat an id are all candidates,
-but not for a query of the same id. Queries without candidates give no rows."""
+Each component is quantised to an integer. A block of the index holds, for each dimension, bitmaps of its rows, one for
+each binary digit of the component; blocks are bounded in rows and bytes and are sliced once, into a written table. A
+query's scores for a whole block are sums of such slices, shifted by the set digits of the query's component and added
+with carry-save bitmap arithmetic; negative components take the complement of the slices, which shifts every score by
+the same amount. The top rows are selected from the most significant slice of the sum downward; rows that tie at the
+boundary are resolved by their ids.
+
+Queries are dealt into blocks too. A task holds one block of the index and streams blocks of queries past it, and
+returns at most k rows for each query; those are merged by query. A block of the index is sent to several tasks only
+where there are fewer blocks than cores.
+
+Vectors that are null or empty, hold a null or a non-finite component, or whose id is null take no part. Neither do
+those of another length than the commonest (the longest of those that tie), and those with a component that quantises
+beyond +-2^55. Sums are exact and ranked as such at any size; a score beyond a long is given as the nearest long. Rows that repeat an id are all candidates, but not for a query of the same id. Queries without
+candidates give no rows, and so do empty tables. Other columns, whatever their names, are not read."""
 
 from __future__ import annotations
 
@@ -20,34 +25,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, rows_of, written
+from .common import in_arrow, written
 
-#: Rows of a block of the index, and queries of a block.
-BLOCK, QUERIES = 32_768, 256
+#: Rows of a block of the index and bytes of its components at most, and queries of a block.
+BLOCK, BLOCK_BYTES, QUERIES = 32_768, 32 << 20, 256
+#: Components are below this; a score is carried as a multiple of 2**LOW and a rest.
+LARGEST, LOW = 2.0**55, 62
 
 
 def quantised(vector: Column, factor: float = 256.0) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * factor).cast("int"))
+    return F.transform(vector, lambda x: F.floor(x.cast("double") * factor).cast("long"))
 
 
-def usable(vector: Column) -> Column:
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+def usable(vector: Column, factor: float = 256.0) -> Column:
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * factor) < LARGEST)
     return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, fine)
 
 
 class BitSlices:
     """Slices [dimension][digit] of a block's components less their least, as words of 64 rows."""
 
-    def __init__(self, values: np.ndarray):
-        self.rows, self.least = len(values), int(values.min())
-        shifted = (values - self.least).astype(np.int64)
-        self.digits = max(1, int(shifted.max()).bit_length())
-        words = -(-self.rows // 64)
-        bits = np.zeros((words * 64, values.shape[1], self.digits), np.uint8)
-        for d in range(self.digits):
-            bits[: self.rows, :, d] = shifted >> d & 1
-        self.slices = np.ascontiguousarray(np.packbits(bits.transpose(1, 2, 0), axis=-1, bitorder="little").view(np.uint64).reshape(values.shape[1], self.digits, words))
-        self.real = np.packbits(np.arange(words * 64) < self.rows, bitorder="little").view(np.uint64)
+    def __init__(self, rows: int, least: int, slices: np.ndarray):
+        self.rows, self.least, self.slices, self.digits = rows, least, slices, slices.shape[1]
+        self.real = np.packbits(np.arange(slices.shape[2] * 64) < rows, bitorder="little").view(np.uint64)
+
+    @staticmethod
+    def of(values: np.ndarray) -> BitSlices:
+        rows, least = len(values), int(values.min())
+        shifted = np.zeros((values.shape[1], -(-rows // 64) * 64), np.int64)
+        shifted[:, :rows] = values.T - least
+        digits = max(1, int(shifted.max()).bit_length())
+        slices = [np.packbits(shifted >> d & 1 != 0, axis=-1, bitorder="little").view(np.uint64) for d in range(digits)]
+        return BitSlices(rows, least, np.ascontiguousarray(np.stack(slices, 1)))
 
     def sum_slices(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices of sum + shift, least digit first, and the shift, which is the same for all rows."""
@@ -93,7 +102,7 @@ class BitSlices:
         return np.flatnonzero(np.unpackbits((sure | open_).view(np.uint8), bitorder="little"))
 
 
-def search(index: BitSlices, ids: np.ndarray, values: np.ndarray, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+def search(index: BitSlices, ids: np.ndarray, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
     """(score, id) of the best k rows of a block, ties to the smaller id; the query's own id is left out."""
     allowed = index.real.copy()
     for row in np.flatnonzero(ids == query_id).tolist():
@@ -102,52 +111,79 @@ def search(index: BitSlices, ids: np.ndarray, values: np.ndarray, query_id: int,
     rows = index.top(slices, allowed, k)
     if not len(rows):
         return []
-    scores = np.full(len(rows), shift, np.int64)
+    small = len(slices) < 62 and abs(shift) < 1 << 61
+    scores = np.full(len(rows), shift, np.int64 if small else object)
     for digit, x in enumerate(slices):
-        scores += ((x[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << digit
-    order = np.lexsort((ids[rows], -scores))[:k]
-    return list(zip(scores[order].tolist(), ids[rows[order]].tolist()))
+        bits = (x[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
+        scores += bits.astype(np.int64) << digit if small else bits.astype(object) * (1 << digit)
+    if small:
+        order = np.lexsort((ids[rows], -scores))[:k]
+        return list(zip(scores[order].tolist(), ids[rows[order]].tolist()))
+    return [(-s, i) for s, i in sorted(zip((-scores).tolist(), ids[rows].tolist()))[:k]]
 
 
-def blocks_of(vectors: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """(block, ids, values), with ids as longs and values as ints, packed; and how many blocks there are. Rows are dealt
-    evenly, about `size` to a block, whatever their ids are."""
-    n = max(1, -(-vectors.count() // size))
+def dealt(vectors: DataFrame, n: int, make, ddl: str, name: str) -> DataFrame:
+    """A written row for each of n blocks of (id, v): its number and what make(ids, values) gives. Rows are dealt evenly,
+    whatever their ids are."""
+    names = ["block", *[x.split()[0] for x in ddl.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        found = [x for rows in rows_of(batches) for x in rows]
-        if found:
-            columns = [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([np.array([i for i, _ in found], "<i8").tobytes()], pa.binary()), pa.array([np.array([v for _, v in found], "<i4").tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "values"])
+        ids, values = [], []
+        for batch in batches:
+            ids.append(batch.column(0).to_numpy())
+            values.append(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0), np.int64))
+        if sum(map(len, ids)):
+            columns = make(np.concatenate(ids), np.concatenate([x for x in values if len(x)]))
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), *[pa.array([x]) for x in columns]], names)
 
-    return written(in_arrow(vectors.repartition(n), run, "block long, ids binary, values binary"), name), n
+    return written(in_arrow(vectors.repartition(n), run, "block long, " + ddl), name)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", factor: float = 256.0) -> DataFrame:
     """(query_id, rank, id_col, score): each query's k best rows of vectors."""
-    ready = lambda df: df.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), factor).alias("v"))
-    (index, n), (asked, m) = blocks_of(ready(vectors), BLOCK, "index"), blocks_of(ready(queries), QUERIES, "queries")
-    # a pair of blocks is a task's work: every block of queries is sent to every block of the index, as blocks
-    asked = asked.select(F.col("block").alias("q"), "ids", "values").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    pairs = asked.join(index.select("block", F.col("ids").alias("row_ids"), F.col("values").alias("row_values")), "block").repartition(min(n * m, 100_000), "block", "q")
+    spark = vectors.sparkSession
+    fit = lambda df: df.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col), factor))
+    # a row for each length that occurs
+    sizes = fit(vectors).groupBy(F.size(vector_col).alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
+    length, total = (sizes["size"], sizes["n"]) if sizes else (1, 0)
+    ready = lambda df: fit(df).filter(F.size(vector_col) == length).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), factor).alias("v"))
+    asked = ready(queries)
+    n, m = max(1, -(-total // max(64, min(BLOCK, BLOCK_BYTES // (8 * length))))), max(1, -(-asked.count() // QUERIES))
+    packed = lambda ids, values: (ids.astype("<i8").tobytes(), values.astype("<i8").tobytes())
+
+    def sliced(ids: np.ndarray, values: np.ndarray) -> tuple:
+        x = BitSlices.of(values)
+        return ids.astype("<i8").tobytes(), x.slices.tobytes(), x.least, x.digits
+
+    index = dealt(ready(vectors), n, sliced, "ids binary, payload binary, least long, digits long", "index")
+    asked = dealt(asked, m, packed, "ids binary, payload binary", "queries")
+    # blocks of queries go to every block of the index; where those are few, each is held by several lanes of tasks
+    lanes = min(m, -(-spark.sparkContext.defaultParallelism * 2 // n))
+    numbers = lambda upto: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(upto - 1).cast("long")))
+    held = index.select("block", numbers(lanes).alias("lane"), F.lit(-1).cast("long").alias("nth"), "ids", "payload", "least", "digits")
+    streamed = asked.select(numbers(n).alias("block"), F.pmod("block", F.lit(lanes)).alias("lane"), F.col("block").alias("nth"), "ids", "payload", F.lit(0).cast("long").alias("least"), F.lit(0).cast("long").alias("digits"))
+    met = held.unionAll(streamed).repartition(min(2 * n * lanes, 100_000), "block", "lane").sortWithinPartitions("block", "lane", "nth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (None, None)
+        block, index = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                block, _, q_ids, q_values, ids, values = (batch.column(c)[i].as_py() for c in range(6))
-                ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                values = np.frombuffer(values, "<i4").reshape(len(ids), -1)
-                q_values = np.frombuffer(q_values, "<i4").reshape(len(q_ids), -1)
-                if values.shape[1] != q_values.shape[1]:
-                    raise ValueError("vectors of different lengths")
-                if held[0] != block:
-                    held = (block, BitSlices(values))
-                found = [(int(q), s, r) for q, v in zip(q_ids, q_values) for s, r in search(held[1], ids, values, int(q), v, k)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(3)], ["query_id", "score", "id"])
-
-    found = in_arrow(pairs.select("block", "q", "ids", "values", "row_ids", "row_values"), run, "query_id long, score long, id long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("int")).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
+                at, nth, least, digits = (batch.column(c)[i].as_py() for c in ("block", "nth", "least", "digits"))
+                ids, payload = (batch.column(c)[i].as_buffer() for c in ("ids", "payload"))
+                ids = np.frombuffer(ids, "<i8")
+                if nth < 0:
+                    block, own = at, ids
+                    index = BitSlices(len(ids), least, np.frombuffer(payload, np.uint64).reshape(length, digits, -1))
+                elif at == block:
+                    found = [(int(q), s, r) for q, v in zip(ids, np.frombuffer(payload, "<i8").reshape(len(ids), length)) for s, r in search(index, own, int(q), v, k)]
+                    columns = [x[0] for x in found], [x[1] >> LOW for x in found], [x[1] & (1 << LOW) - 1 for x in found], [x[2] for x in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["query_id", "high", "low", "id"])
+
+    found = in_arrow(met, run, "query_id long, high long, low long, id long")
+    best = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "id")
+    ranked = found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k)
+    most = (1 << 63) - 1
+    score = F.when(F.col("high") > 1, most).when(F.col("high") < -2, -most - 1).otherwise(F.when(F.col("high").between(-2, 1), F.col("high")) * (1 << LOW) + F.col("low"))
+    return ranked.select("query_id", "rank", F.col("id").alias(id_col), score.alias("score"))
