@@ -1,5 +1,6 @@
 """Exact search and near duplicates against brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -31,6 +32,37 @@ def test_search_of_few_rows(spark):
     assert exact_topk.top_k(none, none).count() == 0
 
 
+def test_search_of_large_components_and_other_lengths(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([1e8, -3e8, 2.0**40, -1e-3, 0.5, 0.0]) * rng.random() for _ in range(4)]) for i in range(120)]
+    odd = [(500, [1.0] * 3), (501, [1.0] * 9), (502, [1e300] * 4), (503, []), (50, rows[50][1])]
+    vectors = spark.createDataFrame([(i, v, "x") for i, v in rows + odd], "vec_id long, embedding array<double>, score string")
+    got = {}
+    for r in exact_topk.top_k(vectors, vectors.filter("vec_id % 50 = 0").dropDuplicates(["vec_id"])).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows + odd[-1:]]
+    assert set(got) == {0, 50, 100}
+    for q, found in got.items():
+        query = dict(good)[q]
+        best = sorted((-sum(a * b for a, b in zip(v, query)), i) for i, v in good if i != q)[:5]
+        assert sorted(found) == [(k, i, max(-(2**63), min(2**63 - 1, -s))) for k, (s, i) in enumerate(best, 1)]
+
+
+def test_search_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "BLOCK", 64)
+    monkeypatch.setattr(exact_topk, "QUERIES", 3)
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(1000)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in exact_topk.top_k(vectors, vectors.filter("vec_id % 50 = 0")).collect()}
+    good = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = {}
+    for q in range(0, 1000, 50):
+        best = sorted((-sum(a * b for a, b in zip(v, good[q])), i) for i, v in good.items() if i != q)[:5]
+        want |= {(q, k): (i, -s) for k, (s, i) in enumerate(best, 1)}
+    assert got == want
+
+
 def brute(texts, words, percent):
     def shingles(t):
         w = (t or "").encode().lower().split()
@@ -77,6 +109,13 @@ def test_null_and_repeated_ids(docs_of):
     assert neardup.near_duplicates(docs_of([])).count() == 0
 
 
+def test_versions_of_an_id_keep_their_links(docs_of):
+    one, two = ([f"{x}{k}" for k in range(60)] for x in "uv")
+    near = lambda words: " ".join([*words[:-1], "other"])
+    rows = neardup.near_duplicates(docs_of([" ".join(one), " ".join(two), near(one), near(two), "x y z"], ids=[5, 5, 7, 9, 3])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(3, 3), (5, 5), (5, 5), (7, 5), (9, 5)]
+
+
 def test_every_coordinate_fills_and_estimates():
     random.seed(1)
     for n in (1, 3, 50, 2000):
@@ -93,6 +132,6 @@ def test_pairs_are_left_only_to_bands_where_they_met(spark, met):
     marks, shingles = bytes(2 * neardup.COORDINATES), list(range(100))
     first = [7, 7 if met else 8]
     sets = [(i, shingles, bytearray(marks), bytearray(np.array([first[i], *range(1, neardup.BANDS)], "<u8").tobytes())) for i in (0, 1)]
-    sets = spark.createDataFrame(sets, "doc_id long, shingles array<long>, marks binary, bands binary")
-    members = spark.createDataFrame([(1, 1, i, i) for i in (0, 1)], "band int, key long, doc_id long, component long")
+    sets = spark.createDataFrame(sets, "node long, shingles array<long>, marks binary, bands binary")
+    members = spark.createDataFrame([(1, 1, i, i) for i in (0, 1)], "band int, key long, node long, component long")
     assert [tuple(sorted(r)) for r in neardup.settle(members, sets, 80).collect()] == ([] if met else [(0, 1)])

@@ -1,20 +1,23 @@
 """Near-duplicate documents by fast similarity sketches, banding and exact verification.
 
 1. Each document's words (bytes but for white space, A-Z lowered) give a set of hashed shingles. Documents of equal sets
-   are one class, stood for by its smallest id; a class of any size costs one row for each task.
+   are one class, known by the digest of the set; a class of any size costs one row for each task.
 2. A class is sketched in rounds: a round hashes every shingle to a bin and a value; a bin keeps the least of the first
    round that reached it, and from round COORDINATES on a round serves one bin alone, so all fill. BANDS bands of
    WIDTH coordinates are hashed; classes that share a band are candidates. At a similarity of 0.8 a pair is missed
    with a chance of about (1 - 0.8^6)^42 = 3e-6, and a link is lost only if no chain of others makes it good.
-3. In each band's bucket every class is checked against the smallest id alone: as many pairs as members, never all.
+3. In each band's bucket every class is checked against the first one alone: as many pairs as members, never all.
    The pairs are confirmed on full sets, and linked classes are joined into components.
-4. Buckets that still hold several components are settled exactly: members that a sketch comparison leaves a chance to
-   link across components are compared on full sets, block by block, each pair in the first band where it meets, and
-   only links that join components are kept.
+4. Buckets that still hold several components are settled: members that a sketch comparison leaves a chance to link
+   across components are compared on full sets, block by block, each pair in the first band where it meets, and only
+   links that join components are kept. The sketch may fall short of the threshold by SLACK, which is 4.8 standard
+   deviations at a similarity of 0.8: a chance of some 1e-6 for a pair.
 5. Components come from alternating large-star and small-star steps on tables in the shared folder.
 
-Documents without words have an empty set and are linked with nothing. Null ids are linked with nothing either: their
-component is null and they are kept. Rows that repeat an id are one node. Other columns are not read."""
+Documents without words (null, empty or blank texts) have an empty set and are linked with nothing. Null ids are
+linked with nothing either: their component is null and they are kept. Rows that repeat an id with other texts keep
+their own sets and links, and are linked with each other. An empty table gives no rows. Other columns, whatever their
+names, are not read."""
 
 from __future__ import annotations
 
@@ -97,15 +100,15 @@ def bands(values: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands): bands is null where the set is empty. Copies within a slice of rows are
-    sketched once."""
+    """(doc_id, version, n_shingles, digest, bands) of (doc_id, text, version): bands is null where the set is empty.
+    Copies within a slice of rows are sketched once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         known = Bounded(None, 20_000)
         for rows in rows_of(batches):
             sizes, digests, found = [], [], []
-            for _, text in rows:
+            for _, _, text in rows:
                 s = shingles(text)
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 if len(s) and digest not in known:
@@ -115,14 +118,15 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
                 sizes.append(len(s))
                 digests.append(digest)
                 found.append(known[digest] if len(s) else None)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
+            heads = [pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*heads, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "version", "n_shingles", "digest", "bands"])
 
-    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return in_arrow(docs.select("doc_id", "version", "text"), run, "doc_id long, version long, n_shingles long, digest binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, shingles, marks, bands): marks are two bytes of each coordinate of the sketch, bands the bytes of its
-    band hashes."""
+    """(node, shingles, marks, bands) of (node, text): marks are two bytes of each coordinate of the sketch, bands the
+    bytes of its band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
@@ -131,9 +135,9 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             values = [sketch(s) if len(s) else None for s in found]
             marks = [b"" if v is None else v.astype("<u2").tobytes() for v in values]
             hashes = [b"" if v is None else bands(v).astype("<u8").tobytes() for v in values]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(hashes, pa.binary())], ["doc_id", "shingles", "marks", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(hashes, pa.binary())], ["node", "shingles", "marks", "bands"])
 
-    return in_arrow(docs.select("doc_id", "text"), run, "doc_id long, shingles array<long>, marks binary, bands binary")
+    return in_arrow(docs.select("node", "text"), run, "node long, shingles array<long>, marks binary, bands binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -159,10 +163,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * common >= percent * union, on full sets."""
-    one, two = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
+    """Those of the pairs (a, b, n) with 100 * common >= percent * union, on full sets. A set `a` that meets up to n
+    others is sent to one task for each SETTLED of them, so that no task gets all that it meets."""
+    lots = lambda n: F.ceil(F.col(n) / SETTLED).cast("int")
+    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), lots("n")).cast("int").alias("lot"))
+    met = pairs.groupBy("a").agg(F.max("lot").alias("lots"))
+    one = met.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").select("a", F.explode(F.sequence(F.lit(0), "lots")).alias("lot"), "s_a")
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b"))
     common = F.size(F.array_intersect("s_a", "s_b"))
-    full = pairs.join(two, "b").join(one, "a").withColumn("common", common)
+    full = pairs.join(two, "b").join(one, ["a", "lot"]).withColumn("common", common)
     return full.filter(100 * F.col("common") >= percent * (F.size("s_a") + F.size("s_b") - F.col("common"))).select("a", "b")
 
 
@@ -199,13 +208,13 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
 
 
 def settle(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join components within buckets; members: (band, key, doc_id, component).
+    """Links (a, b) that join components within buckets; members: (band, key, node, component).
 
     A bucket is dealt into blocks of about SETTLED members by a hash of their ids; each pair of blocks is one group."""
     sizes = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2")
     blocks = F.ceil(F.col("n") / SETTLED).cast("int")
-    dealt = members.join(sizes.select("band", "key", blocks.alias("blocks")), ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    grouped = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "component")
+    dealt = members.join(sizes.select("band", "key", blocks.alias("blocks")), ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    grouped = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "component")
     groups = written(grouped, "groups")
     least = percent / 100 - SLACK
     keys = ["band", "key", "p", "q"]
@@ -234,12 +243,12 @@ def settle(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if len(seen) < 1_000_000:
                 seen.add(digest)
             n = int(hit.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([digest] * n, pa.binary()), pa.array([key[2] == key[3]] * n, pa.bool_()), *(pa.array(x[hit], pa.int64()) for x in (own, ids, labels))], ["digest", "alone", "own", "doc_id", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array([digest] * n, pa.binary()), pa.array([key[2] == key[3]] * n, pa.bool_()), *(pa.array(x[hit], pa.int64()) for x in (own, ids, labels))], ["digest", "alone", "own", "node", "component"])
 
-    marked = groups.join(sets.select("doc_id", "marks", "bands", F.size("shingles").cast("long").alias("size")), "doc_id").select(*keys, "own", "doc_id", "component", "marks", "size", F.expr("substring(bands, 1, 8 * band)").alias("earlier"))
+    marked = groups.join(sets.select("node", "marks", "bands", F.size("shingles").cast("long").alias("size")), "node").select(*keys, "own", "node", "component", "marks", "size", F.expr("substring(bands, 1, 8 * band)").alias("earlier"))
     spread = marked.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
     # one group of those with the same members, whatever bands they met in
-    chosen = in_arrow(spread, near, "digest binary, alone boolean, own long, doc_id long, component long").distinct()
+    chosen = in_arrow(spread, near, "digest binary, alone boolean, own long, node long, component long").distinct()
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, alone), rows in by_group(batches, 2):
@@ -269,31 +278,35 @@ def settle(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
-    full = chosen.join(sets.select("doc_id", "shingles"), "doc_id").select("digest", "alone", "own", "doc_id", "component", "shingles")
+    full = chosen.join(sets.select("node", "shingles"), "node").select("digest", "alone", "own", "node", "component", "shingles")
     return in_arrow(full.repartition("digest").sortWithinPartitions("digest"), exact, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept), a row for each row of docs."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # an id that is repeated with other texts has several versions
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
     base = written(sketched(docs, words), "sketched")
     members = base.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    # a class's band hashes are the same in every row of it
-    classes = members.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    held = classes.select(F.col("rep").alias("doc_id"), F.posexplode("bands").alias("band", "key"))
-    buckets = held.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    buckets = written(held.join(buckets, ["band", "key"]).select("band", "key", "doc_id", "pivot"), "buckets")
-    pairs = buckets.filter("pivot <> doc_id").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    wanted = buckets.select("doc_id").distinct()
-    # a repeated id stands for one of its rows
-    sets = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
+    # a class's band hashes are the same in every row of it; numbers are settled as the table is written
+    classes = members.groupBy("digest").agg(F.min(F.struct("doc_id", "version")).alias("rep"), F.first("bands").alias("bands"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("rep.doc_id").alias("rep"), F.col("rep.version").alias("version"), "bands"), "classes")
+    held = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = held.groupBy("band", "key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    buckets = written(held.join(buckets, ["band", "key"]).select("band", "key", "node", "pivot", "n"), "buckets")
+    pairs = buckets.filter("pivot <> node").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n"))
+    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "version")
+    sets = written(shingle_sets(docs.join(wanted, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"]), words), "sets")
     links = written(confirmed(pairs, sets, percent), "links")
-    # rows that repeat an id with other words join its classes
-    copies = members.join(classes.select("digest", "rep"), "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     first = written(components(links), "components")
-    label = lambda df, found: df.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    more = settle(label(buckets.select("band", "key", "doc_id"), first), sets, percent)
-    linked = components(links.unionAll(written(more, "settled")).unionAll(copies))
-    out = base.join(linked.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    label = lambda df, found: df.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = settle(label(buckets.select("band", "key", "node"), first), sets, percent)
+    placed = written(base.drop("bands").join(classes.select("digest", "node", "rep"), "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "rep"), "placed")
+    # the versions of an id are linked
+    versions = placed.filter("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b <> last")
+    versions = placed.join(versions.select("doc_id", "b"), "doc_id").select(F.col("node").alias("a"), "b").filter("a <> b").distinct()
+    linked = written(components(links.unionAll(written(more, "settled")).unionAll(versions)), "linked")
+    least = linked.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    least = linked.join(least, "component").select("node", "component_id")
+    out = placed.join(least, "node", "left").withColumn("component_id", F.when(F.col("node").isNotNull(), F.coalesce("component_id", "rep")).otherwise(F.col("doc_id")))
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
