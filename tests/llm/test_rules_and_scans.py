@@ -41,6 +41,18 @@ def test_host_verdicts(docs_of):
     assert quality_rules.quality_rules(docs_of([])).count() == 0
 
 
+def test_a_null_host_is_apart_from_any_named_one(docs_of):
+    good = " ".join(f"w{i}" for i in range(20))
+    rows = quality_rules.quality_rules(docs_of([good] * 3 + ["bad"] * 30, sources=[None, "\x00", ""] + ["\x00"] * 30)).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(33)) and [r["doc_id"] for r in rows if r["kept"]] == [0, 2]
+
+
+def test_a_text_of_many_words(docs_of):
+    words = [f"w{i % 50_000}" for i in range(200_000)]
+    row = quality_rules.quality_rules(docs_of([" ".join(words), " ".join(map(str, range(200_000)))])).orderBy("doc_id").collect()
+    assert [r["n_repeat_words"] for r in row] == [200_000, 0] and [r["n_words"] for r in row] == [200_000] * 2
+
+
 def base_spans(t):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]

@@ -4,7 +4,9 @@ Each text's counts come from arrays within its own row. Failures of the base rul
 hosts' rates are shrunk towards a beta prior fitted to all hosts by moments, and the verdicts are joined back.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Null texts have no words and fail the base rule (fewer than 10 words), as do empty
-ones. Documents without a host form one host. Other columns are not read. Repeated rows each give a row."""
+ones. Documents without a host form one host, apart from any that is named. Windows of words are compared by 64-bit
+hashes: two different windows of a text of n words are taken for equal with a chance of about n^2 / 2^65. Other
+columns, whatever their names, are not read. Repeated rows each give a row, and an empty table gives none."""
 
 from __future__ import annotations
 
@@ -21,8 +23,8 @@ SPACES, SYMBOLS = r"[ \x09-\x0D]+", r"[#*$%&|<>]"
 
 def repeated_words(found: Column) -> Column:
     """How many words lie in the windows whose positions (from 0, ascending, one or none) are in `found`."""
-    return F.when(F.size(found) == 0, 0).otherwise(
-        F.aggregate(F.sequence(F.lit(1), F.size(found)), F.lit(0), lambda s, k: s + F.when(k == F.size(found), WINDOW).otherwise(F.least(F.lit(WINDOW), F.get(found, k) - F.get(found, k - 1))))
+    return F.when(F.size(found) > 0,
+        F.aggregate(F.sequence(F.lit(1), F.size(found)), F.lit(0), lambda s, k: s + F.when(k == F.size(found), WINDOW).otherwise(F.least(F.lit(WINDOW), F.get(found, k) - F.get(found, k - 1)))),
     )
 
 
@@ -30,21 +32,22 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
-    rows = rows.select("doc_id", "host", "text", F.filter(F.split(text, SPACES), lambda w: w != "").alias("words"))
+    rows = rows.select("doc_id", "host", "text", F.array_remove(F.split(text, SPACES), "").alias("words"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]"))
+    # a window is hashed as the array of its words
+    windows = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda k: F.xxhash64(F.slice("words", k, WINDOW))))
     rows = rows.select(
         "doc_id", "host", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), lines.alias("lines"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), lines.alias("lines"), windows.alias("windows"),
     )
     rows = rows.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
-    # windows by hash and position: those of one hash lie side by side
-    at = lambda k: F.xxhash64(*[F.get("h", k + i) for i in range(WINDOW)])
-    windows = F.when(F.size("h") >= WINDOW, F.array_sort(F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), lambda k: F.struct(at(k).alias("h"), k.alias("k")))))
-    rows = rows.withColumn("windows", F.coalesce(windows, F.array().cast("array<struct<h:bigint,k:int>>"))).drop("h")
+    # only where some hash comes twice are the windows sorted by hash and position, which lays equal ones side by side
+    twice = F.size(F.array_distinct("windows")) < F.size("windows")
+    rows = rows.withColumn("windows", F.when(twice, F.sort_array(F.transform("windows", lambda h, k: F.struct(h.alias("h"), k.alias("k"))))))
     same = lambda a, b: F.get("windows", a)["h"] == F.get("windows", b)["h"]
     again = F.filter(F.transform("windows", lambda x, k: F.when(F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)), x["k"])), lambda k: k.isNotNull())
-    rows = rows.withColumn("again", F.array_sort(again)).drop("windows")
-    rows = rows.withColumn("n_repeat_words", repeated_words(F.col("again")).cast("long")).drop("again")
+    rows = rows.withColumn("again", F.sort_array(again)).drop("windows")
+    rows = rows.withColumn("n_repeat_words", F.coalesce(repeated_words(F.col("again")), F.lit(0)).cast("long")).drop("again")
     return rows.withColumn("base_failed", (F.col("n_words") < FEWEST) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words")))
 
 
@@ -67,6 +70,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rule and its host does not fail."""
     counts = written(document_counts(docs, id_col, text_col, host_col), "counts")
     hosts = host_verdicts(counts, host_rate)
-    joined = counts.alias("c").join(hosts.select(F.col("host").alias("of"), "shrunk_rate", "host_failed").alias("h"), F.coalesce(F.col("c.host"), F.lit("\x00")) == F.coalesce(F.col("h.of"), F.lit("\x00")), "left")
+    joined = counts.alias("c").join(hosts.select(F.col("host").alias("of"), "shrunk_rate", "host_failed").alias("h"), F.col("c.host").eqNullSafe(F.col("h.of")), "left")
     kept = ~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))
     return joined.select(F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("c.host").alias("host"), "shrunk_rate", "host_failed")

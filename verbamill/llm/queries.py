@@ -129,7 +129,7 @@ FROM n LEFT JOIN member m ON m.doc_id = n.doc_id LEFT JOIN label ON label.node =
 #: The counts by windows as rows, and the hosts' shrunk rates.
 OP10_SQL = """
 WITH x AS (
-  SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda z: z <> '') AS words,
+  SELECT doc_id, source AS host, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda z: z <> '') AS words,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda z: regexp_matches(z, '[^ \\x09-\\x0D]')) AS lines FROM documents),
 g AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - 3), lambda i: {'i': i, 'g': array_to_string(words[i:i + 4], ' ')})) AS u FROM x WHERE len(words) >= 5),
 d AS (SELECT doc_id, u.i AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, u.g) AS n FROM g) WHERE n > 1),
@@ -143,7 +143,7 @@ q AS (SELECT avg(k / n) AS mean, var_pop(k / n) AS var FROM h),
 r AS (SELECT mean, CASE WHEN var > 0 THEN greatest(1.0, least(1000.0, mean * (1 - mean) / var - 1)) ELSE 1000.0 END AS strength FROM q),
 v AS (SELECT host, (k + mean * strength) / (n + strength) >= 0.6 AS failed FROM h, r)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT failed AS kept FROM f JOIN v USING (host)
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT failed AS kept FROM f JOIN v ON f.host IS NOT DISTINCT FROM v.host
 """
 
 ORACLE_SQL: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op5_minhash_neardup": OP5_SQL, "op6_merkle_fixity": OP6_SQL, "op10_quality_rules": OP10_SQL}
