@@ -49,8 +49,16 @@ def ship(spark: SparkSession) -> None:
     sc._verbamill_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which the cluster names in spark.checkpoint.dir. Where that setting is
+    absent, one of our own in local mode alone: other machines could not read what is written there."""
+    if kept := spark.conf.get("spark.checkpoint.dir", ""):
+        return kept.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return str(Path(tempfile.gettempdir()) / "verbamill-checkpoints")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one that the cluster names in spark.checkpoint.dir; one of our own where that
-    setting is absent."""
-    kept = spark.conf.get("spark.checkpoint.dir", "") or str(Path(tempfile.gettempdir()) / "verbamill-checkpoints")
-    return f"{kept.rstrip('/')}/verbamill/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one."""
+    return f"{shared_folder(spark)}/verbamill/{name}-{uuid.uuid4().hex}"
