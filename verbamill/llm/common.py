@@ -5,9 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from verbamill.session import ship
+from verbamill.session import shared_folder, ship
 
 #: Rows turned into Python objects at a time, so that a batch of long texts is not held twice.
 ROWS_AT_ONCE = 256
@@ -31,21 +29,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where the setting is absent."""
-    kept = spark.conf.get("spark.checkpoint.dir", "")
-    if kept:
-        return kept.rstrip("/")
-    own = os.path.join(tempfile.gettempdir(), "verbamill-checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table in the shared folder: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/verbamill/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/verbamill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

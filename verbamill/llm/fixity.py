@@ -5,8 +5,10 @@ records in order of offset, and FAN neighbouring nodes make one of the next leve
 Two replicas are compared root by root; only below nodes that differ are children compared, and only in ranges that
 differ are records. So of an intact replica no more than the roots is compared.
 
-Records whose payload or URL is null are records with an empty one. Records without an id belong to file -1. Files
-that one side lacks are reported record by record. Repeated rows are records of their own."""
+Records whose payload or URL is null are records with an empty one. Records without an id are dealt by a hash into
+NAMELESS files of their own. Files that one side lacks are reported record by record. Repeated rows are records of
+their own, in order of their hashes. Replicas without rows agree; an empty one lacks every record of the other. Other
+columns, whatever their names, are not read."""
 
 from __future__ import annotations
 
@@ -15,26 +17,36 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Records of a file, bytes of a leaf, and children of a node.
-PER_FILE, RANGE, FAN = 1000, 1 << 16, 16
+#: Records of a file, bytes of a leaf, and children of a node; files for records without an id.
+PER_FILE, RANGE, FAN, NAMELESS = 1000, 1 << 16, 16, 1 << 20
 
 
 def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", per_file: int = PER_FILE) -> DataFrame:
-    """(warc_file, offset, length, id_col, record): pages as records of WARC files of ids that follow each other."""
+    """(warc_file, length, id_col, record): pages as records of WARC files of ids that follow each other."""
     body = F.coalesce(F.col(body_col), F.lit(""))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "), F.coalesce(F.col(url_col), F.lit("")), F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")),
         F.lit(">\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
-    rows = pages.select(F.coalesce(F.floor(F.col(id_col) / per_file), F.lit(-1)).cast("long").alias("warc_file"), F.col(id_col), F.concat(head, body, F.lit("\r\n\r\n")).alias("record"))
-    rows = rows.withColumn("length", F.octet_length("record").cast("long"))
-    before = F.sum("length").over(Window.partitionBy("warc_file").orderBy(id_col, "record").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.select("warc_file", F.coalesce(before, F.lit(0)).cast("long").alias("offset"), "length", id_col, "record")
+    nameless = F.pmod(F.xxhash64(url_col, body_col), F.lit(NAMELESS)) - F.lit(1 << 62)
+    rows = pages.select(F.coalesce(F.floor(F.col(id_col) / per_file), nameless).cast("long").alias("warc_file"), F.col(id_col), F.concat(head, body, F.lit("\r\n\r\n")).alias("record"))
+    return rows.select("warc_file", F.octet_length("record").cast("long").alias("length"), id_col, "record")
 
 
-def digests(records: DataFrame, record_col: str = "record") -> DataFrame:
-    """The records' hashes in place of their bytes."""
-    return records.withColumn("sha256", F.sha2(F.col(record_col).cast("binary"), 256)).drop(record_col)
+def fixed(record: Column) -> Column:
+    return F.sha2(record.cast("binary"), 256)
+
+
+def placed(hashed: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """Adds each record's offset in its file, from the lengths of those before it by id and hash; records are known by
+    their hashes here, so none of their bytes are shuffled."""
+    before = F.sum("length").over(Window.partitionBy("warc_file").orderBy(id_col, "sha256").rowsBetween(Window.unboundedPreceding, -1))
+    return hashed.withColumn("offset", F.coalesce(before, F.lit(0)).cast("long"))
+
+
+def digests(records: DataFrame, id_col: str = "page_id", record_col: str = "record") -> DataFrame:
+    """The records' offsets and hashes in place of their bytes."""
+    return placed(records.withColumn("sha256", fixed(F.col(record_col))).drop(record_col), id_col)
 
 
 def _hash(*order: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_topk, fixity, neardup, packing, quality_classifier, quality_rules, secret_scan, token_counts, toxicity
-from .common import spread, table
+from .common import spread, table, written
 
 #: A document of more tokens than this is over the limit.
 TOKEN_LIMIT = 512
@@ -43,9 +43,11 @@ def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of the pages, as the records of WARC files, against a second replica. The tables hold one copy only, so
     the other is that copy with known damage: every 61st page's record has another last byte, every 61st is gone."""
     records = fixity.warc_records(table(spark, sf_dir, "pages"))
-    whole = F.substring("record", 1, F.length("record") - 5)
-    damaged = records.filter(F.coalesce(F.col("page_id") % 61 != 1, F.lit(True))).withColumn("record", F.when(F.col("page_id") % 61 == 0, F.concat(whole, F.lit("~\r\n\r\n"))).otherwise(F.col("record")))
-    return fixity.audit(fixity.digests(records), fixity.digests(damaged))
+    other = F.when(F.col("page_id") % 61 == 0, F.concat(F.substring("record", 1, F.length("record") - 5), F.lit("~\r\n\r\n"))).otherwise(F.col("record"))
+    kept = F.coalesce(F.col("page_id") % 61 != 1, F.lit(True))
+    both = records.select("warc_file", "length", "page_id", fixity.fixed(F.col("record")).alias("sha256"), F.when(kept, fixity.fixed(other)).alias("other"))
+    both = written(fixity.placed(both), "replicas")
+    return fixity.audit(both.drop("other"), both.filter("other IS NOT NULL").withColumn("sha256", F.col("other")).drop("other"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
