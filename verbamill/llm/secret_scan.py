@@ -1,11 +1,15 @@
 """Secret scans: three base patterns, and novelty against a dictionary for what no pattern names.
 
 A candidate of the second kind is an unbroken run of at least SHORTEST characters with both letters and digits that
-follows a sensitive word within NEAR characters and lies in no base span. Its cost is the bytes that zstandard needs
-for it beyond those for the text around it alone, primed with a dictionary of that text and of common identifiers. A
-run that costs at least NOVEL of its length says nothing that its surroundings or the identifiers say.
+begins within `near` characters of a sensitive word and meets no base span. Its cost is the bytes that zstandard needs
+for it beyond those for the text around it alone, primed with a dictionary of identifiers and of `around` characters
+of that text on either side. A run that costs at least the share `novel` of what a random run would says nothing that
+its surroundings or the identifiers say. A random run costs its length, but from CODED characters on, where zstandard
+codes literals, as many bytes as the kind of its characters needs (LATER of them being enough).
 
-Spans are in code points, the end exclusive. Null and empty texts have none. Repeated rows each give a row."""
+Spans are in code points, the end exclusive. Null and empty texts have none, and tables without rows give none. A long
+text is scanned as a whole, in time that grows with its length. Spans that begin together are in order of kind.
+Repeated rows each give a row. Other columns, whatever their names, are not read."""
 
 from __future__ import annotations
 
@@ -28,6 +32,7 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = r"(?i:pass|secret|token|api.?key|access.?key|private.?key|credential|bearer|auth|pwd)"
 RUN, REST = r"[A-Za-z0-9+/_=-]{16,}", r"[A-Za-z0-9+/_=-]*"
 NEAR, SHORTEST, AROUND, NOVEL = 48, 16, 2048, 0.7
+CODED, LATER = 64, 0.9
 #: Identifiers of common code and configuration.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret "
@@ -41,10 +46,18 @@ IDENTIFIERS = (
 )
 
 
+def random_bytes(run: str) -> float:
+    """Bytes that a random run of that length and kind of characters needs."""
+    kinds = (("0-9a-f", 4.0), ("0-9A-F", 4.0), ("0-9a-z", 5.17), ("0-9A-Z", 5.17))
+    return len(run) * next((bits for chars, bits in kinds if re.fullmatch(f"[{chars}]+", run)), 6.0) / 8
+
+
 class Scanner:
-    def __init__(self):
+    def __init__(self, near: int = NEAR, around: int = AROUND, novel: float = NOVEL):
         import zstandard
 
+        self.near, self.around, self.share = near, around, novel
+
         self.zstandard = zstandard
         self.assign, self.access, self.hex = (re.compile(x) for x in (ASSIGN, ACCESS, HEX))
         self.sensitive, self.run, self.rest = (re.compile(x) for x in (SENSITIVE, RUN, REST))
@@ -63,19 +76,24 @@ class Scanner:
         tail = before[-16:]
         return len(squeeze.compress((tail + run).encode())) - len(squeeze.compress(tail.encode()))
 
+    def is_novel(self, text: str, start: int, end: int) -> bool:
+        run = text[start:end]
+        cost = self.cost(text[max(0, start - self.around) : start], run, text[end : end + self.around])
+        return cost >= (self.share * len(run) if len(run) < CODED else LATER * random_bytes(run))
+
     def novel(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        out, through = [], -1
+        """base: sorted spans. One pass over them and the candidates, both from left to right."""
+        out, through, at, reached = [], -1, 0, -1
         for word in self.sensitive.finditer(text):
             # every run that starts near the word; those that an earlier word has led to are tested already
-            while m := self.run.search(text, max(word.end(), through), word.end() + NEAR + SHORTEST):
-                if m.start() > word.end() + NEAR:
+            while m := self.run.search(text, max(word.end(), through), word.end() + self.near + SHORTEST):
+                if m.start() > word.end() + self.near:
                     break
                 start, end = m.start(), self.rest.match(text, m.end()).end()  # the run may pass the stretch searched
-                run = text[start:end]
                 through = end
-                if not (re.search(r"[0-9]", run) and re.search(r"[A-Za-z]", run)) or any(a < end and start < b for a, _, b in base):
-                    continue
-                if self.cost(text[max(0, start - AROUND) : start], run, text[end : end + AROUND]) >= NOVEL * len(run):
+                while at < len(base) and base[at][0] < end:
+                    reached, at = max(reached, base[at][2]), at + 1
+                if reached <= start and re.search(r"[0-9]", text[start:end]) and re.search(r"[A-Za-z]", text[start:end]) and self.is_novel(text, start, end):
                     out.append((start, 3, end))
         return out
 
@@ -105,11 +123,11 @@ def masked(text: str | None, spans: list[tuple[int, int, int]], mark: str = "[SE
     return "".join(out) + text[at:]
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, around: int = AROUND, novel: float = NOVEL) -> DataFrame:
     """(id_col, n_assign, n_access, n_hex, base_sha256, spans, n_novel)."""
 
     def start():
-        scanner = Scanner()
+        scanner = Scanner(near, around, novel)
 
         def each(rows):
             found = [scanner.scan(text) for _, text in rows]
@@ -124,12 +142,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(rows, start, schema, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long").withColumnRenamed("doc_id", id_col)
 
 
-def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def mask_secrets(docs: DataFrame, text_col: str = "text", near: int = NEAR, around: int = AROUND, novel: float = NOVEL) -> DataFrame:
     """docs with the secrets in its text replaced by a mark; other columns and rows as they are."""
     fields = docs.schema
 
     def start():
-        scanner, at = Scanner(), fields.names.index(text_col)
+        scanner, at = Scanner(near, around, novel), fields.names.index(text_col)
 
         def each(rows):
             columns = [list(x) for x in zip(*rows)]
