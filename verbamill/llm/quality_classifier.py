@@ -4,8 +4,10 @@ The interactions of all pairs of a document's features cost one pass over them,
 square of the sum and the sum of the squares of each factor. It is fitted by Adam on at most `most` labelled rows
 outside the held-out fold. Words are hashed to WORDS buckets, each statistic falls into one of BINS bins.
 
-Null and empty texts are scored by their statistics. Without labels of both kinds every score is 0.5 (predicted 1).
-Labels, lang, source and doc_id are never inputs. Repeated rows each give a row."""
+Null and empty texts are scored by their statistics, null metadata by a bin of its own. Without labels of both kinds
+every score is 0.5 (predicted 1), and tables without rows give none. Labels, lang, source and doc_id are never inputs;
+rows with null labels or ids teach nothing, and of rows that repeat an id one does. Repeated rows each give a row.
+Other columns, whatever their names, are not read."""
 
 from __future__ import annotations
 
@@ -114,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", of: int = 3,
             found = [features(text, extra) for _, text, *extra in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([i.astype("<u2").tobytes() for i, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], ["label", "index", "value"])
 
-    # at most `most` rows, or as many as repeat their ids
+    # at most `most` rows
     found = in_arrow(sample, run, "label int, index binary, value binary").collect()
     known = np.array([r["label"] for r in found], float)
     if len({*known}) < 2:

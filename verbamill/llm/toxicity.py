@@ -8,8 +8,10 @@ E[exp(scale * score)] = 1 over the clean tokens, its place is fitted to the clea
 is its segments' scores on that scale, summed over those that are significant, and a logistic curve turns it into a
 probability.
 
-Null and empty texts have no segments. Without labels of both kinds every score is 0 (predicted 0). Labels, lang,
-source and doc_id are never inputs. Repeated rows each give a row. Tables are hashed, so their size does not grow."""
+Null and empty texts have no segments. Without labels of both kinds every score is 0 (predicted 0), and tables without
+rows give none. Labels, lang, source and doc_id are never inputs; rows with null labels or ids teach nothing, and of
+rows that repeat an id one does. Repeated rows each give a row. Tables are hashed, so their size does not grow. Other
+columns, whatever their names, are not read."""
 
 from __future__ import annotations
 
@@ -17,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,10 +110,13 @@ class ToxicSegments:
             low, high = (mid, high) if (weights * np.exp(np.minimum(mid * scores, 50))).sum() < 1 else (low, mid)
         self.scale = low
 
-    def fit_curve(self, n: np.ndarray, best: list[list[tuple[int, int, float]]], labels: np.ndarray) -> None:
-        clean = [self.scale * max(s for _, _, s in f) - np.log(max(k, 1)) for k, f, y in zip(n, best, labels) if f and not y]
-        self.place = float(np.mean(clean)) - 0.5772 if clean else 0.0
-        x = np.minimum([self.statistic(k, f) for k, f in zip(n, best)], 30.0)
+    def fit_place(self, n: np.ndarray, best: np.ndarray) -> None:
+        """n, best: tokens and best segment's score of each clean text that has a segment."""
+        found = self.scale * best - np.log(np.maximum(n, 1))
+        self.place = float(found.mean()) - 0.5772 if len(found) else 0.0
+
+    def fit_curve(self, statistics: np.ndarray, labels: np.ndarray) -> None:
+        x = np.minimum(statistics, 30.0)
         a, b = 1.0, 0.0
         for _ in range(200):  # Newton steps of a logistic regression, lightly held to a slope of 1
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -124,7 +130,6 @@ class ToxicSegments:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 5, held_out: int = 0, most: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> ToxicSegments | None:
-    spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, of, held_out, most, id_col, (text_col,))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,27 +153,54 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 5, h
     if not tables[2].all():
         return None
     model = ToxicSegments(tables[0], tables[1], tables[2][0])
-    sent = spark.sparkContext.broadcast(model)
+    law, best = best_segments(sample, model)
+    model.fit_law((LAW_BINS[1:] + LAW_BINS[:-1]) / 2, np.maximum(law, 1e-9))
+    clean = best[(best.label == 0) & (best.best > 0)]
+    model.fit_place(clean.n.to_numpy(), clean.best.to_numpy())
+    found = statistics(sample, model)
+    model.fit_curve(found.statistic.to_numpy(), found.label.to_numpy().astype(float))
+    return model
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+
+def own_segments(model: ToxicSegments, text: str | None, label: int) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+    """Scores and segments of a labelled text, its own document taken out of its tokens' counts, or it would vouch for
+    itself."""
+    words = tokens(text)
+    own = {w: left_out(model, w, label) for w in set(words)}
+    scores = np.fromiter(map(own.__getitem__, words), np.float64, len(words))
+    return scores, segments(scores) if len(words) and scores.max() > 0 else []
+
+
+def best_segments(sample: DataFrame, model: ToxicSegments) -> tuple[np.ndarray, pd.DataFrame]:
+    """How many clean tokens have a score in each of LAW_BINS; and (label, n, best) of each text of the sample."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in rows_of(batches):
-            # each text's own documents are taken out of its tokens' counts, or it would vouch for itself
-            out = []
+            law, out = np.zeros(len(LAW_BINS) - 1, np.int64), []
             for y, text in rows:
-                words = tokens(text)
-                own = {w: left_out(model, w, int(y > 0)) for w in set(words)}
-                scores = np.fromiter(map(own.__getitem__, words), np.float64, len(words))
-                found = segments(scores) if len(words) and scores.max() > 0 else []
-                negative, spread = np.histogram(scores, bins=LAW_BINS)[0], [s for _, _, s in found]
-                out.append((int(y > 0), len(words), spread, negative.tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64())))], ["label", "n", "scores", "law"])
-
-    found = in_arrow(sample, scan, "label int, n long, scores array<double>, law array<long>").collect()
-    law = np.sum([r["law"] for r in found if not r["label"]], axis=0)
-    model.fit_law((LAW_BINS[1:] + LAW_BINS[:-1]) / 2, np.maximum(law, 1e-9))
-    model.fit_curve(np.array([r["n"] for r in found]), [[(0, 0, s) for s in r["scores"]] for r in found], np.array([r["label"] for r in found], float))
-    return model
+                scores, found = own_segments(sent.value, text, int(y > 0))
+                if not y > 0:
+                    law += np.histogram(scores, bins=LAW_BINS)[0]
+                out.append((int(y > 0), len(scores), max((s for _, _, s in found), default=0.0)))
+            laws = pa.array([law.tolist(), *[None] * (len(rows) - 1)], pa.list_(pa.int64()))  # one for all rows
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.float64()))), laws], ["label", "n", "best", "law"])
+
+    # four numbers for each of at most `most` rows
+    found = in_arrow(sample, run, "label int, n long, best double, law array<long>").toPandas()
+    return np.sum([*found.law.dropna(), np.zeros(len(LAW_BINS) - 1)], axis=0), found
+
+
+def statistics(sample: DataFrame, model: ToxicSegments) -> pd.DataFrame:
+    """(label, statistic) of each text of the sample."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in rows_of(batches):
+            found = [own_segments(sent.value, text, int(y > 0)) for y, text in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([int(y > 0) for y, _ in rows], pa.int32()), pa.array([sent.value.statistic(len(x), f) for x, f in found], pa.float64())], ["label", "statistic"])
+
+    return in_arrow(sample, run, "label int, statistic double").toPandas()
 
 
 #: Bins of the clean tokens' scores.
