@@ -1,6 +1,11 @@
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import types as T
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 
 @pytest.fixture(scope="session")
 def docs_of(spark):

@@ -2,7 +2,9 @@
 
 import hashlib
 import os
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -92,18 +94,67 @@ def test_every_run_near_a_sensitive_word_is_tested():
     assert found(f"credential {first * 40}") == [] and found(f"credential auth {first}, bearer {second}") == [first, second]  # each once
 
 
+def test_long_runs_are_held_against_their_kind():
+    rng, scan = random.Random(3), secret_scan.Scanner().scan
+    for chars in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        for size in (16, 40, 64, 96, 128, 256, 600):
+            run = "A1" + "".join(rng.choice(chars) for _ in range(size - 2))
+            assert [text_kind for _, text_kind, _ in scan(f"the private key is {run} and no more")[1]] == [3], (chars, size)
+    assert not scan(f"the private key is {'the-server-of-the-house-2-' * 8} and no more")[1]
+
+
+def test_a_text_of_many_candidates_takes_time_in_proportion():
+    rng, texts = random.Random(4), []
+    one = lambda: f"password: {rng.getrandbits(40):x}zz auth {''.join(rng.choices('ABCDEFGHabcdefgh0123456789', k=20))} "
+    texts = ["".join(one() for _ in range(n)) for n in (1000, 8000)]
+    took = []
+    for t in texts:
+        began = time.perf_counter()
+        base, spans = secret_scan.Scanner(around=64).scan(t)
+        took.append(time.perf_counter() - began)
+        assert len(spans) > 1.9 * len(base) > 0
+    assert took[1] < 24 * took[0]
+
+
+@tables
+def test_novel_secrets_among_documents(spark):
+    """Random strings set into documents are found; the documents themselves, where no base span is, hold next to none."""
+    rng, scan = random.Random(6), secret_scan.Scanner().scan
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").filter("text IS NOT NULL").collect()]
+    alarms = sum(len(found) - len(base) for base, found in map(scan, texts))
+    planted = caught = 0
+    for t in texts[:400]:
+        secret = "a7" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=rng.randint(16, 60)))
+        words = t.split(" ")
+        at = rng.randint(0, len(words))
+        text = " ".join([*words[:at], "the credential is", secret, *words[at:]])
+        planted += 1
+        caught += any(text[a:b] == secret for a, k, b in scan(text)[1])
+    print("novelty: caught", caught, "of", planted, "alarms", alarms, "in", len(texts))
+    assert caught >= 0.98 * planted and alarms <= 0.02 * len(texts)
+
+
 def test_fixity_finds_each_damage(spark):
-    pages = spark.range(5000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), F.col("id")).alias("url"), F.repeat(F.lit("z"), (F.col("id") % 300).cast("int")).alias("html"))
-    records = fixity.warc_records(pages).cache()
-    clean = fixity.digests(records)
+    pages = spark.range(5000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), F.col("id")).alias("url"), F.repeat(F.lit("z"), (F.col("id") % 300).cast("int")).alias("html"), F.lit(0).alias("offset"), F.lit(0).alias("sha256"))
+    records = fixity.warc_records(pages)
+    clean = fixity.digests(records).cache()
     assert fixity.audit(clean, clean).count() == 0
-    worse = fixity.digests(records.filter("page_id <> 77").withColumn("record", F.when(F.col("page_id") == 4321, F.concat(F.lit("!"), "record")).otherwise(F.col("record"))))
+    worse = clean.filter("page_id <> 77").withColumn("sha256", F.when(F.col("page_id") == 4321, F.lit("!")).otherwise(F.col("sha256")))
     assert {(r["page_id"], r["status"]) for r in fixity.audit(clean, worse).collect()} == {(77, "missing"), (4321, "changed")}
     assert {(r["page_id"], r["status"]) for r in fixity.audit(worse, clean).collect()} == {(77, "extra"), (4321, "changed")}
-    odd = spark.createDataFrame([(None, None, None), (1, "u", None), (1, "u", None)], "page_id long, url string, html string")
-    assert fixity.audit(fixity.digests(fixity.warc_records(odd)), fixity.digests(fixity.warc_records(odd))).count() == 0
-    none = fixity.digests(fixity.warc_records(odd.filter("url = 'none'")))
-    assert fixity.audit(none, none).count() == 0
+    texts = {r["page_id"]: r["record"] for r in records.filter("page_id < 1000").collect()}
+    at = 0
+    for r in clean.filter("page_id < 1000").orderBy("page_id").collect():
+        assert (r["offset"], r["length"], r["sha256"]) == (at, len(texts[r["page_id"]]), hashlib.sha256(texts[r["page_id"]].encode()).hexdigest())
+        at += r["length"]
+
+
+def test_fixity_of_odd_and_no_records(spark):
+    odd = spark.createDataFrame([(None, None, None), (None, "u", "x"), (1, "u", None), (1, "u", None), (-5, "u", "y")], "page_id long, url string, html string")
+    found = fixity.digests(fixity.warc_records(odd)).cache()
+    assert found.count() == 5 and fixity.audit(found, found).count() == 0
+    none = found.filter("length < 0")
+    assert fixity.audit(none, none).count() == 0 and {r["status"] for r in fixity.audit(found, none).collect()} == {"missing"} and fixity.audit(found, none).count() == 5
 
 
 def test_maximal_segments_match_the_definition():

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from tests_llm_plain import linked, shingles
 from verbamill.llm import exact_topk, neardup
 
 
@@ -64,23 +65,7 @@ def test_search_over_many_blocks(spark, monkeypatch):
 
 
 def brute(texts, words, percent):
-    def shingles(t):
-        w = (t or "").encode().lower().split()
-        return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
-
-    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
-
-    def top(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, a in enumerate(sets):
-        for j in range(i):
-            b = sets[j]
-            if a and b and 100 * len(a & b) >= percent * len(a | b) and top(i) != top(j):
-                root[max(top(i), top(j))] = min(top(i), top(j))
-    return [(len(s), top(i)) for i, s in enumerate(sets)]
+    return [(len(shingles(t, words)), k) for t, k in zip(texts, linked(texts, words, percent))]
 
 
 @pytest.mark.parametrize("words", [4, 5])
