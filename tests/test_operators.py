@@ -1,5 +1,8 @@
 """Operators on hand-checked rows."""
 
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,15 +75,6 @@ def test_islands_and_overlaps(spark):
     assert [tuple(r) for r in spans.merged_overlaps(df, ["k"], "a", "b", "i").orderBy("start").collect()] == [(1, 3, 5, 2), (1, 8, 9, 1)]
 
 
-def test_windows_edits_and_aliases(spark):
-    df = spark.createDataFrame([(["a", "b", "c"],)], "w array<string>")
-    assert spans.token_windows(df.withColumn("k", F.lit(1)), "w", 3).count() == 6
-    edits = F.array(F.struct(F.lit("ab").alias("old"), F.lit("x").alias("new")))
-    assert spark.range(1).select(spans.apply_edits(F.lit("ab ab"), edits)).first()[0] == "x ab"
-    known = F.create_map(F.lit("ab"), F.lit("AB"), F.lit("a"), F.lit("A"))
-    assert df.select(spans.alias_rewrite(F.col("w"), known)).first()[0] == ["AB", "c"]
-
-
 def test_best_spans_do_not_overlap(spark):
     df = spark.createDataFrame([(1, 0, 3, 1.0), (1, 2, 5, 2.0), (1, 6, 7, 0.5)], "k int, a int, b int, s double")
     assert sorted((r["a"], r["b"]) for r in spans.best_spans(df, ["k"], "a", "b", "s").collect()) == [(2, 5), (6, 7)]
@@ -89,18 +83,50 @@ def test_best_spans_do_not_overlap(spark):
 def test_leak_guards(spark):
     df = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "id long, seg string")
     held = spark.createDataFrame([("y",)], "seg string")
-    assert sorted(r["id"] for r in joins.leak_guard(df, F.array("seg"), held, F.array("seg")).collect()) == [1, 3]
+    assert sorted(r["id"] for r in joins.leak_guard(df, F.array("seg"), held, F.array("seg"), "id").collect()) == [1, 3]
     texts = spark.createDataFrame([(1, "a b c d"), (2, "x b c y"), (3, "")], "id long, t string")
     bench = spark.createDataFrame([("q b c d",)], "t string")
     assert [r["id"] for r in joins.shared_ngrams(texts, words("t"), bench, words("t"), 3, "id").collect()] == [1]
 
 
-def test_language_model_probabilities_sum_below_one(spark):
-    df = spark.createDataFrame([(1, ["a", "b", "a", "b", "c"]), (2, ["a", "b"]), (3, [])], "id long, t array<string>")
+def test_language_model_backs_off(spark):
+    taught = [["a", "b", "a", "b", "c"], ["a", "b"], []]
+    asked = [["a", "b", "c"], ["z", "b", "c"], ["q"], ["a", "q"], []]
+    df, new = (spark.createDataFrame(list(enumerate(x)), "id long, t array<string>") for x in (taught, asked))
     table = lm.counts(df, "t", 3)
-    p = lm.probabilities(table, 3).groupBy("context").agg(F.sum("p").alias("p")).collect()
-    assert p and all(0 < r["p"] <= 1 + 1e-9 for r in p)
-    assert {r["id"]: r["words"] for r in lm.sentence_scores(df, "id", "t", table, 3).collect()} == {1: 5, 2: 2}
+    full = [["<s>", "<s>", *t, "</s>"] for t in taught if t]
+    grams = Counter(tuple(s[i : i + n]) for s in full for n in (1, 2, 3) for i in range(len(s) - n + 1))
+    assert {tuple([*r["context"].split(), r["word"]]): r["count"] for r in table.collect()} == dict(grams)
+    follows = Counter(g[-1] for g in grams if len(g) > 1)
+
+    def p(word, *context):
+        if not context:
+            return follows[word] / sum(follows.values())
+        total, kinds = sum(n for g, n in grams.items() if g[:-1] == context), sum(g[:-1] == context for g in grams)
+        below = p(word, *context[1:])
+        return max(grams[(*context, word)] - 0.75, 0) / total + 0.75 * kinds / total * below if total else below
+
+    got = {r["id"]: r for r in lm.sentence_scores(new, "id", "t", table, 3).collect()}
+    assert set(got) == {0, 1, 2, 3}
+    for i, t in enumerate(asked[:4]):
+        s = ["<s>", "<s>", *t, "</s>"]
+        want = sum(math.log10(p(s[k], *s[k - 2 : k]) or 1e-10) for k in range(2, len(s)))
+        assert got[i]["words"] == len(t) and abs(got[i]["log10_p"] - want) < 1e-9 and abs(got[i]["perplexity"] - 10 ** (-want / len(t))) < 1e-6 * got[i]["perplexity"]
+
+
+def test_windows_and_edits(spark):
+    df = spark.createDataFrame([(["a", "b", "c"],)], "w array<string>")
+    assert spans.token_windows(df.withColumn("k", F.lit(1)), "w", 3).count() == 6
+    edits = F.array(F.struct(F.lit("ab").alias("old"), F.lit("x").alias("new")))
+    assert spark.range(1).select(spans.apply_edits(F.lit("ab ab"), edits)).first()[0] == "x ab"
+
+
+def test_alias_rewrite(spark):
+    rows = [(1, "the red ring of red rings".split()), (2, "redring".split()), (3, "a b".split()), (4, []), (None, ["red"])]
+    df = spark.createDataFrame(rows, "id long, w array<string>")
+    known = spark.createDataFrame([("redring", "X"), ("redring", "Y"), ("red", "r"), ("ringofred", "Z")], "key string, value string")
+    got = {r["id"]: r["w"] for r in spans.alias_rewrite(df, "id", "w", known).collect()}
+    assert got == {1: ["the", "X", "of", "r", "rings"], 2: ["X"], 3: ["a", "b"], 4: [], None: ["red"]}
 
 
 def test_threshold_and_auc(spark):

@@ -1,8 +1,11 @@
 """Normalisers, splitters and predicates on inline fixtures, Arabic ones included."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from verbamill.functions import distance
 from verbamill.functions import python_text as P
 from verbamill.functions import text as X
 
@@ -90,3 +93,25 @@ def test_more_python_measures():
 
 def test_spelled_codes(spark):
     assert one(spark, X.spelled_codes(F.lit("code a b-1 2 then x y"))) == ["ab12"]
+
+
+def test_word_edits_of_many_distinct_words(spark):
+    a, b = [f"w{k}" for k in range(60_000)], [f"w{k}" for k in range(60_000) if k % 10_000]
+    rows = spark.createDataFrame([(a[:1500], b[:1500]), (a[:3], []), ([], [])], "a array<string>, b array<string>")
+    assert [r[0] for r in rows.select(distance.word_edits(F.col("a"), F.col("b"))).collect()] == [P.edits_of(a[:1500], b[:1500]), 3, 0]
+    far = spark.createDataFrame([(a[55_000:55_400] + a[:50], a[:55_000])], "a array<string>, known array<string>")
+    codes = far.select(F.length(distance._coded(F.col("a"), F.concat("known", "a"))), F.size(F.array_distinct(F.split(distance._coded(F.col("a"), F.concat("known", "a")), "")))).first()
+    assert codes[0] == 450 and codes[1] == 450  # beyond the surrogates too, one character each
+    assert P.edits_of(a, b) == 6
+
+
+def test_edits_as_bits_match_the_table():
+    rng = random.Random(5)
+    for _ in range(400):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        row = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            last, row = row, [i]
+            for j, q in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (p != q)))
+        assert P.edits_of(x, y) == row[-1]

@@ -1,4 +1,5 @@
-"""Edit distances. Word distances use the built-in levenshtein over one character for each distinct word of a pair."""
+"""Edit distances. Word distances of short texts use the built-in levenshtein over one character for each distinct word
+of a pair; those of long texts are functions.python_text.long_word_edits."""
 
 from __future__ import annotations
 
@@ -7,19 +8,22 @@ from pyspark.sql import functions as F
 
 from .text import let, words
 
-#: First code point that stands for a word; distinct words of a pair must stay below the surrogates.
-FIRST_CODE, MOST_WORDS = 0x4E00, 0xD800 - 0x4E00 - 1
+#: Words are code points from here on, which leave out the surrogates.
+FIRST_CODE, SURROGATES, MOST_WORDS = 0x4E00, 0xD800, 0x10FFFF - 0x4E00 - 0x800
 
 
 def _coded(of: Column, known: Column) -> Column:
-    code = lambda w: F.decode(F.unhex(F.hex((F.array_position(known, w) + FIRST_CODE).cast("int"))), "UTF-16BE")
+    point = lambda w: F.array_position(known, w) + FIRST_CODE
+    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.when(point(w) < SURROGATES, point(w)).otherwise(point(w) + 0x800)), 8, "0")), "UTF-32")
     return F.array_join(F.transform(of, code), "")
 
 
 def word_edits(ref: Column, hyp: Column) -> Column:
-    """Word-level edit distance of two arrays of words; null beyond MOST_WORDS distinct words."""
+    """Word-level edit distance of two arrays of words. Its time grows with the product of their lengths; more than
+    MOST_WORDS distinct words are an error."""
     pair = F.struct(ref.alias("r"), hyp.alias("h"), F.array_distinct(F.concat(ref, hyp)).alias("known"))
-    return let(pair, lambda p: F.when(F.size(p["known"]) <= MOST_WORDS, F.levenshtein(_coded(p["r"], p["known"]), _coded(p["h"], p["known"]))))
+    distance = lambda p: F.levenshtein(_coded(p["r"], p["known"]), _coded(p["h"], p["known"]))
+    return let(pair, lambda p: F.when(F.size(p["known"]) <= MOST_WORDS, distance(p)).otherwise(F.raise_error(F.lit("too many distinct words in a pair")).cast("int")))
 
 
 def wer(ref: Column | str, hyp: Column | str) -> Column:

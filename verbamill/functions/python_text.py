@@ -119,6 +119,34 @@ def partial_ratio_of(a: str, b: str) -> float:
     return max((indel_ratio_of(a, b[i : i + len(a)]) for i in range(len(b) - len(a) + 1)), default=0.0) if a else 0.0
 
 
+def edits_of(a: list, b: list) -> int:
+    """Edit distance of two sequences, a whole column of the table at a time as the bits of whole numbers."""
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[same:], b[same:]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score = every, 0, len(a)  # rows where the column rises by one, and where it falls
+    for x in b:
+        here = places.get(x, 0)
+        zero = ((((here & up) + up) ^ up) | here | down) & every
+        rises, falls = down | (every & ~(zero | up)), up & zero
+        score += bool(rises & last) - bool(falls & last)
+        rises, falls = (rises << 1 | 1) & every, (falls << 1) & every
+        up, down = falls | (every & ~(zero | rises)), rises & zero
+    return score
+
+
+def long_word_edits(ref: Column, hyp: Column) -> Column:
+    """Word-level edit distance of two texts of any length, words cut at white space."""
+    return _pairs(lambda x, y: edits_of(x.split(), y.split()), "long")(ref, hyp)
+
+
 def word_operations_of(ref: str, hyp: str) -> dict:
     """Substitutions, deletions and insertions of one best alignment; ties prefer them in this order."""
     r, h = ref.split(), hyp.split()

@@ -14,20 +14,25 @@ from verbamill.functions.text import let
 from verbamill.session import ship
 
 
-def leak_guard(df: DataFrame, ids: Column, held: DataFrame, held_ids: Column) -> DataFrame:
-    """Rows of df none of whose ids (an array) is an id (of an array) of the held-out rows."""
+def leak_guard(df: DataFrame, ids: Column, held: DataFrame, held_ids: Column, key: str) -> DataFrame:
+    """Rows of df none of whose ids (an array) is an id (of an array) of the held-out rows. Rows are known by `key`; all
+    that share one go together, and a null key is never leaking."""
     known = held.select(F.explode(held_ids).alias("_held")).filter("_held IS NOT NULL").distinct()
-    marked = df.withColumn("_row", F.monotonically_increasing_id())
-    leaking = marked.select("_row", F.explode(ids).alias("_held")).join(known, "_held", "left_semi").select("_row").distinct()
-    return marked.join(leaking, "_row", "left_anti").drop("_row")
+    leaking = df.select(key, F.explode(ids).alias("_held")).join(known, "_held", "left_semi").select(key).distinct()
+    return df.join(leaking, key, "left_anti")
 
 
 def shared_ngrams(df: DataFrame, words: Column, held: DataFrame, held_words: Column, n: int, id_col: str) -> DataFrame:
-    """Ids of df that share a run of n words with a held-out row. Runs of the held side are distinct first; where Spark
-    finds them small it sends them out, and the larger side is not shuffled."""
-    runs = lambda c: let(c, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))))
-    known = held.select(F.explode(runs(held_words)).alias("_run")).distinct()
-    return df.select(id_col, F.explode(F.array_distinct(runs(words))).alias("_run")).join(known, "_run", "left_semi").select(id_col).distinct()
+    """Ids of df that share a run of n words with a held-out row. Runs meet by a 64-bit hash, and only rows that met are
+    looked at again, by their words. Runs of the held side are distinct first; where Spark finds them small it sends
+    them out, and the larger side is not shuffled."""
+    each = lambda c, make: let(c, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: make(F.slice(w, i, n)))))
+    hashed, spelled = lambda r: F.xxhash64(r), lambda r: F.array_join(r, " ")
+    known = held.select(F.explode(each(held_words, hashed)).alias("_run")).distinct()
+    met = df.select(id_col, F.explode(F.array_distinct(each(words, hashed))).alias("_run")).join(known, "_run", "left_semi").select(id_col).distinct()
+    runs = held.select(F.explode(each(held_words, spelled)).alias("_run")).distinct()
+    again = df.join(met, id_col, "left_semi").select(id_col, F.explode(each(words, spelled)).alias("_run"))
+    return again.join(runs, "_run", "left_semi").select(id_col).distinct()
 
 
 def banded(left: DataFrame, right: DataFrame, a: str, b: str, most: int) -> DataFrame:

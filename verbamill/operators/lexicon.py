@@ -32,14 +32,13 @@ def overridden(parts: Sequence[DataFrame], key: str, tier: str) -> DataFrame:
 
 
 def trimmed(df: DataFrame, tier: str, keep_to: int, term: str, most: int) -> DataFrame:
-    """All terms of tiers up to keep_to, then others in order of the term up to `most`. Places come from counts by
-    leading letters, so no window holds the whole lexicon."""
+    """All terms of tiers up to keep_to, then others in order of tier and term up to `most`. What is kept of the others
+    is at most `most` rows, which Spark finds as the least of each partition's least."""
     sure, rest = df.filter(F.col(tier) <= keep_to), df.filter(F.col(tier) > keep_to)
-    heads = rest.withColumn("_head", F.left(F.col(term), F.lit(2)))
-    sizes = heads.groupBy("_head").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_head")) - F.col("_n"))
+    least = rest.orderBy(tier, term).limit(most).withColumn("_at", F.row_number().over(Window.orderBy(tier, term)))
     room = F.greatest(F.lit(most) - F.col("_sure"), F.lit(0))
-    placed = heads.join(sizes.drop("_n"), "_head").withColumn("_at", F.col("_before") + F.row_number().over(Window.partitionBy("_head").orderBy(term)))
-    placed = placed.join(F.broadcast(sure.agg(F.count("*").alias("_sure")))).filter(F.col("_at") <= room)
+    # one row of one number
+    placed = least.join(F.broadcast(sure.agg(F.count("*").alias("_sure")))).filter(F.col("_at") <= room)
     return sure.unionByName(placed.select(*df.columns))
 
 

@@ -72,19 +72,20 @@ def apply_edits(text: Column, edits: Column) -> Column:
     return F.aggregate(edits, text, one)
 
 
-def alias_rewrite(tokens: Column, aliases: Column, longest: int = 3) -> Column:
-    """Tokens with runs of up to `longest` that `aliases` (a map of joined tokens) knows replaced, from left to right,
-    the longest first."""
-    step = lambda s, i: F.when(i < s["next"], s).otherwise(choose(s, i))
-
-    def choose(s, i):
-        out = F.struct(F.concat(s["out"], F.array(F.get(tokens, i))).alias("out"), (i + 1).alias("next"))
-        for n in range(1, longest + 1):
-            key = F.array_join(F.slice(tokens, i + 1, n), "")
-            hit = (i + n <= F.size(tokens)) & F.map_contains_key(aliases, key)
-            out = F.when(hit, F.struct(F.concat(s["out"], F.array(F.element_at(aliases, key))).alias("out"), (i + n).alias("next"))).otherwise(out)
-        return out
+def alias_rewrite(df: DataFrame, id_col: str, tokens: str, aliases: DataFrame, longest: int = 3) -> DataFrame:
+    """df with runs of up to `longest` of its tokens (an array) replaced where, put together, they are a key of `aliases`
+    (key, value): from left to right, the longest first, no token twice. Of values that share a key the least is taken.
+    Runs meet keys by an equi-join, so the aliases may be any number; id_col must be unique and a row without it stays
+    as it is."""
+    known = aliases.groupBy("key").agg(F.min("value").alias("value"))
+    runs = token_windows(df.select(id_col, F.col(tokens).alias("_t")), "_t", longest).withColumn("key", F.array_join("window", ""))
+    hits = runs.join(known, "key").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("at", (-F.col("width")).alias("less"), "value"))).alias("_hits"))
+
+    def step(s, hit):
+        new = F.struct(F.concat(s["out"], F.slice(F.col(tokens), s["next"] + 1, hit["at"] - s["next"]), F.array(hit["value"])).alias("out"), (hit["at"] - hit["less"]).alias("next"))
+        return F.when(hit["at"] >= s["next"], new).otherwise(s)
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("next"))
-    at = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(at, start, step, lambda s: s["out"])
+    rest = lambda s: F.concat(s["out"], F.slice(F.col(tokens), s["next"] + 1, F.size(tokens) - s["next"]))
+    found = df.join(hits, id_col, "left")
+    return found.withColumn(tokens, F.when(F.col("_hits").isNull(), F.col(tokens)).otherwise(F.aggregate("_hits", start, step, rest))).select(*df.columns)

@@ -75,7 +75,7 @@ def leak_guard_ids(spark, sf_dir):
     """Rows none of whose ids is an id of any held-out table."""
     docs = table(spark, sf_dir, "documents")
     held = table(spark, sf_dir, "pages").select(F.col("page_id").alias("a"), F.lit(None).cast("long").alias("b")).unionAll(table(spark, sf_dir, "benchmark").select(F.lit(None).cast("long"), "item_id"))
-    return joins.leak_guard(docs, F.array("doc_id"), held, F.array("a", "b")).select("doc_id", "source")
+    return joins.leak_guard(docs, F.array("doc_id"), held, F.array("a", "b"), "doc_id").select("doc_id", "source")
 
 
 @query("leak_signature_overlap", "SELECT count(*) AS overlap FROM (SELECT DISTINCT md5(lower(trim(text))) AS s FROM documents WHERE lang = 'en' AND text IS NOT NULL) a JOIN (SELECT DISTINCT md5(lower(trim(text))) AS s FROM documents WHERE lang <> 'en' AND text IS NOT NULL) b USING (s)")

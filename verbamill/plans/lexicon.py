@@ -33,10 +33,13 @@ def lexicon_overridden(spark, sf_dir):
     return lexicon.overridden([rows.filter("p_size > 25").drop("p_size"), rows.filter("p_size <= 25").drop("p_size")], "term", "tier")
 
 
-@query("lexicon_trimmed", "WITH l AS (SELECT p_name AS term, CAST(min(1 + p_size % 5) AS INTEGER) AS tier FROM part WHERE p_size > 40 GROUP BY p_name), x AS (SELECT *, row_number() OVER (ORDER BY term) AS r FROM l WHERE tier > 1) SELECT term, tier FROM l WHERE tier <= 1 UNION ALL SELECT term, tier FROM x WHERE r <= 30 - (SELECT count(*) FROM l WHERE tier <= 1)")
+TIERS = "l AS (SELECT p_name AS term, CAST(1 + (min(p_size) + count(*)) % 4 AS INTEGER) AS tier FROM part GROUP BY p_name)"
+
+
+@query("lexicon_trimmed", f"WITH {TIERS}, x AS (SELECT *, row_number() OVER (ORDER BY tier, term) AS r FROM l WHERE tier > 1) SELECT term, tier FROM l WHERE tier <= 1 UNION ALL SELECT term, tier FROM x WHERE r <= 30 - (SELECT count(*) FROM l WHERE tier <= 1)")
 def lexicon_trimmed(spark, sf_dir):
-    """The lexicon's target size is the feature: 30 terms, tiers up to 1 all kept."""
-    rows = table(spark, sf_dir, "part").filter("p_size > 40").groupBy(F.col("p_name").alias("term")).agg(F.min(1 + F.col("p_size") % 5).cast("int").alias("tier"))
+    """The lexicon's target size is the feature: 30 terms, tiers up to 1 all kept, others by tier, then term."""
+    rows = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("term")).agg((1 + (F.min("p_size") + F.count("*")) % 4).cast("int").alias("tier"))
     return lexicon.trimmed(rows, "tier", 1, "term", 30)
 
 
@@ -151,14 +154,13 @@ def clitic_forms(spark, sf_dir):
     return lexicon.forms(bases, "base", ["re", "un"])
 
 
-@query("alias_rewrite")
+@query("alias_rewrite", "SELECT p_partkey, p_type || ' <' || p_name || '> ' || p_brand AS text FROM part")
 def alias_rewrite(spark, sf_dir):
-    """Runs of up to three words that the alias map knows, rewritten from left to right. The map has the vocabulary's
-    nouns and adjectives (some dozens), whatever the catalogue's size."""
+    """Runs of up to three words that are a known term once their spaces are gone, rewritten from left to right."""
     terms = names(spark, sf_dir)
-    known = terms.select(F.struct(alias_key("term").alias("k"), F.concat(F.lit("<"), F.col("term"), F.lit(">")).alias("v")).alias("e")).agg(F.map_from_entries(F.collect_list("e")).alias("aliases"))
+    known = terms.select(alias_key("term").alias("key"), F.concat(F.lit("<"), F.col("term"), F.lit(">")).alias("value"))
     rows = table(spark, sf_dir, "part").select("p_partkey", words(F.concat_ws(" ", "p_type", "p_name", "p_brand")).alias("w"))
-    return rows.join(F.broadcast(known)).select("p_partkey", F.array_join(spans.alias_rewrite(F.col("w"), F.col("aliases")), " ").alias("text"))
+    return spans.alias_rewrite(rows, "p_partkey", "w", known).select("p_partkey", F.array_join("w", " ").alias("text"))
 
 
 @query("membership_preferring_exact", "WITH t AS (SELECT DISTINCT p_type AS term FROM part UNION SELECT DISTINCT lower(p_type) FROM part), q AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type ELSE lower(p_type) END AS said FROM part) SELECT p_partkey, term FROM (SELECT p_partkey, term, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN term = said THEN 0 ELSE 1 END, term) AS r FROM q JOIN t ON lower(t.term) = lower(q.said)) WHERE r = 1")

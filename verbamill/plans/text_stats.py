@@ -116,7 +116,8 @@ def spoken(spark, sf_dir):
 
 
 PADDED = f"""t AS (SELECT conv_id || '-' || turn AS sid, {TOKENS} AS w FROM conversations),
-g AS (SELECT sid, n, unnest(list_transform(range(1, len(w) + 1), lambda i: {{'context': coalesce(list_aggregate((list_concat(list_transform(range(n - 1), lambda j: '<s>'), w))[i:i + n - 2], 'string_agg', ' '), ''), 'word': w[i]}})) AS x FROM t, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) > 0),
+q AS (SELECT sid, list_concat(['<s>', '<s>'], w, ['</s>']) AS w FROM t WHERE len(w) > 0),
+g AS (SELECT sid, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {{'context': coalesce(list_aggregate(w[i:i + n - 2], 'string_agg', ' '), ''), 'word': w[i + n - 1]}})) AS x FROM q, (SELECT unnest([1, 2, 3]) AS n)),
 m AS (SELECT n, x.context AS context, x.word AS word, count(*) AS count FROM g GROUP BY ALL)"""
 
 
@@ -132,20 +133,27 @@ def lm_continuations(spark, sf_dir):
 
 KN = f"""{PADDED}, c AS (SELECT word, count(*) AS k FROM m WHERE n > 1 GROUP BY word), b AS (SELECT word, k / (SELECT CAST(sum(k) AS DOUBLE) FROM c) AS p FROM c),
 z AS (SELECT n, context, CAST(sum(count) AS DOUBLE) AS total, count(*) AS follows FROM m GROUP BY n, context),
-p2 AS (SELECT m.context, m.word, greatest(m.count - 0.75, 0) / total + 0.75 * follows / total * p AS p FROM m JOIN z ON z.n = 2 AND m.n = 2 AND z.context = m.context JOIN b ON b.word = m.word),
-p3 AS (SELECT m.context, m.word, greatest(m.count - 0.75, 0) / total + 0.75 * follows / total * p AS p FROM m JOIN z ON z.n = 3 AND m.n = 3 AND z.context = m.context JOIN p2 ON p2.context = substr(m.context, instr(m.context, ' ') + 1) AND p2.word = m.word)"""
+h AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 1), lambda i: {{'context': w[i] || ' ' || w[i + 1], 'word': w[i + 2]}})) AS x
+  FROM (SELECT item_id, list_concat(['<s>', '<s>'], w, ['</s>']) AS w FROM (SELECT item_id, {TOKENS} AS w FROM benchmark) WHERE len(w) > 0)),
+a AS (SELECT DISTINCT x.context AS context, split_part(x.context, ' ', 2) AS last, x.word AS word FROM (SELECT x FROM h UNION ALL SELECT x FROM g WHERE n = 3)),
+p1 AS (SELECT a.*, coalesce(b.p, 0) AS p FROM a LEFT JOIN b ON b.word = a.word),
+p2 AS (SELECT p1.context, p1.word, CASE WHEN total IS NULL THEN p ELSE greatest(coalesce(m.count, 0) - 0.75, 0) / total + 0.75 * follows / total * p END AS p
+  FROM p1 LEFT JOIN m ON m.n = 2 AND m.context = p1.last AND m.word = p1.word LEFT JOIN z ON z.n = 2 AND z.context = p1.last),
+p3 AS (SELECT p2.context, p2.word, CASE WHEN total IS NULL THEN p ELSE greatest(coalesce(m.count, 0) - 0.75, 0) / total + 0.75 * follows / total * p END AS p
+  FROM p2 LEFT JOIN m ON m.n = 3 AND m.context = p2.context AND m.word = p2.word LEFT JOIN z ON z.n = 3 AND z.context = p2.context)"""
 
 
-@query("kneser_ney", f"WITH {KN} SELECT context, word, round(p, 8) AS p FROM p3")
+@query("kneser_ney", f"WITH {KN} SELECT p3.context, p3.word, round(p, 8) AS p FROM p3 JOIN m ON m.n = 3 AND m.context = p3.context AND m.word = p3.word")
 def kneser_ney(spark, sf_dir):
-    return lm.probabilities(lm.counts(spoken(spark, sf_dir), "tokens", 3), 3).select("context", "word", F.round("p", 8).alias("p"))
+    return lm.known_probabilities(lm.counts(spoken(spark, sf_dir), "tokens", 3), 3).select("context", "word", F.round("p", 8).alias("p"))
 
 
-@query("sentence_perplexity", f"WITH {KN} SELECT sid, count(*) AS words, round(sum(log10(greatest(coalesce(p, 1e-10), 1e-10))), 5) AS log10_p, round(pow(10, -sum(log10(greatest(coalesce(p, 1e-10), 1e-10))) / count(*)), 4) AS perplexity FROM g LEFT JOIN p3 ON p3.context = x.context AND p3.word = x.word WHERE n = 3 GROUP BY sid")
+@query("sentence_perplexity", f"WITH {KN} SELECT item_id, count(*) - 1 AS words, round(sum(log10(CASE WHEN p > 0 THEN p ELSE 1e-10 END)), 5) AS log10_p, round(pow(10, -sum(log10(CASE WHEN p > 0 THEN p ELSE 1e-10 END)) / (count(*) - 1)), 4) AS perplexity FROM h JOIN p3 ON p3.context = x.context AND p3.word = x.word GROUP BY item_id")
 def sentence_perplexity(spark, sf_dir):
-    said = spoken(spark, sf_dir)
-    out = lm.sentence_scores(said, "sid", "tokens", lm.counts(said, "tokens", 3), 3)
-    return out.select("sid", "words", F.round("log10_p", 5).alias("log10_p"), F.round("perplexity", 4).alias("perplexity"))
+    """Every item of the benchmark under a model of all conversations, which lacks many of its words and contexts."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", tokens("text").alias("tokens"))
+    out = lm.sentence_scores(items, "item_id", "tokens", lm.counts(spoken(spark, sf_dir), "tokens", 3), 3)
+    return out.select("item_id", "words", F.round("log10_p", 5).alias("log10_p"), F.round("perplexity", 4).alias("perplexity"))
 
 
 @query("token_windows", f"""WITH t AS (SELECT conv_id, {TOKENS} AS w FROM conversations), x AS (SELECT n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: list_aggregate(w[i:i + n - 1], 'string_agg', ' '))) AS phrase FROM t, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)

@@ -33,18 +33,35 @@ def run_once(stream: DataFrame, checkpoint: str, out: str) -> None:
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).format("parquet").outputMode("append").start(out).awaitTermination()
 
 
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The versions below the folder that were written to their end."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")) or []
+    return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in found)
+
+
 def upserted(stream: DataFrame, folder: str, key: str, order: str) -> DataFrame:
-    """A stream's rows merged batch by batch into versions of a dimension below `folder`; returns the last version."""
-    spark, last = stream.sparkSession, [None]
+    """A stream's rows merged batch by batch into versions of a dimension below `folder`; returns the last version. The
+    folder holds the checkpoint too, so that a later call goes on where an earlier one or its failure left off; a batch
+    that is run again replaces the version that it made."""
+    spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        known = spark.read.parquet(last[0]) if last[0] else None
-        path = f"{folder}/version={number}"
-        latest_wins(batch, known, key, order).write.mode("overwrite").parquet(path)
-        last[0] = path
+        before = [v for v in versions(spark, folder) if v < number]
+        known = spark.read.parquet(f"{folder}/version={before[-1]}") if before else None
+        latest_wins(batch, known, key, order).write.mode("overwrite").parquet(f"{folder}/version={number}")
+
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(merge).start().awaitTermination()
+    found = versions(spark, folder)
+    return spark.read.parquet(f"{folder}/version={found[-1]}") if found else spark.createDataFrame([], stream.schema)
+
 
-    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint-{uuid.uuid4().hex}").foreachBatch(merge).start().awaitTermination()
-    return spark.read.parquet(last[0]) if last[0] else spark.createDataFrame([], stream.schema)
+def all_sessions(events: DataFrame, closed: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
+    """The sessions that a stream has closed and those that are still open once all `events` have arrived."""
+    every = events.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("events")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+    # an anti-join would do, but the optimiser pushes it below the session aggregate, where the sessions' ends differ
+    return closed.unionByName(every).distinct()
 
 
 def first_within(events: DataFrame, keys: list[str], ts: str, ttl: str) -> DataFrame:
