@@ -121,6 +121,14 @@ def test_windows_and_edits(spark):
     assert spark.range(1).select(spans.apply_edits(F.lit("ab ab"), edits)).first()[0] == "x ab"
 
 
+def test_corrected_by_sound(spark):
+    known = spark.createDataFrame([(w,) for w in ("صداع", "ضغط", "مريض", "سلام", "نظيف")], "term string")
+    said = spark.createDataFrame([(w,) for w in ("سداع", "الدغط", "المرد", "صداع", "الصداع", "نزيف", "قل", "xyz")], "word string")
+    got = {r["word"]: (r["term"], round(r["confidence"], 4)) for r in lexicon.corrected(said, "word", known, "term").collect()}
+    assert got["سداع"] == ("صداع", round(1 - 1 / 12, 4)) and got["المرد"] == ("المريض", 0.85)
+    assert got["نزيف"] == ("نظيف", 0.875) and set(got) <= {"سداع", "المرد", "نزيف", "الدغط"}
+
+
 def test_alias_rewrite(spark):
     rows = [(1, "the red ring of red rings".split()), (2, "redring".split()), (3, "a b".split()), (4, []), (None, ["red"])]
     df = spark.createDataFrame(rows, "id long, w array<string>")

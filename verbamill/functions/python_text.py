@@ -59,7 +59,7 @@ def jaro_of(a: str, b: str) -> float:
     m = len(mine)
     if not m:
         return 0.0
-    swaps = sum(x != y for x, y in zip(mine, theirs)) / 2
+    swaps = sum(x != y for x, y in zip(mine, theirs)) // 2
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 
 
@@ -88,24 +88,6 @@ def weighted_edits(a, b, cost, gap: float = 1.0, swap: float | None = None) -> f
     return one[-1]
 
 
-# Letters that sound alike, for the phonetic edit distance.
-SOUND_CLASSES = ("aeiouy", "bp", "ckq", "dt", "lr", "mn", "gj", "fv", "sxz", "csz")
-
-
-def sounds_cost(x: str, y: str) -> float:
-    return 0.5 if any(x in c and y in c for c in SOUND_CLASSES) else 1.0
-
-
-def editex_of(a: str, b: str) -> float:
-    """1 - weighted edits / longer length."""
-    longest = max(len(a), len(b))
-    return 1.0 if not longest else max(0.0, 1 - weighted_edits(a, b, sounds_cost) / longest)
-
-
-def phonetic_blend_of(a: str, b: str) -> float:
-    return 0.6 * editex_of(a, b) + 0.4 * jaro_winkler_of(a, b)
-
-
 def indel_ratio_of(a: str, b: str) -> float:
     """2 * longest common subsequence / total length."""
     total = len(a) + len(b)
@@ -113,10 +95,11 @@ def indel_ratio_of(a: str, b: str) -> float:
 
 
 def partial_ratio_of(a: str, b: str) -> float:
-    """The best indel ratio of the shorter string with a stretch of the longer of its length."""
+    """The best indel ratio of the shorter string with a stretch of the longer, of its length or cut at either end."""
     if len(a) > len(b):
         a, b = b, a
-    return max((indel_ratio_of(a, b[i : i + len(a)]) for i in range(len(b) - len(a) + 1)), default=0.0) if a else 0.0
+    n = len(a)
+    return max((indel_ratio_of(a, b[max(0, i) : i + n]) for i in range(1 - n, len(b))), default=0.0) if a else 0.0
 
 
 def edits_of(a: list, b: list) -> int:
@@ -180,10 +163,6 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     return _pairs(jaro_winkler_of, "double")(a, b)
 
 
-def phonetic_blend(a: Column, b: Column) -> Column:
-    return _pairs(phonetic_blend_of, "double")(a, b)
-
-
 def indel_ratio(a: Column, b: Column) -> Column:
     return _pairs(indel_ratio_of, "double")(a, b)
 
@@ -192,10 +171,6 @@ def partial_ratio(a: Column, b: Column) -> Column:
     return _pairs(partial_ratio_of, "double")(a, b)
 
 
-def swap_edits(a: Column, b: Column, gap: float = 3.0, swap: float = 3.0) -> Column:
-    return _pairs(lambda x, y: float(weighted_edits(x, y, lambda p, q: 1.0 if sounds_cost(p, q) < 1 else 3.0, gap, swap)), "double")(a, b)
-
-
 def word_operations(ref: Column, hyp: Column) -> Column:
     @F.pandas_udf("substitutions int, deletions int, insertions int")
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -235,12 +210,38 @@ def number_of(spoken: list[str]) -> int | None:
     return total + part if seen and spoken[-1] != "and" else None
 
 
-def folded_numbers_of(text: str) -> str:
+# Number words of Arabic, letters folded as normalisers fold them or not.
+ARABIC_NUMBERS = {
+    "صفر": 0, "واحد": 1, "اثنين": 2, "اثنان": 2, "ثلاثه": 3, "ثلاثة": 3, "اربعه": 4, "اربعة": 4, "خمسه": 5, "خمسة": 5, "سته": 6, "ستة": 6, "سبعه": 7, "سبعة": 7, "ثمانيه": 8, "ثمانية": 8,
+    "تسعه": 9, "تسعة": 9, "عشره": 10, "عشرة": 10, "احد": 11, "احدعشر": 11, "اثناعشر": 12, "ثلاثهعشر": 13, "اربعهعشر": 14, "خمسهعشر": 15, "ستهعشر": 16, "سبعهعشر": 17, "ثمانيهعشر": 18,
+    "تسعهعشر": 19, "عشرون": 20, "عشرين": 20, "ثلاثون": 30, "ثلاثين": 30, "اربعون": 40, "اربعين": 40, "خمسون": 50, "خمسين": 50, "ستون": 60, "ستين": 60, "سبعون": 70, "سبعين": 70,
+    "ثمانون": 80, "ثمانين": 80, "تسعون": 90, "تسعين": 90, "مايه": 100, "مائه": 100, "مئه": 100, "مائة": 100, "الف": 1000, "الفين": 2000, "مليون": 1000000,
+}
+AND_IN_ARABIC, THOUSANDS_IN_ARABIC = "و", ("الف", "الفين")
+
+
+def arabic_number_of(spoken: list[str]) -> int | None:
+    """The value of digits that stand together, of one number word, of two with 'and' between them, or of a thousand or
+    two with digits behind."""
+    if all(w.isdecimal() for w in spoken):
+        return int("".join(spoken))
+    known = [ARABIC_NUMBERS.get(w) for w in spoken]
+    match spoken:
+        case [_]:
+            return known[0]
+        case [_, w, _] if w == AND_IN_ARABIC and known[0] is not None and known[2] is not None:
+            return known[0] + known[2]
+        case [w, n] if w in THOUSANDS_IN_ARABIC and n.isdecimal():
+            return known[0] + int(n)
+    return None
+
+
+def folded_numbers_of(text: str, value_of=number_of) -> str:
     """Spelled numbers as digits, the longest of up to five words first, from left to right."""
     w, out, i = text.split(), [], 0
     while i < len(w):
         for n in range(min(5, len(w) - i), 0, -1):
-            if (value := number_of(w[i : i + n])) is not None:
+            if (value := value_of(w[i : i + n])) is not None:
                 out.append(str(value))
                 i += n
                 break
@@ -250,6 +251,10 @@ def folded_numbers_of(text: str) -> str:
     return " ".join(out)
 
 
+def folded_arabic_numbers(c: Column) -> Column:
+    return _each(lambda x: folded_numbers_of(x, arabic_number_of), "string")(c)
+
+
 def folded_numbers(c: Column) -> Column:
     return _each(folded_numbers_of, "string")(c)
 
@@ -258,13 +263,11 @@ def joined_compounds_of(a: str, b: str) -> dict:
     """Both texts with words joined wherever they differ only in where words are split."""
     x, y = a.split(), b.split()
     left, right = [], []
-    for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y).get_opcodes():
-        p, q = x[i:j], y[k:m]
-        if tag == "replace" and "".join(p) == "".join(q):
-            p, q = ["".join(p)], ["".join(q)]
-        left += p
-        right += q
-    return {"ref": " ".join(left), "hyp": " ".join(right)}
+    for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+        same = tag == "replace" and "".join(x[i:j]) == "".join(y[k:m])
+        left.append("".join(x[i:j]) if same else " ".join(x[i:j]))
+        right.append("".join(y[k:m]) if same else " ".join(y[k:m]))
+    return {"ref": " ".join(filter(None, left)), "hyp": " ".join(filter(None, right))}
 
 
 def joined_compounds(ref: Column, hyp: Column) -> Column:
@@ -287,6 +290,47 @@ def number_words_of(n: int) -> str:
     return f"{number_words_of(n // 1000)} thousand" + (f" {number_words_of(n % 1000)}" if n % 1000 else "")
 
 
+# Arabic names of numbers and units.
+ARABIC_ONES = "صفر واحد اثنان ثلاثه اربعه خمسه سته سبعه ثمانيه تسعه عشره".split() + ["احد عشر", "اثنا عشر", "ثلاثه عشر", "اربعه عشر", "خمسه عشر", "سته عشر", "سبعه عشر", "ثمانيه عشر", "تسعه عشر"]
+ARABIC_TENS = "عشرون ثلاثون اربعون خمسون ستون سبعون ثمانون تسعون".split()
+ARABIC_HUNDREDS = "مائه مئتان ثلاثمائه اربعمائه خمسمائه ستمائه سبعمائه ثمانمائه تسعمائه".split()
+ARABIC_UNITS = {
+    "mg": "مليغرام", "milligram": "مليغرام", "milligrams": "مليغرام", "mcg": "ميكروغرام", "ug": "ميكروغرام", "microgram": "ميكروغرام", "micrograms": "ميكروغرام", "g": "غرام", "gram": "غرام", "grams": "غرام",
+    "kg": "كيلوغرام", "kilogram": "كيلوغرام", "kilograms": "كيلوغرام", "ml": "مليلتر", "milliliter": "مليلتر", "milliliters": "مليلتر", "l": "لتر", "liter": "لتر", "liters": "لتر",
+    "mmhg": "مليمتر زئبق", "bpm": "نبضه في الدقيقه", "iu": "وحده دوليه", "%": "بالمئه",
+}
+
+
+def arabic_words_of(n: int) -> str:
+    """Arabic words of a whole number below ten thousand, from the greatest part down, joined by 'and'."""
+    parts = []
+    if n >= 1000:
+        parts.append("الف" if n < 2000 else f"{ARABIC_ONES[n // 1000]} الاف")
+    if n % 1000 >= 100:
+        parts.append(ARABIC_HUNDREDS[n % 1000 // 100 - 1])
+    rest = n % 100
+    if rest >= 20:
+        parts += [ARABIC_ONES[rest % 10]] * (rest % 10 > 0) + [ARABIC_TENS[rest // 10 - 2]]
+    elif rest or not parts:
+        parts.append(ARABIC_ONES[rest])
+    return " و ".join(parts)
+
+
+def said_in_arabic_of(text: str, units: dict[str, str] = ARABIC_UNITS) -> str:
+    """Whole numbers below ten thousand as Arabic words, a unit right after one by its name; other numbers stay."""
+
+    def say(m: re.Match) -> str:
+        number = arabic_words_of(int(m[1])) if m[1].isdecimal() and int(m[1]) < 10_000 else m[1].replace(",", ".")
+        unit = (m[2] or "").lower()
+        return f" {number} {units.get(unit, unit)} " if unit else f" {number} "
+
+    return re.sub(r"(?<!\w)(\d+(?:[.,]\d+)?)(?:\s*([A-Za-z%]+))?", say, text)
+
+
+def said_in_arabic(c: Column) -> Column:
+    return _each(said_in_arabic_of, "string")(c)
+
+
 def verbalised_of(text: str, units: dict[str, str]) -> str:
     """Numbers, with a unit that stands right after, as words; decimals digit by digit after the point."""
 
@@ -305,41 +349,17 @@ def verbalised(c: Column, units: dict[str, str]) -> Column:
     return _each(lambda x: verbalised_of(x, units), "string")(c)
 
 
-def sound_code_of(word: str) -> str:
-    """A short code of how an English word sounds: silent letters dropped, digraphs and soft consonants resolved."""
-    w = re.sub(r"[^a-z]", "", word.lower())
-    for old, new in ((r"^(?:kn|gn|pn|ae|wr)", lambda m: m[0][1]), (r"^x", "s"), (r"^wh", "w"), (r"mb$", "m"), (r"sch", "sk"), (r"tch", "x"), (r"ch|sh", "x"), (r"ph", "f"), (r"th", "0"), (r"gh(?=[^aeiou]|$)", ""), (r"dg(?=[eiy])", "j"),
-                     (r"c(?=[eiy])", "s"), (r"g(?=[eiy])", "j"), (r"ck", "k"), (r"[cq]", "k"), (r"x(?=.)", "x"), (r"z", "s"), (r"v", "f"), (r"(.)\1+", r"\1")):
-        w = re.sub(old, new, w)
-    return (w[:1] + re.sub(r"[aeiouhwy]", "", w[1:])).upper()
-
-
-def composite_of(a: str, b: str) -> float:
-    """The best of a blend of spelling, spelling without separators and sound, and of the latter two with a discount;
-    the further lengths are apart, the less of it, by the square."""
-    a, b = a.lower(), b.lower()
-    x, y = re.sub(r"[\s\-_/.]", "", a), re.sub(r"[\s\-_/.]", "", b)
-    fuzzy, tight, sound = indel_ratio_of(a, b), indel_ratio_of(x, y), indel_ratio_of(sound_code_of(a), sound_code_of(b))
-    ratio = min(len(x), len(y)) / max(len(x), len(y), 1)
-    return max(0.5 * fuzzy + 0.2 * tight + 0.3 * sound, 0.92 * tight, 0.85 * sound) * (1 - (1 - ratio) ** 2)
-
-
-def composite(a: Column, b: Column) -> Column:
-    return _pairs(composite_of, "double")(a, b)
-
-
 def ctc_log_probability(frames: np.ndarray, labels: list[int], blank: int = 0) -> float:
-    """Log-probability of a label sequence under log-posteriors of (frames, symbols), summed over all alignments."""
+    """Log-probability of a label sequence under log-posteriors of (frames, symbols), summed over all alignments, for
+    each label; -1e9 without labels or frames, or with fewer frames than labels."""
+    if not labels or len(frames) < len(labels):
+        return -1e9
     path = [blank, *[s for x in labels for s in (x, blank)]]
     a = np.full(len(path), -np.inf)
-    if not len(frames):
-        return 0.0 if not labels else -np.inf
-    a[0] = frames[0, blank]
-    if labels:
-        a[1] = frames[0, path[1]]
+    a[:2] = frames[0, path[:2]]
     skip = np.array([k > 1 and path[k] != blank and path[k] != path[k - 2] for k in range(len(path))])
     for f in frames[1:]:
         one = np.append(-np.inf, a[:-1])
         two = np.where(skip, np.append([-np.inf, -np.inf], a[:-2])[: len(a)], -np.inf)
         a = np.logaddexp(np.logaddexp(a, one), two) + f[path]
-    return float(np.logaddexp(a[-1], a[-2]) if labels else a[-1])
+    return float(np.logaddexp(a[-1], a[-2])) / len(labels)

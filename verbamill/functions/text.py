@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 # Letters and marks of the Arabic script and what they fold to.
 DIACRITICS = "[\u064b-\u065f\u0670\u0640]"
+MARKS = "[\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed\u0640]"
 SHORT_VOWELS = "[\u064b-\u0652]"
 TATWEEL = "\u0640"
 ALEFS, BARE_ALEF = "أإآٱ", "ا"
@@ -24,15 +25,20 @@ ALEF_MAKSURA, TEH_MARBUTA, HEH = "ى", "ة", "ه"
 ARTICLE = "ال"
 ARABIC = "[\u0600-\u06ff]"
 LATIN = "[A-Za-z]"
-# The consonants that sound alike once vowels are dropped.
+# Latin consonants that Arabic spelling cannot tell apart.
 CONSONANT_CLASSES = {"p": "b", "v": "f", "c": "k", "g": "k", "q": "k"}
 # Prefixes written onto the next word, in the order in which they are tried.
 CLITICS = ("ال", "وال", "بال", "كال", "فال", "لل", "و", "ف", "ب", "ل", "ك", "س")
 # Latin spelling of Arabic letters, digraphs included.
 LATIN_OF = {
-    "ا": "a", "ب": "b", "ت": "t", "ث": "th", "ج": "j", "ح": "h", "خ": "kh", "د": "d", "ذ": "dh", "ر": "r", "ز": "z", "س": "s", "ش": "sh", "ص": "s", "ض": "d",
-    "ط": "t", "ظ": "z", "ع": "a", "غ": "gh", "ف": "f", "ق": "q", "ك": "k", "ل": "l", "م": "m", "ن": "n", "ه": "h", "و": "w", "ي": "y", "ة": "a",
+    "ا": "a", "أ": "a", "إ": "a", "آ": "a", "ٱ": "a", "ب": "b", "ت": "t", "ث": "th", "ج": "j", "ح": "h", "خ": "kh", "د": "d", "ذ": "dh", "ر": "r", "ز": "z", "س": "s", "ش": "sh", "ص": "s", "ض": "d",
+    "ط": "t", "ظ": "z", "ع": "a", "غ": "gh", "ف": "f", "ق": "q", "ك": "k", "ل": "l", "م": "m", "ن": "n", "ه": "h", "و": "w", "ي": "y", "ى": "a", "ة": "h", "ء": "", "ؤ": "w", "ئ": "y",
 }
+# Phrases that are written in several ways, as patterns and what they become, in order.
+PHRASES = (
+    (r"(?U)\bان\s*شاء\s*الله\b", "ان شاء الله"), (r"(?U)\bانشالله\b", "ان شاء الله"), (r"(?U)\bما\s*شاء\s*الله\b", "ما شاء الله"),
+    (r"(?U)\bماشاءالله\b", "ما شاء الله"), (r"(?U)\bاهلل\b", "الله"), (r"(?U)\bاللو\b", "الله"), ("اهلل", "الله"), ("اللو", "الله"),
+)
 # The entities that pages use most.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
@@ -41,6 +47,14 @@ def _text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def composed(c: Column | str) -> Column:
+    """The text in compatibility composition (NFKC). Spark has no expression for it; the Arrow function leaves ASCII
+    texts as they are."""
+    from . import python_text
+
+    return python_text.nfkc(_text(c))
+
+
 def let(value: Column, f) -> Column:
     """f(value) with the value computed once; inside a lambda an expression would be computed again for each element."""
     return F.get(F.transform(F.array(value), f), 0)
@@ -65,14 +79,18 @@ def fold_letters(c: Column) -> Column:
     return F.translate(c, ALEFS + ALEF_MAKSURA + TEH_MARBUTA + HAMZA_ON_WAW + HAMZA_ON_YA + EASTERN_DIGITS + HAMZA, BARE_ALEF * 4 + YA + HEH + WAW + YA + DIGITS)
 
 
-def basic(c: Column | str) -> Column:
-    """Marks dropped, lower case, everything but letters, digits and underscores a space."""
-    x = F.lower(F.regexp_replace(_text(c), DIACRITICS, ""))
+def _plain(c: Column) -> Column:
+    x = F.lower(F.regexp_replace(c, DIACRITICS, ""))
     return squeezed(F.regexp_replace(x, r"[^\p{L}\p{N}_\s]", " "))
 
 
+def basic(c: Column | str) -> Column:
+    """NFKC, marks dropped, lower case, everything but letters, digits and underscores a space."""
+    return _plain(composed(c))
+
+
 def script_aware(c: Column | str) -> Column:
-    return basic(fold_letters(F.regexp_replace(_text(c), DIACRITICS, "")))
+    return _plain(fold_letters(F.regexp_replace(composed(c), DIACRITICS, "")))
 
 
 def aggressive(c: Column | str) -> Column:
@@ -100,12 +118,12 @@ def whisper_like(c: Column | str) -> Column:
 
 
 def dedup_key(c: Column | str) -> Column:
-    return F.lower(squeezed(F.regexp_replace(_text(c), DIACRITICS, "")))
+    return F.lower(squeezed(F.regexp_replace(composed(c), DIACRITICS, "")))
 
 
 def alias_key(c: Column | str) -> Column:
     """Like a dedup key, without any white space."""
-    return F.lower(F.regexp_replace(F.regexp_replace(_text(c), DIACRITICS, ""), r"(?U)\s+", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(composed(c), DIACRITICS, ""), r"(?U)\s+", ""))
 
 
 def compact(c: Column | str) -> Column:
@@ -114,9 +132,9 @@ def compact(c: Column | str) -> Column:
 
 
 def split_scripts(c: Column | str) -> Column:
-    """A space between Arabic and Latin or digits that touch."""
-    x = F.regexp_replace(_text(c), r"(?<=[\x{0600}-\x{06ff}])(?=[A-Za-z0-9])", " ")
-    return F.regexp_replace(x, r"(?<=[A-Za-z0-9])(?=[\x{0600}-\x{06ff}])", " ")
+    """A space between Arabic and Latin letters that touch."""
+    x = F.regexp_replace(_text(c), r"(?<=[\x{0600}-\x{06ff}])(?=[A-Za-z])", " ")
+    return F.regexp_replace(x, r"(?<=[A-Za-z])(?=[\x{0600}-\x{06ff}])", " ")
 
 
 def strip_html(c: Column | str) -> Column:
@@ -133,17 +151,38 @@ def strip_controls(c: Column | str) -> Column:
     return F.regexp_replace(_text(c), r"[\x{00}-\x{1f}\x{7f}-\x{9f}]", " ")
 
 
-def clean_transcript(c: Column | str, keep_teh_marbuta: bool = True, lower_latin: bool = True) -> Column:
-    """The ingestion cleaner: entities, URLs, tags, controls, marks, letters and digits, script boundaries, case,
-    set phrases, punctuation, white space, in this order."""
-    x = replaced(_text(c), ENTITIES)
+def set_phrases(c: Column | str) -> Column:
+    """Phrases that are written in several ways in one."""
+    return reduce(lambda x, p: F.regexp_replace(x, p[0], p[1]), PHRASES, _text(c))
+
+
+def clean_transcript(c: Column | str, keep_teh_marbuta: bool = True, lower_latin: bool = True, say_numbers: bool = False, keep_punctuation: bool = False) -> Column:
+    """The ingestion cleaner: entities, NFKC, URLs, tags, controls, marks, letters and digits, script boundaries, case,
+    numbers with their units in Arabic words where asked for, letters again, set phrases, punctuation, white space, in
+    this order."""
+    from . import python_text
+
+    letters = lambda x: F.translate(x, ALEFS + ALEF_MAKSURA + HAMZA_ON_WAW + HAMZA_ON_YA + EASTERN_DIGITS + PERSIAN_DIGITS + HAMZA, BARE_ALEF * 4 + YA + WAW + YA + DIGITS + DIGITS)
+    folded = lambda x: letters(x) if keep_teh_marbuta else F.translate(letters(x), TEH_MARBUTA, HEH)
+    x = composed(python_text.unescaped(_text(c)))
     x = F.regexp_replace(strip_urls(x), r"<[^>]+>", " ")
-    x = F.regexp_replace(strip_controls(x), DIACRITICS, "")
-    x = F.translate(x, ALEFS + ALEF_MAKSURA + HAMZA_ON_WAW + HAMZA_ON_YA + EASTERN_DIGITS + PERSIAN_DIGITS + HAMZA, BARE_ALEF * 4 + YA + WAW + YA + DIGITS + DIGITS)
-    x = x if keep_teh_marbuta else F.translate(x, TEH_MARBUTA, HEH)
+    x = folded(F.regexp_replace(strip_controls(x), MARKS, ""))
     x = split_scripts(x)
     x = F.lower(x) if lower_latin else x
-    return squeezed(F.regexp_replace(x, r"[^0-9A-Za-z\s\x{0600}-\x{06ff}]", " "))
+    x = folded(python_text.said_in_arabic(x)) if say_numbers else x
+    x = set_phrases(x)
+    return squeezed(x if keep_punctuation else F.regexp_replace(x, r"[^0-9A-Za-z\s\x{0600}-\x{06ff}]|[،؛؟«»ـ]", " "))
+
+
+def term_form(c: Column | str) -> Column:
+    """A lexicon's key: lower case, no zero-width or direction marks, white space squeezed."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(_text(c))), r"[\x{200b}-\x{200f}\x{202a}-\x{202e}]", ""), r"(?U)\s+", " ")
+
+
+def is_term(c: Column | str, least: int = 2, most: int = 60) -> Column:
+    """A key of ASCII letters, digits and the marks of names, within the bounds of length."""
+    x = _text(c)
+    return F.length(x).between(least, most) & x.rlike(r"^[a-z0-9 \-'/().+]+$")
 
 
 def has_arabic(c: Column | str) -> Column:
@@ -173,24 +212,37 @@ def strip_clitic(w: Column, least: int = 4) -> Column:
     return out
 
 
-def latin_of(c: Column | str) -> Column:
-    return replaced(F.lower(_text(c)), list(LATIN_OF.items()))
+def latin_of(c: Column | str, clitics: bool = True) -> Column:
+    """An Arabic word in Latin letters: marks dropped, a clitic off unless told not to; Latin letters and digits stay, in
+    lower case, and anything else goes."""
+    x = F.regexp_replace(composed(c), r"[\x{064b}-\x{0652}\x{0670}\x{0640}]", "")
+    x = F.regexp_replace(strip_clitic(x) if clitics else x, "[^A-Za-z0-9" + "".join(LATIN_OF) + "]", "")
+    return F.lower(replaced(x, list(LATIN_OF.items())))
 
 
-def consonants(c: Column | str) -> Column:
-    """Latin consonants by class, vowels dropped."""
+def consonants(c: Column | str, merged: bool = False) -> Column:
+    """Latin consonants by class, vowels dropped; merged: z as s and d as t as well."""
     x = F.replace(F.lower(_text(c)), F.lit("x"), F.lit("ks"))
-    return F.translate(x, "".join(CONSONANT_CLASSES) + "aeiouy", "".join(CONSONANT_CLASSES.values()))
+    classes = CONSONANT_CLASSES | ({"z": "s", "d": "t"} if merged else {})
+    return F.translate(x, "".join(classes) + "aeiouy", "".join(classes.values()))
+
+
+def arabic_consonants(c: Column | str) -> Column:
+    """The consonants of an Arabic word in Latin letters: vowels, and w and h, which may stand for one, dropped."""
+    return F.translate(F.lower(_text(c)), "aeiouwh", "")
 
 
 def skeleton(c: Column | str) -> Column:
-    """Consonants with repeats collapsed."""
-    return F.regexp_replace(consonants(c), r"(.)\1+", "$1")
+    """A Latin word by its coarse sounds: p b, v f and c k alike, h dropped, repeats collapsed, then vowels, y and w
+    dropped, so that letters which a vowel parts stay two."""
+    x = F.translate(F.lower(_text(c)), "pvcaeiouywh", "bfk@@@@@@@")
+    return F.replace(F.regexp_replace(x, r"(.)\1+", "$1"), F.lit("@"), F.lit(""))
 
 
 def vowels(c: Column | str) -> Column:
-    """The vowel pattern: vowels by class, the rest dropped, repeats collapsed."""
-    return F.regexp_replace(F.regexp_replace(F.translate(F.lower(_text(c)), "eoy", "iui"), "[^aiu]", ""), r"(.)\1+", "$1")
+    """The vowel pattern: s for each of a i o u, l for each long vowel, the rest dropped."""
+    x = F.regexp_replace(F.lower(_text(c)), "[^aiouāīūēō]", "")
+    return F.translate(x, "aiouāīūēō", "sssslllll")
 
 
 def sentences(c: Column | str, least: int = 10) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbamill.functions.text import compact, let
+from verbamill.functions.phonetics import MERGERS, MISSPELLINGS, merger_similarity
+from verbamill.functions.text import compact, let, strip_clitic
 
 
 def first_wins(parts: Sequence[DataFrame], key: str) -> DataFrame:
@@ -71,6 +72,27 @@ def spelling_candidates(words: DataFrame, word: str, lexicon: DataFrame, term: s
     return pairs.withColumn("distance", F.levenshtein(F.col(word), F.col(term), most)).filter("distance >= 0")
 
 
+def corrected(words: DataFrame, word: str, lexicon: DataFrame, term: str, short: int = 5, least_short: float = 0.75, least: float = 0.6, stem: int = 3) -> DataFrame:
+    """(word, term, confidence): for each word of three letters and more that the lexicon does not know, with or without
+    a clitic, the best of: an explicit misspelling's word (0.85, a clitic put back), terms within one edit whose length
+    is near, by weighted edits, and terms that a letter read for one that sounds alike makes (1 - half a letter's
+    share). Confidences are at least `least_short` of words up to `short` letters, else `least`, and at most 0.95; ties
+    go to the smaller term. The package must be on the executors."""
+    known = lexicon.select(F.col(term).alias("_known")).distinct()
+    open_ = words.select(word).distinct().filter(F.length(word) >= 3).withColumn("_bare", strip_clitic(F.col(word), stem))
+    open_ = open_.join(known, F.col(word) == F.col("_known"), "left_anti").join(known, F.col("_bare") == F.col("_known"), "left_anti")
+    named = F.create_map(*[F.lit(x) for p in MISSPELLINGS.items() for x in p])
+    head = F.left(F.col(word), F.length(word) - F.length("_bare"))
+    explicit = open_.filter(F.col("_bare").isin(*MISSPELLINGS)).select(word, F.concat(head, named[F.col("_bare")]).alias(term), F.lit(0.85).alias("confidence"))
+    near = spelling_candidates(open_, word, lexicon.select(term).distinct(), term, 1)
+    near = near.select(word, term, F.least(F.lit(0.95), merger_similarity(F.col(word), F.col(term))).alias("confidence"))
+    one = substitutions(open_, word, {x: list(ys) for x, ys in MERGERS.items()}, lexicon, term).select(word, term, (1 - 0.5 / F.length(word)).alias("confidence"))
+    enough = F.col("confidence") >= F.when(F.length(word) <= short, max(least_short, least)).otherwise(least)
+    found = explicit.unionAll(near.unionAll(one).filter(enough))
+    best = found.groupBy(word).agg(F.min(F.struct((-F.col("confidence")).alias("_c"), term)).alias("_x"))
+    return best.select(word, F.col(f"_x.{term}").alias(term), (-F.col("_x._c")).alias("confidence"))
+
+
 def substitutions(words: DataFrame, word: str, alternatives: dict, lexicon: DataFrame, term: str) -> DataFrame:
     """(word, term): terms that one substitution of a letter by one of its alternatives makes."""
     rows = [(x, y) for x, ys in alternatives.items() for y in ys]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from verbamill.functions import python_text
+from verbamill.functions import phonetics, python_text
 from verbamill.functions.distance import common_prefix, lengths_close, longest_common_substring, similarity
-from verbamill.functions.text import alias_key, skeleton, vowels, words
+from verbamill.functions.text import alias_key, arabic_consonants, consonants, latin_of, skeleton, vowels, words
 from verbamill.operators import joins, lexicon, spans
 from verbamill.plans.registry import query
 from verbamill.session import ship, table
@@ -95,18 +95,69 @@ def vector_nearest(spark, sf_dir):
 
 @query("skeletons", f"WITH {NAMES} SELECT translate(replace(lower(term), 'x', 'ks'), 'pvcgqaeiouy', 'bfkkk') AS consonants, regexp_replace(translate(lower(term), 'eoy', 'iui'), '[^aiu]', '', 'g') AS vowels, count(*) AS terms FROM n GROUP BY ALL")
 def skeletons(spark, sf_dir):
-    from verbamill.functions.text import consonants
-
     v = F.regexp_replace(F.translate(F.lower("term"), "eoy", "iui"), "[^aiu]", "")
     return names(spark, sf_dir).groupBy(consonants("term").alias("consonants"), v.alias("vowels")).agg(F.count("*").alias("terms"))
 
 
-@query("phonetic_groups")
+SQUASH = "array_to_string(list_filter(string_split({0}, ''), lambda c, i: i = 1 OR c <> string_split({0}, '')[i - 1]), '')"
+SKELETON = "replace(" + SQUASH.format("translate(lower(term), 'pvcaeiouywh', 'bfk@@@@@@@')") + ", '@', '')"
+
+
+@query("phonetic_groups", f"WITH {NAMES} SELECT {SKELETON} AS skeleton, translate(regexp_replace(lower(term), '[^aiou]', '', 'g'), 'aiou', 'ssss') AS vowel_pattern, list_sort(list(term)) AS terms FROM n GROUP BY 1, 2")
 def phonetic_groups(spark, sf_dir):
-    """Terms by their collapsed skeleton and vowel pattern (back-references in a pattern have no counterpart in SQL)."""
+    """Terms by their skeleton and vowel pattern."""
     return names(spark, sf_dir).groupBy(skeleton("term").alias("skeleton"), vowels("term").alias("vowel_pattern")).agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
+# The catalogue's names as an Arabic speaker might write them, letter for letter.
+LATIN_LETTERS, ARABIC_LETTERS = "abcdefghijklmnopqrstuvwxyz", "ابكديفغهيجكلمنوبقرستوفوسيز"
+IN_ARABIC = f"translate(lower(term), '{LATIN_LETTERS}', '{ARABIC_LETTERS}')"
+
+
+def arabic_names(spark, sf_dir):
+    return names(spark, sf_dir).withColumn("arabic", F.translate(F.lower("term"), LATIN_LETTERS, ARABIC_LETTERS))
+
+
+@query("transliterated", f"WITH {NAMES} SELECT term, translate(replace({IN_ARABIC}, 'غ', 'gh'), 'ابكديفهجلمنوقرستز ', 'abkdyfhjlmnwqrstz') AS latin, regexp_replace(translate(replace({IN_ARABIC}, 'غ', 'gh'), 'ابكديفهجلمنوقرستز ', 'abkdyfhjlmnwqrstz'), '[aeiouwh]', '', 'g') AS consonants FROM n")
+def transliterated(spark, sf_dir):
+    """Arabic spellings back in Latin letters, and their consonants."""
+    latin = latin_of("arabic", clitics=False)
+    return arabic_names(spark, sf_dir).select("term", latin.alias("latin"), arabic_consonants(latin).alias("consonants"))
+
+
+AR_SKELETON = SQUASH.format(f"translate(CASE WHEN starts_with({IN_ARABIC}, 'و') AND length(term) >= 6 THEN substr({IN_ARABIC}, 2) ELSE {IN_ARABIC} END, 'ابكديفهجلمنوقرستزغ ', 'abkdyfhjlmnwkrstzg')")
+LAT_SKELETON = SQUASH.format("translate(replace(replace(lower(term), 'ph', 'f'), 'ou', 'w'), 'cqvpgx', 'kkfbjk')")
+
+
+@query("sound_skeletons", f"WITH {NAMES}, k AS (SELECT term, {AR_SKELETON} AS arabic, {LAT_SKELETON} AS latin FROM n) SELECT term, arabic, latin, upper(translate(arabic, 'pvdzg', 'bftsk')) AS classes FROM k")
+def sound_skeletons(spark, sf_dir):
+    """Names by their sounds in either script, and by sound classes."""
+    rows = arabic_names(spark, sf_dir).select("term", phonetics.arabic_skeleton("arabic").alias("arabic"), phonetics.latin_skeleton("term").alias("latin"))
+    return rows.withColumn("classes", phonetics.sound_classes(F.col("arabic")))
+
+
+@query("cross_script_matches")
+def cross_script_matches(spark, sf_dir):
+    """The two best names for each Arabic spelling, among those that share a consonant of its skeleton's first two."""
+    ship(spark)
+    rows = arabic_names(spark, sf_dir).withColumn("latin", latin_of("arabic", clitics=False))
+    heads = lambda c: F.explode(F.array_distinct(F.split(F.left(c, F.lit(2)), "")))
+    left = rows.select("arabic", "latin", heads(arabic_consonants("latin")).alias("h"))
+    right = names(spark, sf_dir).select(F.col("term").alias("other"), heads(consonants("term")).alias("h"))
+    pairs = left.join(right, "h").select("arabic", "latin", "other").distinct()
+    scored = pairs.withColumn("score", phonetics.cross_script_score(F.col("latin"), F.col("other"))).filter("score > 0")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("arabic").orderBy(F.desc("score"), "other"))).filter("rank <= 2")
+
+
+@query("merger_corrections")
+def merger_corrections(spark, sf_dir):
+    """Arabic words with a letter written as one that sounds like it, and what they are corrected to."""
+    ship(spark)
+    terms = arabic_names(spark, sf_dir).select(F.explode(F.split("arabic", " ")).alias("term")).distinct()
+    said = terms.select(F.translate("term", "تسد", "طصض").alias("word")).distinct()
+    return lexicon.corrected(said, "word", terms, "term")
+
+
 @query("string_measures", f"WITH {NAMES} SELECT a.term AS term, b.term AS other, levenshtein(a.term, b.term) AS d FROM n a JOIN n b ON a.term < b.term AND abs(length(a.term) - length(b.term)) <= 1 AND string_split(a.term, ' ')[2] = string_split(b.term, ' ')[2]")
 def string_measures(spark, sf_dir):
     left = names(spark, sf_dir)
@@ -116,13 +167,13 @@ def string_measures(spark, sf_dir):
 
 @query("phonetic_scores")
 def phonetic_scores(spark, sf_dir):
-    """Jaro-Winkler, phonetic blend, indel and partial ratios and weighted edits of the pairs that lengths leave."""
+    """Jaro-Winkler, blend over sound classes, indel and partial ratios and skeleton scores of the pairs that lengths leave."""
     ship(spark)
     left = names(spark, sf_dir)
     a, b = F.col("term"), F.col("other")
     pairs = joins.banded(left, left.select(F.col("term").alias("other")), "term", "other", 2).filter("term < other").filter(lengths_close(a, b))
-    return pairs.select("term", "other", python_text.jaro_winkler(a, b).alias("jaro_winkler"), python_text.phonetic_blend(a, b).alias("blend"), python_text.indel_ratio(a, b).alias("ratio"),
-                        python_text.partial_ratio(a, b).alias("partial"), python_text.swap_edits(a, b).alias("swap_edits"), longest_common_substring(a, b).alias("shared"), common_prefix(a, b).alias("prefix"))
+    return pairs.select("term", "other", python_text.jaro_winkler(a, b).alias("jaro_winkler"), phonetics.class_similarity(phonetics.sound_classes(phonetics.latin_skeleton(a)), phonetics.sound_classes(phonetics.latin_skeleton(b))).alias("blend"), python_text.indel_ratio(a, b).alias("ratio"),
+                        python_text.partial_ratio(a, b).alias("partial"), phonetics.skeleton_score(a, b).alias("skeleton"), longest_common_substring(a, b).alias("shared"), common_prefix(a, b).alias("prefix"))
 
 
 @query("ranked_candidates", f"""WITH {NAMES}, x AS (SELECT a.term AS term, b.term AS other, 1 - CAST(levenshtein(a.term, b.term) AS DOUBLE) / greatest(length(a.term), length(b.term)) AS s, abs(length(a.term) - length(b.term)) AS gap, CASE WHEN starts_with(b.term, 'red') THEN 0 ELSE 1 END AS kind FROM n a JOIN n b ON a.term <> b.term AND abs(length(a.term) - length(b.term)) <= 3)
@@ -208,5 +259,5 @@ def composite_scores(spark, sf_dir):
     ship(spark)
     left = names(spark, sf_dir)
     pairs = joins.banded(left, left.select(F.col("term").alias("other")), "term", "other", 3).filter("term <> other")
-    scored = pairs.withColumn("score", python_text.composite(F.col("term"), F.col("other")))
+    scored = pairs.withColumn("score", phonetics.composite_score(F.col("term"), F.col("other")))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "other"))).filter("rank <= 3")

@@ -312,6 +312,20 @@ def numbers_verbalised(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", python_text.verbalised(said, {"mg": "milligrams", "ml": "milliliters"}).alias("text"))
 
 
+ONES = "['صفر','واحد','اثنان','ثلاثه','اربعه','خمسه','سته','سبعه','ثمانيه','تسعه','عشره','احد عشر','اثنا عشر','ثلاثه عشر','اربعه عشر','خمسه عشر','سته عشر','سبعه عشر','ثمانيه عشر','تسعه عشر']"
+TENS = "['عشرون','ثلاثون','اربعون','خمسون']"
+
+
+@query("arabic_numbers", f"""WITH s AS (SELECT p_partkey, p_size AS n, CASE WHEN p_size < 20 THEN {ONES}[p_size + 1] WHEN p_size % 10 = 0 THEN {TENS}[p_size // 10 - 1] ELSE {ONES}[p_size % 10 + 1] || ' و ' || {TENS}[p_size // 10 - 1] END AS w FROM part)
+ SELECT p_partkey, 'خذ ' || w || ' مليغرام الان' AS said, 'خذ ' || CASE WHEN n <= 10 OR n >= 20 THEN CAST(n AS VARCHAR) WHEN n = 11 THEN '11 عشر' WHEN n = 12 THEN 'اثنا عشر' ELSE CAST(n - 10 AS VARCHAR) || ' عشر' END || ' مليغرام الان' AS folded FROM s""")
+def arabic_numbers(spark, sf_dir):
+    """Doses said in Arabic words, and the words folded back to digits as far as the grammar goes."""
+    ship(spark)
+    said = F.regexp_replace(python_text.said_in_arabic(F.concat(F.lit("خذ "), F.col("p_size").cast("string"), F.lit("mg الان"))), " +", " ")
+    rows = table(spark, sf_dir, "part").select("p_partkey", said.alias("said"))
+    return rows.withColumn("folded", python_text.folded_arabic_numbers(F.col("said")))
+
+
 @query("compounds_joined")
 def compounds_joined(spark, sf_dir):
     """Pairs of texts that differ in where words are split, brought together before they are scored."""
