@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from verbamill.plans import curation, evaluation, lexicon, sequences, text_stats  # noqa: F401
+    from verbamill.plans import builders, curation, evaluation, lexicon, sequences, text_stats  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
