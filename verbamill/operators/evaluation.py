@@ -76,3 +76,27 @@ def roc_auc(scored: DataFrame, score: str, correct: str) -> DataFrame:
     blocks = by.groupBy("_block").agg(F.sum("n").alias("bn")).withColumn("under", F.coalesce(F.sum("bn").over(lower), F.lit(0))).select("_block", "under")
     wins = inside.join(blocks, "_block").agg(F.sum(F.col("p") * (F.col("_below") + F.col("under") + F.col("n") / 2)).alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return wins.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).alias("auc"))
+
+
+def calibration_features(phonetic_score: Column, score_gap: Column, model_confidence: Column, candidates: Column, mixed_script: Column, span_length: Column, arabic: Column, retrieval_score: Column, span_tokens: Column, many_words: Column) -> list[Column]:
+    """What a confidence is fitted on, scaled to 0 ... 1: scores out of 100, counts capped at 10 candidates, 50 characters
+    and 6 tokens, and marks as 0 or 1."""
+    capped = lambda c, most: F.least(F.lit(1.0), c / float(most))
+    return [
+        (phonetic_score / 100.0).alias("phonetic_score"), (score_gap / 100.0).alias("score_gap"), model_confidence.alias("model_confidence"), capped(candidates, 10).alias("candidates"), mixed_script.cast("double").alias("mixed_script"),
+        capped(span_length, 50).alias("span_length"), arabic.cast("double").alias("arabic"), retrieval_score.alias("retrieval_score"), capped(span_tokens, 6).alias("span_tokens"), many_words.cast("double").alias("many_words"),
+    ]
+
+
+def calibrated(rows: DataFrame, features: Sequence[str], gold: str, c: float = 1.0) -> DataFrame:
+    """rows with `confidence`, the chance that gold is 1 under a logistic regression in which both classes weigh the same,
+    with an L2 penalty of 1 / (c n). Null features and labels are not allowed."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    n, positive = rows.agg(F.count("*"), F.sum(gold)).first()
+    weight = F.when(F.col(gold) == 1, n / (2.0 * max(positive or 0, 1))).otherwise(n / (2.0 * max(n - (positive or 0), 1)))
+    ready = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows.withColumn("_w", weight))
+    model = LogisticRegression(featuresCol="_x", labelCol=gold, weightCol="_w", regParam=1.0 / (c * max(n, 1)), standardization=False).fit(ready)
+    return model.transform(ready).withColumn("confidence", F.get(vector_to_array("probability"), 1)).select(*rows.columns, "confidence")

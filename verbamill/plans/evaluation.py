@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verbamill.functions import python_text
 from verbamill.functions.distance import cer, wer
-from verbamill.functions.text import aggressive, basic, latin_tokens, script_aware, words
+from verbamill.functions.text import ARABIC, aggressive, basic, script_aware, words
 from verbamill.operators import evaluation, gates
 from verbamill.plans.registry import query
 from verbamill.session import ship, table
@@ -248,19 +248,39 @@ def correction_harness(spark, sf_dir):
     )
 
 
+FEATURES = ("phonetic_score", "score_gap", "model_confidence", "candidates", "mixed_script", "span_length", "arabic", "retrieval_score", "span_tokens", "many_words")
+
+CALIBRATION = """WITH p AS (SELECT p_partkey, p_name AS span, p_size, p_type, lead(p_name) OVER (ORDER BY p_partkey) AS other FROM part),
+ c AS (SELECT *, 100 * (1 - CAST(levenshtein(span, coalesce(other, '')) AS DOUBLE) / greatest(length(span), length(coalesce(other, '')))) AS score FROM p)
+SELECT p_partkey, CAST(coalesce(other, '') = span AS INTEGER) AS gold, round(score / 100, 6) AS phonetic_score, round((100 - score) / 100, 6) AS score_gap, p_size / 50.0 AS model_confidence, least(1.0, p_size / 10.0) AS candidates, CAST(0 AS DOUBLE) AS mixed_script,
+ least(1.0, length(span) / 50.0) AS span_length, CAST(0 AS DOUBLE) AS arabic, round(score / 100, 6) AS retrieval_score, round(least(1.0, len(string_split(span, ' ')) / 6.0), 6) AS span_tokens, CAST(len(string_split(span, ' ')) > 1 AS DOUBLE) AS many_words FROM c"""
+
+
+def calibration_rows(spark, sf_dir):
+    """Spans (an item's name) against a candidate (the next item's), with the ten scaled and capped features."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("span"), "p_size")
+    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("span").alias("other"))
+    rows = part.join(after, "p_partkey", "left").withColumn("other", F.coalesce("other", F.lit("")))
+    score = 100 * (1 - F.levenshtein("span", "other") / F.greatest(F.length("span"), F.length("other")))
+    has = lambda p: F.col("span").rlike(p)
+    tokens = F.size(words("span"))
+    found = evaluation.calibration_features(
+        phonetic_score=score, score_gap=100 - score, model_confidence=F.col("p_size") / 50.0, candidates=F.col("p_size"), mixed_script=has("[A-Za-z]") & has(ARABIC), span_length=F.length("span"),
+        arabic=has(ARABIC), retrieval_score=score / 100, span_tokens=tokens, many_words=tokens > 1,
+    )
+    return rows.select("p_partkey", (F.col("other") == F.col("span")).cast("int").alias("gold"), *found)
+
+
+@query("calibration_features", CALIBRATION)
+def calibration_features(spark, sf_dir):
+    return calibration_rows(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("phonetic_score", "score_gap", "retrieval_score", "span_tokens")})
+
+
 @query("logistic_calibration")
 def logistic_calibration(spark, sf_dir):
-    """Class-balanced logistic regression of correctness on scaled features, with an L2 penalty of 1 / (C n)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = signals(spark, sf_dir).withColumn("switched", latin_tokens(F.lit("")).cast("double"))
-    n, positive = rows.agg(F.count("*"), F.sum("gold")).first()
-    weight = F.when(F.col("gold") == 1, n / (2.0 * max(positive or 0, 1))).otherwise(n / (2.0 * max(n - (positive or 0), 1)))
-    ready = VectorAssembler(inputCols=["score", "predicted"], outputCol="x").transform(rows.withColumn("w", weight))
-    model = LogisticRegression(featuresCol="x", labelCol="gold", weightCol="w", regParam=1.0 / max(n, 1), standardization=False).fit(ready)
-    return model.transform(ready).select("doc_id", "gold", F.get(vector_to_array("probability"), 1).alias("confidence"))
+    """Class-balanced logistic regression of correctness on the ten features, with an L2 penalty of 1 / (C n)."""
+    rows = calibration_rows(spark, sf_dir)
+    return evaluation.calibrated(rows, FEATURES, "gold").select("p_partkey", "gold", "confidence")
 
 
 @query("wer_variants", """SELECT name, value FROM (VALUES ('empty_both', 0.0::DOUBLE), ('empty_ref', 1.0::DOUBLE), ('one_of_four', 0.5::DOUBLE), ('deletion', 0.5::DOUBLE)) t(name, value)""")

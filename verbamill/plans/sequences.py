@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from verbamill.functions import python_text
+from verbamill.functions import python_text, waves
 from verbamill.functions.text import chars_per_second, pretty_seconds, words
 from verbamill.operators import spans
 from verbamill.plans.registry import query
@@ -149,6 +149,28 @@ def augmented(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(level, 5).alias("loudness"), F.ceil(64 / (0.9 + (F.col("vec_id") % 3) / 10.0)).cast("long").alias("length"))
 
 
+WAVES = """x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings WHERE len(embedding) > 0),
+w AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)) AS rms, list_transform(range(len(x)), lambda i: ((vec_id * 31 + i * 17) % 201 - 100) / 100.0) AS n FROM x),
+y AS (SELECT vec_id, x, n, rms, sqrt(list_sum(list_transform(n, lambda v: v * v)) / len(n)) AS noise FROM w),
+z AS (SELECT vec_id, list_transform(range(1, len(x) + 1), lambda i: x[i] + n[i] * rms / noise / pow(10, (5 + vec_id % 20) / 20.0)) AS noisy,
+  list_transform(range(1, len(x) + 1), lambda i: x[i] + CASE WHEN i > 5 THEN 0.5 * x[i - 5] ELSE 0 END + CASE WHEN i > 10 THEN 0.25 * x[i - 10] ELSE 0 END) AS echoed,
+  list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i - 1 >= vec_id % 16 AND i - 1 < vec_id % 16 + 8 THEN 0 ELSE x[i] END) AS masked FROM y)"""
+
+
+@query("waves_disturbed", f"WITH {WAVES} SELECT vec_id, round(list_sum(list_transform(noisy, lambda v: v * v)), 4) AS noisy, round(list_sum(list_transform(echoed, lambda v: v * v)), 4) AS echoed, round(list_sum(list_transform(masked, lambda v: v * v)), 4) AS masked FROM z")
+def waves_disturbed(spark, sf_dir):
+    """The energy of each waveform with noise at a level below it, with echoes, and with a stretch masked; what comes by
+    chance elsewhere comes from the id here."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    noise = F.transform(F.sequence(F.lit(0), F.size("x") - 1), lambda i: (F.pmod(F.col("vec_id") * 31 + i * 17, F.lit(201)) - 100) / 100.0)
+    rows = table(spark, sf_dir, "embeddings").filter(F.size("embedding") > 0).select("vec_id", x.alias("x")).withColumn("n", noise)
+    energy = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v), 4)
+    return rows.select(
+        "vec_id", energy(waves.with_noise(F.col("x"), F.col("n"), (5 + F.col("vec_id") % 20).cast("double"))).alias("noisy"), energy(waves.with_echoes(F.col("x"), 5, (0.5, 0.25))).alias("echoed"),
+        energy(waves.masked(F.col("x"), F.col("vec_id") % 16, 8)).alias("masked"),
+    )
+
+
 @query("chunk_packing", "WITH t AS (SELECT conv_id, sum(len(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda w: w <> ''))) AS n FROM conversations GROUP BY conv_id) SELECT conv_id % 8 AS lane, CAST(sum(n) // 256 AS BIGINT) AS blocks, CAST(sum(n) % 256 AS BIGINT) AS dropped FROM t GROUP BY 1")
 def chunk_packing(spark, sf_dir):
     """Tokens of a lane put end to end and cut into blocks of 256; what does not fill the last is dropped."""
