@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +20,33 @@ def within(strata: Sequence[str], seed: str, id_col: str):
     return Window.partitionBy(*strata).orderBy(shuffled(seed, id_col), F.col(id_col))
 
 
+#: Leading digits of the hash, of sixteen values each, that make a block of a stratum.
+DIGITS = 3
+
+
+def placed(df: DataFrame, strata: Sequence[str], seed: str, id_col: str, size: str | None = None) -> DataFrame:
+    """Adds _nth (a row's place from 1 in the hashed order of its stratum), _n (the stratum's rows) and, given a size,
+    _before (the sizes of the rows before). Blocks of the order are summed first, so that a stratum of any size is
+    sorted by many tasks and only its blocks, 16 ** DIGITS at most, pass through one."""
+    keyed = df.withColumn("_o", shuffled(seed, id_col)).withColumn("_k", F.struct(*strata, F.left("_o", F.lit(DIGITS)).alias("_b")))
+    sums = [F.count("*").alias("_c"), *([F.sum(size).alias("_s")] if size else [])]
+    stratum = F.struct(*[F.col(f"_k.{c}") for c in strata], F.lit(0))
+    w = Window.partitionBy(stratum).orderBy("_k")
+    above = w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = keyed.groupBy("_k").agg(*sums).select(
+        "_k", F.coalesce(F.sum("_c").over(above), F.lit(0)).alias("_rows"), F.sum("_c").over(Window.partitionBy(stratum)).alias("_n"), *([F.coalesce(F.sum("_s").over(above), F.lit(0)).alias("_sizes")] if size else [])
+    )
+    inside = Window.partitionBy("_k").orderBy("_o", id_col)
+    out = keyed.join(blocks, "_k").withColumn("_nth", F.col("_rows") + F.row_number().over(inside))
+    if size:
+        out = out.withColumn("_before", F.col("_sizes") + F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return out.drop("_o", "_k", "_rows", "_sizes")
+
+
 def budget(df: DataFrame, strata: Sequence[str], size: str, target: Column, seed: str, id_col: str) -> DataFrame:
     """Rows of each stratum in hashed order until their sizes reach the target; the row that crosses it is kept, rows
-    of no size are not. One stratum is one sorted group; salt the strata to deal a large one over several."""
-    w = within(strata, seed, id_col).rowsBetween(Window.unboundedPreceding, -1)
-    return df.filter(F.col(size) > 0).withColumn("_before", F.coalesce(F.sum(size).over(w), F.lit(0))).filter(F.col("_before") < target).drop("_before")
+    of no size are not."""
+    return placed(df.filter(F.col(size) > 0), strata, seed, id_col, size).filter(F.col("_before") < target).drop("_before", "_nth", "_n")
 
 
 def carve(df: DataFrame, strata: Sequence[str], size: str, share: float, seed: str, id_col: str) -> DataFrame:
@@ -35,10 +58,10 @@ def carve(df: DataFrame, strata: Sequence[str], size: str, share: float, seed: s
 def held_out(df: DataFrame, strata: Sequence[str], share: float, seed: str, id_col: str, most: int | None = None) -> DataFrame:
     """A split column: of a stratum of n rows max(1, round half even of n * share) are validation, none if n is 1, at
     most n - 1 and `most`."""
-    n = F.count("*").over(Window.partitionBy(*strata))
+    n = F.col("_n")
     want = F.greatest(F.lit(1), F.bround(n * share).cast("long"))
     want = F.least(want, n - 1, *([F.lit(most)] if most else []))
-    return df.withColumn("split", F.when(F.row_number().over(within(strata, seed, id_col)) <= want, "val").otherwise("train"))
+    return placed(df, strata, seed, id_col).withColumn("split", F.when(F.col("_nth") <= want, "val").otherwise("train")).drop("_nth", "_n")
 
 
 def round_robin(df: DataFrame, source: str, seed: str, id_col: str, rounds: int) -> DataFrame:
@@ -55,7 +78,7 @@ def top_up(df: DataFrame, priority: Column, source: str, seed: str, id_col: str,
 def interleaved(df: DataFrame, tier: str, chunks: dict, seed: str, id_col: str) -> DataFrame:
     """`round`: each tier's rows in chunks of its own size, so that every round mixes the tiers in proportion."""
     size = F.coalesce(F.create_map(*[F.lit(x) for p in chunks.items() for x in p])[F.col(tier)], F.lit(1))
-    return df.withColumn("round", F.floor((F.row_number().over(within([tier], seed, id_col)) - 1) / size).cast("long"))
+    return placed(df, [tier], seed, id_col).withColumn("round", F.floor((F.col("_nth") - 1) / size).cast("long")).drop("_nth", "_n")
 
 
 def weighted_draws(df: DataFrame, weight: str, draws: int, seed: str, id_col: str) -> DataFrame:
@@ -74,23 +97,28 @@ def weighted_draws(df: DataFrame, weight: str, draws: int, seed: str, id_col: st
 
 def capped_draw(df: DataFrame, source: str, size: str, share: float, seed: str, id_col: str, slack: float = 1.05) -> DataFrame:
     """Rows of each source in hashed order, skipping one that would pass slack times the source's budget and stopping
-    once the budget is met. What is skipped depends on what was taken, so each source is one ordered pass."""
+    once the budget is met. What is skipped depends on what was taken, so each source is one ordered pass, which holds
+    two numbers; rows that are larger than all that may be taken are left out before it."""
     ship(df.sparkSession)
     rows = df.select(source, F.col(id_col).alias("_id"), F.col(size).cast("double").alias("_size"), shuffled(seed, id_col).alias("_order"))
-
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        want, have, kept = group["_size"].sum() * share, 0.0, []
-        for row in group.sort_values(["_order", "_id"]).itertuples(index=False):
-            if have >= want:
-                break
-            if have + row[2] > slack * want:
-                continue
-            have += row[2]
-            kept.append(row[1])
-        return pd.DataFrame({source: [group[source].iloc[0]] * len(kept), "_id": kept})
+    wants = rows.groupBy(source).agg((F.sum("_size") * share).alias("_want"))
+    rows = rows.join(wants, source).filter(F.col("_size") <= slack * F.col("_want"))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, have = object(), 0.0
+        for batch in batches:
+            kept = []
+            for who, what, want in zip(*(batch.column(c).to_pylist() for c in (source, "_size", "_want"))):
+                if who != at:
+                    at, have = who, 0.0
+                ok = have < want and have + what <= slack * want
+                have += what if ok else 0.0
+                kept.append(ok)
+            yield batch.select([source, "_id"]).filter(pa.array(kept, pa.bool_()))
 
     kind = dict(rows.dtypes)
-    return rows.groupBy(source).applyInPandas(take, f"{source} {kind[source]}, _id {kind['_id']}").withColumnRenamed("_id", id_col)
+    ordered = rows.repartition(source).sortWithinPartitions(source, "_order", "_id")
+    return ordered.mapInArrow(take, f"{source} {kind[source]}, _id {kind['_id']}").withColumnRenamed("_id", id_col)
 
 
 def group_split(df: DataFrame, source: str, group: str, size: str, shares: dict, seed: str) -> DataFrame:
@@ -117,6 +145,6 @@ def group_split(df: DataFrame, source: str, group: str, size: str, shares: dict,
 
 def proxy_dedup(df: DataFrame, proxy: str, least: int, seed: str, id_col: str) -> DataFrame:
     """One row of each proxy in hashed order; where that leaves fewer than `least`, second rows come in too."""
-    ranked = df.withColumn("_nth", F.row_number().over(within([proxy], seed, id_col)))
+    ranked = df.withColumn("_nth", F.row_number().over(within([proxy], seed, id_col))).filter("_nth <= 2")
     short = ranked.filter("_nth = 1").agg((F.count("*") < least).alias("_short"))
     return ranked.join(F.broadcast(short)).filter((F.col("_nth") == 1) | (F.col("_short") & (F.col("_nth") == 2))).drop("_nth", "_short")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
 import pandas as pd
@@ -48,17 +49,15 @@ def best_spans(df: DataFrame, keys: Sequence[str], start: str, end: str, score:
 
     def select(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(_n=rows[end] - rows[start]).sort_values([score, start, "_n"], ascending=[False, True, True])
-        taken, kept = [], []
+        taken: list[tuple] = []  # apart from each other, so in order of their starts and of their ends alike
         for at, (a, b, s) in zip(rows.index, rows[[start, end, score]].itertuples(index=False)):
-            hit = [t for t in taken if t[0] < b and a < t[1]]
-            if hit and not (all(a <= t[0] and t[1] <= b for t in hit) and s > max(t[2] for t in hit) + margin):
+            first = bisect_right(taken, a, key=lambda t: t[1])
+            last = bisect_left(taken, b, key=lambda t: t[0])
+            hit = taken[first:last]
+            if hit and not (a <= hit[0][0] and hit[-1][1] <= b and s > max(t[2] for t in hit) + margin):
                 continue
-            for t in hit:
-                kept.remove(t[3])
-                taken.remove(t)
-            taken.append((a, b, s, at))
-            kept.append(at)
-        return rows.loc[kept].drop(columns="_n")
+            taken[first : max(first, last)] = [(a, b, s, at)]
+        return rows.loc[[t[3] for t in taken]].drop(columns="_n")
 
     return df.groupBy(*keys).applyInPandas(select, df.schema)
 
