@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbamill.functions.distance import similarity
 from verbamill.functions.text import let
-from verbamill.session import ship
+from verbamill.session import scratch, ship
 
 
 def leak_guard(df: DataFrame, ids: Column, held: DataFrame, held_ids: Column, key: str) -> DataFrame:
@@ -70,32 +70,58 @@ def ngram_cosine(left: DataFrame, right: DataFrame, a: str, b: str, left_id: str
     return scored.filter(F.col("score") >= least)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, block: int = 4096) -> DataFrame:
-    """(query_id, rank, id, score): each query's k rows of the highest cosine, its own id left out, ties to the smaller
-    id. Blocks of queries meet blocks of rows; each meeting is one matrix product that returns k rows a query."""
-    ship(vectors.sparkSession)
-
-    def blocks(df, name):
-        n = max(1, -(-df.count() // block))
-        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).alias(name))
-        return rows, n
-
-    (rows, n), (asked, m) = blocks(vectors, "rb"), blocks(queries, "qb")
-    rows = rows.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-    asked = asked.withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-
-    def meet(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(r):
-            x, y = np.stack(q["v"]), np.stack(r["v"])
-            s = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
-            ids = r["id"].to_numpy()
-            for i, own in enumerate(q["id"]):
-                ok = np.flatnonzero(ids != own)
-                best = ok[np.lexsort((ids[ok], -np.round(s[i, ok], 9)))[:k]]
-                out += [(own, ids[j], s[i, j]) for j in best]
-        return pd.DataFrame(out, columns=["query_id", "id", "score"])
-
-    found = asked.groupBy("rb", "qb").cogroup(rows.groupBy("rb", "qb")).applyInPandas(meet, "query_id long, id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, block: int = 16_384, asked_at_once: int = 512) -> DataFrame:
+    """(query_id, rank, id, score): each query's k rows of the highest cosine (equal to 9 places), its own id left out,
+    ties to the smaller id. Rows are packed into written blocks, each of which a task holds once while blocks of queries
+    stream past it as matrix products; only where blocks are fewer than cores is one held by several tasks. Vectors
+    must be of one length; null ids and vectors and those without a direction take no part."""
+    spark = vectors.sparkSession
+    ship(spark)
+    ready = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL AND exists(v, x -> x <> 0)")
+
+    def packed(df: DataFrame, size: int) -> tuple[DataFrame, int]:
+        n, path = max(1, -(-df.count() // size)), scratch(spark, "blocks")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            ids, values = [], []
+            for b in batches:
+                ids.append(b.column(0).to_numpy())
+                values.append(b.column(1).flatten().to_numpy())
+            if sum(map(len, ids)):
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([np.concatenate(ids).tobytes()]), pa.array([np.concatenate(values).tobytes()])], ["block", "ids", "v"])
+
+        out = df.repartition(n).mapInArrow(run, "block long, ids binary, v binary")
+        out.write.parquet(path)
+        return spark.read.schema(out.schema).parquet(path), n
+
+    (rows, n), (asked, m) = packed(ready(vectors), block), packed(ready(queries), asked_at_once)
+    lanes = min(m, -(-spark.sparkContext.defaultParallelism // n))
+    upto = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(x - 1).cast("long")))
+    held = rows.select("block", upto(lanes).alias("lane"), F.lit(-1).cast("long").alias("nth"), "ids", "v")
+    met = held.unionAll(asked.select(upto(n).alias("block"), F.pmod("block", F.lit(lanes)).alias("lane"), F.col("block").alias("nth"), "ids", "v"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at = None, None
+        for b in batches:
+            for i in range(b.num_rows):
+                ids = np.frombuffer(b.column("ids")[i].as_buffer(), np.int64)
+                x = np.frombuffer(b.column("v")[i].as_buffer()).reshape(len(ids), -1)
+                x = x / np.linalg.norm(x, axis=1)[:, None]
+                if b.column("nth")[i].as_py() < 0:
+                    own, y, at = ids, x, b.column("block")[i].as_py()
+                    continue
+                if b.column("block")[i].as_py() != at:
+                    continue
+                out = []
+                for q, s in zip(ids.tolist(), x @ y.T):
+                    s = np.where(own == q, -np.inf, np.round(s, 9))
+                    least = np.partition(s, max(0, len(s) - k))[max(0, len(s) - k)]
+                    some = np.flatnonzero((s >= least) & (s > -np.inf))
+                    out += [(q, own[j], s[j]) for j in some[np.lexsort((own[some], -s[some]))[:k]]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "score"])
+
+    found = met.repartition(min(2 * n * lanes, 100_000), "block", "lane").sortWithinPartitions("block", "lane", "nth").mapInArrow(meet, "query_id long, id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
