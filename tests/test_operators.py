@@ -1,15 +1,19 @@
 """Operators on hand-checked rows."""
 
 import math
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from verbamill.functions import python_text
 from verbamill.functions.distance import cer, lengths_close, longest_common_substring, similarity, wer, word_edits
 from verbamill.functions.text import words
 from verbamill.operators import evaluation, gates, joins, lexicon, lm, sampling, spans
+from verbamill.plans import strategies
 from verbamill.sources import manifests, sinks
+from verbamill.streaming import events
 
 
 @pytest.mark.parametrize(("r", "h", "expected"), [("a b c d", "a x c d e", 0.5), ("", "", 0.0), ("", "x", 1.0), ("a b", "b", 0.5), ("مريض عنده", "مريض", 0.5)])
@@ -170,3 +174,91 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.splits(df, str(tmp_path / "out"), "split", "id")
     assert (tmp_path / "out" / "split=train").exists()
     assert sinks.markdown(df.orderBy("id"), ["split", "id"]).splitlines()[2] == "| train | 1 |"
+
+
+def test_lines_keep_their_numbers(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": 1}\n\n{"id": 2}\nbroken\n{"id": 5}\n')
+    (tmp_path / "b.jsonl").write_text('{"id": 9}\n')
+    rows = manifests.with_provenance(spark, str(tmp_path), "id long").collect()
+    assert sorted((r["_manifest"][-7:], r["_line_no"], r["id"]) for r in rows if r["id"]) == [("a.jsonl", 1, 1), ("a.jsonl", 3, 2), ("a.jsonl", 5, 5), ("b.jsonl", 1, 9)]
+    assert [r["_line_no"] for r in rows if not r["id"]] == [4]
+    assert manifests.any_root(spark, [str(tmp_path / "none"), str(tmp_path)], "*.jsonl") == str(tmp_path) and manifests.any_root(spark, [str(tmp_path / "none")]) is None
+    (tmp_path / "set.json").write_text('[{"id": 1},\n {"id": 2}]')
+    assert manifests.eval_set(spark, str(tmp_path / "set.json"), "id long").count() == 2 and manifests.eval_set(spark, str(tmp_path / "b.jsonl"), "id long").count() == 1
+
+
+def test_skipping_scans_and_models_by_folder(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"id": 1}\n{"id": \n\n{"id": 3}\n')
+    assert sorted(r["id"] for r in manifests.jsonl(spark, str(tmp_path / "x.jsonl"), "id long", "skip").collect()) == [1, 3]
+    for model, text in (("m1", '{"id": "a",\n "wer": 0.5}'), ("m2", '{"id": "b"}')):
+        (tmp_path / "root" / model).mkdir(parents=True)
+        (tmp_path / "root" / model / "one.json").write_text(text)
+    (tmp_path / "root" / "m1" / "bad.json").write_text("{")
+    got = manifests.documents(spark, str(tmp_path / "root"), "id string, wer double")
+    assert sorted((r["model"], r["id"]) for r in got.filter("id IS NOT NULL").collect()) == [("m1", "a"), ("m2", "b")]
+    stems = spark.createDataFrame([("x/A.wav", 1), ("y/a.mp3", 2), ("b", 3)], "path string, at int")
+    assert {r["stem"]: r["path"] for r in manifests.keyed_by_stem(stems, "path", "at").collect()} == {"a": "y/a.mp3", "b": "b"}
+
+
+def test_reports_and_vocabularies(spark, tmp_path):
+    df = spark.createDataFrame([("b", 0.5), ("a", None), ("c", 0.25), ("d", 0.5)], "model string, wer double")
+    table = sinks.leaderboard(df, "wer", "model", ["model", "wer"]).split("\n")
+    assert [row.split(" | ")[0] for row in table[2:]] == ["| c", "| b", "| d", "| a"]
+    sinks.vocabulary(spark.createDataFrame([(["b", "a"],), (["a"],)], "w array<string>"), "w", f"{tmp_path}/v")
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/v").collect()] == ["a", "b"]
+    sinks.summary(df, f"{tmp_path}/s", {"rows": F.count("*"), "mean": F.round(F.avg("wer"), 2)})
+    assert spark.read.json(f"{tmp_path}/s").first().asDict() == {"rows": 4, "mean": 0.42}
+
+
+def test_times_are_dealt_out():
+    words = [{"text": t, "start": float(k), "end": k + 1.0} for k, t in enumerate("a b c d".split())]
+    got = python_text.timed_of(words, ["a", "x", "y", "z", "d", "e"])
+    assert [w["text"] for w in got] == ["a", "x", "y", "z", "d", "e"] and [round(w["start"], 3) for w in got] == [0, 1, 1.667, 2.333, 3, 4]
+    assert python_text.timed_of([], ["q"]) == [{"text": "q", "start": 0.0, "end": 0.0}] and python_text.timed_of(words, []) == []
+
+
+def test_phrases_by_skeleton(spark):
+    rows = spark.createDataFrame([(1, "the blod sugr of blood sugar is".split()), (2, ["x"])], "id long, t array<string>")
+    known = spark.createDataFrame([("blood sugar",), ("high fever",)], "p string")
+    got = {(r["at"], r["width"]): (r["phrase"], r["score"]) for r in spans.phrase_matches(rows, "id", "t", known, "p").collect()}
+    assert got[1, 2][0] == "blood sugar" and got[4, 2] == ("blood sugar", 100.0)
+
+
+def test_pluggable_backends(spark):
+    class Shout:
+        def prepare(self):
+            self.mark = "!"
+
+        def answer(self, batch):
+            return [None if x is None else x.upper() + self.mark for x in batch.column(0).to_pylist()]
+
+    backends = strategies.Backends()
+    backends.register("shout", Shout)
+    df = spark.createDataFrame([("a",), (None,)], "t string")
+    assert sorted(map(str, (r["answer"] for r in backends.run("shout", df).collect()))) == ["A!", "None"]
+    with pytest.raises(ValueError):
+        backends.register("shout", Shout)
+    terms = spark.createDataFrame([("red ring",), ("blue bolt",)], "term string")
+    said = spark.createDataFrame([("red rings",)], "term string")
+    assert [r["other"] for r in strategies.NEIGHBOURS["ngram"](said, terms).collect()] == ["red ring"] == [r["other"] for r in strategies.NEIGHBOURS["spelling"](said, terms).collect()]
+
+
+def test_progress_can_be_polled(spark, tmp_path):
+    seen = events.Progress()
+    spark.streams.addListener(seen)
+    spark.range(5).write.json(f"{tmp_path}/in")
+    events.run_once(events.trace(spark, f"{tmp_path}/in", "id long"), f"{tmp_path}/c", f"{tmp_path}/out")
+    for _ in range(50):
+        if any(x["rows"] == 5 and not x["running"] for x in seen.seen.values()):
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(seen)
+    assert any(x["rows"] == 5 for x in seen.seen.values())
+
+
+def test_upserts_go_on_after_a_restart(spark, tmp_path):
+    folder, source = f"{tmp_path}/dim", f"{tmp_path}/edits"
+    for batch in ([(1, 1, "a"), (2, 1, "b")], [(1, 2, "c")]):
+        spark.createDataFrame(batch, "k long, v long, x string").write.mode("append").json(source)
+        got = events.upserted(events.trace(spark, source, "k long, v long, x string"), folder, "k", "v")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2, "c"), (2, 1, "b")]

@@ -159,6 +159,32 @@ def diff_blocks_of(a: str, b: str) -> list[dict]:
     return [{"start": i, "end": j, "old": " ".join(x[i:j]), "new": " ".join(y[k:m])} for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if tag != "equal"]
 
 
+def timed_of(words: list[dict], said: list[str]) -> list[dict]:
+    """Times for the words of a text from a recogniser's words (text, start, end): an equal word has its own, and those
+    of a block that differs share the block's stretch evenly; a block that replaces nothing has the time between its
+    neighbours."""
+    out: list[dict] = []
+    for tag, i, j, k, m in difflib.SequenceMatcher(None, [w["text"] for w in words], said, autojunk=False).get_opcodes():
+        if tag == "equal":
+            out += [{"text": said[k + n], "start": words[i + n]["start"], "end": words[i + n]["end"]} for n in range(m - k)]
+            continue
+        since = words[i]["start"] if i < j else words[i - 1]["end"] if i else 0.0
+        until = words[j - 1]["end"] if i < j else words[i]["start"] if i < len(words) else since
+        step = (until - since) / max(m - k, 1)
+        out += [{"text": said[k + n], "start": since + n * step, "end": since + (n + 1) * step} for n in range(m - k)]
+    return out
+
+
+def timed(words: Column, said: Column) -> Column:
+    """words: array of (text, start, end); said: array of words."""
+
+    @F.pandas_udf("array<struct<text:string,start:double,end:double>>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else timed_of([dict(w) for w in x], list(y)) for x, y in zip(a, b)])
+
+    return run(words, said)
+
+
 def jaro_winkler(a: Column, b: Column) -> Column:
     return _pairs(jaro_winkler_of, "double")(a, b)
 

@@ -40,3 +40,18 @@ def bucket(value: Column, edges: Sequence[float]) -> Column:
     for k, edge in enumerate(edges[1:], 2):
         out = out.when(value <= edge, k)
     return F.when(value.isNotNull(), out.otherwise(len(edges) + 1))
+
+
+def capped(df: DataFrame, order: Sequence[str], passes: Column, scanned: int, kept: int) -> DataFrame:
+    """The first `kept` rows that pass among the first `scanned` by order: a gate over a source that is read no further
+    (both caps are the feature). Each partition gives up its own first rows, so nothing is sorted as a whole."""
+    return df.orderBy(*order).limit(scanned).filter(passes).orderBy(*order).limit(kept)
+
+
+def until(df: DataFrame, order: Sequence[str], size: str, rows: int, total: float) -> DataFrame:
+    """The first rows by order, at most `rows` of them, up to and with the one whose sizes reach `total`."""
+    from pyspark.sql import Window
+
+    first = df.orderBy(*order).limit(rows)
+    before = F.coalesce(F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return first.withColumn("_before", before).filter(F.col("_before") < total).drop("_before")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verbamill.functions.phonetics import skeleton_score
+from verbamill.functions.text import consonants
 from verbamill.session import ship
 
 
@@ -88,3 +90,28 @@ def alias_rewrite(df: DataFrame, id_col: str, tokens: str, aliases: DataFrame, l
     rest = lambda s: F.concat(s["out"], F.slice(F.col(tokens), s["next"] + 1, F.size(tokens) - s["next"]))
     found = df.join(hits, id_col, "left")
     return found.withColumn(tokens, F.when(F.col("_hits").isNull(), F.col(tokens)).otherwise(F.aggregate("_hits", start, step, rest))).select(*df.columns)
+
+
+def phrase_matches(df: DataFrame, id_col: str, tokens: str, phrases: DataFrame, phrase: str, least: float = 80.0, shortest: int = 2, longest: int = 4) -> DataFrame:
+    """(id, at, width, phrase, score): runs of tokens that are a phrase, or whose skeleton is like one's by at least
+    `least`; of the runs that begin at a token the best score's, then the longest, then the smaller phrase. Equal runs
+    meet by their text, others by the first or the last letter of their skeletons, either of which may be wrong, but
+    not both. The package must be on the executors."""
+    runs = token_windows(df.select(id_col, F.col(tokens).alias("_t")), "_t", longest, shortest).withColumn("_text", F.array_join("window", " "))
+    kinds = runs.select("_text").distinct()
+    known = phrases.select(F.col(phrase).alias("phrase")).distinct()
+    ends = lambda c: F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.left(c, F.lit(1))), F.concat(F.lit(">"), F.right(c, F.lit(1))))))
+    left, right = (x.withColumn("_s", consonants(c, merged=True)).withColumn("_e", ends(F.col("_s"))) for x, c in ((kinds, "_text"), (known, "phrase")))
+    near = left.join(right.drop("_s"), "_e").select("_text", "phrase").distinct().withColumn("score", skeleton_score(F.col("_text"), F.col("phrase"))).filter(F.col("score") >= least)
+    same = kinds.join(known, F.col("_text") == F.col("phrase")).select("_text", "phrase", F.lit(100.0).alias("score"))
+    kinds = same.withColumn("k", F.lit(0)).unionAll(near.withColumn("k", F.lit(1)))  # of equal scores, the equal text first
+    best = kinds.groupBy("_text").agg(F.min(F.struct((-F.col("score")).alias("s"), "k", "phrase")).alias("x"))
+    hits = runs.join(best, "_text").select(id_col, "at", "width", "x.phrase", (-F.col("x.s")).alias("score"))
+    first = F.min(F.struct((-F.col("score")).alias("s"), (-F.col("width")).alias("w"), "phrase"))
+    return hits.groupBy(id_col, "at").agg(first.alias("x")).select(id_col, "at", (-F.col("x.w")).alias("width"), "x.phrase", (-F.col("x.s")).alias("score"))
+
+
+def uncovered(flags: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str, end: str) -> DataFrame:
+    """Flags whose index `at` lies in none of the spans [start, end) of the same keys: an anti-join on covered indices."""
+    covered = spans.filter(F.col(start) < F.col(end)).select(*keys, F.explode(F.sequence(F.col(start), F.col(end) - 1)).alias(at)).distinct()
+    return flags.join(covered, [*keys, at], "left_anti")

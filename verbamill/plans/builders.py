@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from verbamill.functions import phonetics
 from verbamill.functions.text import words
-from verbamill.operators import builders, evaluation, lexicon, spans
+from verbamill.operators import builders, evaluation, gates, lexicon, spans
+from verbamill.plans import strategies
 from verbamill.plans.evaluation import CLIPS, clips
 from verbamill.plans.registry import query
-from verbamill.session import scratch, table
+from verbamill.session import scratch, ship, table
+from verbamill.streaming import events as streams
 
 SOURCES = """u AS (SELECT p_name AS id, p_name || ' of ' || p_type AS transcript, 0 AS k FROM part UNION ALL SELECT p_type, 'a ' || p_type || ' thing', 1 FROM part
  UNION ALL SELECT lower(p_name), p_brand || ' ' || p_name, 2 FROM part UNION ALL SELECT c_mktsegment, 'for ' || c_mktsegment, 3 FROM customer),
@@ -210,3 +212,61 @@ def correction_kinds(spark, sf_dir):
     kind = F.col("p_size") % 3
     old, new = F.when(kind < 2, "مرد").otherwise(F.col("p_name")), F.when(kind == 1, "مريض").otherwise(F.upper("p_name"))
     return table(spark, sf_dir, "part").groupBy(builders.correction_kind(old, new).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("capped_gate", "SELECT doc_id, lang FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 500) WHERE n_chars >= 100 ORDER BY doc_id LIMIT 120")
+def capped_gate(spark, sf_dir):
+    """A source that is read no further than 500 rows, of which the first 120 that pass are kept (caps of a stream)."""
+    return gates.capped(table(spark, sf_dir, "documents"), ["doc_id"], F.col("n_chars") >= 100, 500, 120).select("doc_id", "lang")
+
+
+@query("read_until", "SELECT doc_id FROM (SELECT doc_id, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 400)) WHERE b < 100000")
+def read_until(spark, sf_dir):
+    """A stream read until 400 rows or 100,000 characters have come (early termination is the feature)."""
+    return gates.until(table(spark, sf_dir, "documents"), ["doc_id"], "n_chars", 400, 100_000).select("doc_id")
+
+
+@query("flags_aligned", "SELECT f.conv_id, f.turn AS word_index, a.role AS aligned, length(f.text) % 7 AS flag FROM conversations f LEFT JOIN conversations a ON a.conv_id = f.conv_id AND a.turn = f.turn AND a.role = 'user'")
+def flags_aligned(spark, sf_dir):
+    """Flags with the alignment of the same index, where there is one."""
+    talk = table(spark, sf_dir, "conversations")
+    aligned = talk.filter("role = 'user'").select("conv_id", "turn", F.col("role").alias("aligned"))
+    return talk.join(aligned, ["conv_id", "turn"], "left").select("conv_id", F.col("turn").alias("word_index"), "aligned", (F.length("text") % 7).cast("long").alias("flag"))
+
+
+@query("flags_uncovered", "SELECT conv_id, turn FROM conversations f WHERE NOT EXISTS (SELECT 1 FROM conversations s WHERE s.conv_id = f.conv_id AND length(s.text) > 300 AND f.turn >= s.turn AND f.turn < s.turn + 2)")
+def flags_uncovered(spark, sf_dir):
+    """Turns that lie in no span of two that a long turn begins."""
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    covering = talk.filter("n > 300").select("conv_id", F.col("turn").alias("start"), (F.col("turn") + 2).alias("end"))
+    return spans.uncovered(talk.select("conv_id", "turn"), covering, ["conv_id"], "turn", "start", "end")
+
+
+@query("phrases_matched", "SELECT p_partkey, 1 AS at, 2 AS width, p_name AS phrase, 100.0::DOUBLE AS score FROM part")
+def phrases_matched(spark, sf_dir):
+    """Names of two words found in longer texts, exactly or by their skeletons; exact ones win."""
+    ship(spark)
+    part = table(spark, sf_dir, "part")
+    rows = part.select("p_partkey", F.split(F.concat_ws(" ", "p_type", "p_name", "p_brand"), " ").alias("w"))
+    found = spans.phrase_matches(rows, "p_partkey", "w", part.select("p_name").distinct(), "p_name")
+    return found.filter("score = 100 AND width = 2 AND at = 1")
+
+
+@query("traces_closed", "WITH t AS (SELECT conv_id, count(*) AS n, min(turn) AS a, max(turn) AS b, min(turn) FILTER (role = 'assistant') AS e FROM conversations GROUP BY 1) SELECT t.conv_id, count(c.turn) AS events, e IS NOT NULL AS closed, CAST((coalesce(e, b) - a) * 60 AS DOUBLE) AS seconds FROM t LEFT JOIN conversations c ON c.conv_id = t.conv_id AND c.role <> 'assistant' AND c.turn <= coalesce(e, b) GROUP BY t.conv_id, e, a, b")
+def traces_closed(spark, sf_dir):
+    """Traces up to their sentinel, and how long they took; a turn takes a minute here."""
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "role", F.timestamp_seconds(F.col("turn") * 60).alias("ts"))
+    return streams.closed_traces(talk, "conv_id", "ts", "role", "assistant")
+
+
+@query("correctors_compared", "SELECT name, p_partkey AS id, CASE name WHEN 'clean' THEN lower(p_name) WHEN 'aliases' THEN p_name ELSE p_name END AS corrected FROM (SELECT DISTINCT min(p_partkey) OVER (PARTITION BY p_name) AS p_partkey, p_name FROM part), (SELECT unnest(['clean', 'spelling', 'aliases']) AS name)")
+def correctors_compared(spark, sf_dir):
+    """Three correctors of one result over texts that are right: none may change them but in case."""
+    ship(spark)
+    rows = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("id"))
+    terms = rows.select(F.explode(F.split("text", " ")).alias("term")).distinct()
+    found = None
+    for name in ("clean", "spelling", "aliases"):
+        one = strategies.corrected(name, rows, terms).select(F.lit(name).alias("name"), "id", "corrected")
+        found = one if found is None else found.unionByName(one)
+    return found

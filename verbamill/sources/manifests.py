@@ -26,9 +26,31 @@ def jsonl(spark: SparkSession, path: str, schema: str, bad: str = "raise") -> Da
     return reader.schema(schema).json(path)
 
 
-def with_provenance(df: DataFrame) -> DataFrame:
-    """Adds the file that a row came from and its place among the rows that its task read."""
-    return df.withColumn("_manifest", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
+def with_provenance(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON Lines with the file and the line (from 1, blank lines counted) that each row came from; rows that do not
+    parse have null fields, blank lines give none. Lines are counted by blocks of files first."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_manifest"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_at", F.monotonically_increasing_id())
+    sizes = text.groupBy("_manifest", "_block").agg(F.count("*").alias("_n"))
+    before = sizes.select("_manifest", "_block", (F.sum("_n").over(Window.partitionBy("_manifest").orderBy("_block")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_manifest", "_block").orderBy("_at"))
+    rows = text.join(before, ["_manifest", "_block"]).withColumn("_line_no", (F.col("_before") + inside).cast("long"))
+    return rows.filter(F.trim("value") != "").select(F.from_json("value", schema).alias("_j"), "_manifest", "_line_no").select("_j.*", "_manifest", "_line_no")
+
+
+def any_root(spark: SparkSession, roots: list[str], pattern: str = "*") -> str | None:
+    """The first of the folders that has a file below it whose name fits the pattern, at any of three depths."""
+    conf = spark._jsc.hadoopConfiguration()
+    for root in roots:
+        for depth in ("", "*/", "*/*/"):
+            glob = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{depth}{pattern}")
+            if glob.getFileSystem(conf).globStatus(glob):
+                return root
+    return None
+
+
+def eval_set(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An evaluation set: one JSON array or document a file (.json), or JSON Lines (anything else)."""
+    return spark.read.option("multiLine", str(path.endswith(".json")).lower()).option("mode", "FAILFAST").schema(schema).json(path)
 
 
 def documents(spark: SparkSession, root: str, schema: str) -> DataFrame:

@@ -40,3 +40,8 @@ def markdown(df: DataFrame, columns: Sequence[str], most: int = 100) -> str:
     """The first rows as a table for a report."""
     rows = [[("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)) for v in r] for r in df.select(*columns).limit(most).collect()]
     return "\n".join("| " + " | ".join(r) + " |" for r in [list(columns), ["---"] * len(columns), *rows])
+
+
+def leaderboard(df: DataFrame, rate: str, name: str, columns: Sequence[str], most: int = 100) -> str:
+    """A report's table in order of the rate, rows without one last, ties by name."""
+    return markdown(df.orderBy(F.asc_nulls_last(rate), name), columns, most)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from verbamill.session import ship
 
@@ -17,6 +18,38 @@ def trace(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
+def closed_traces(events: DataFrame, key: str, ts: str, kind: str, sentinel: str) -> DataFrame:
+    """(key, events, closed, seconds) of traces that have arrived: how many events came before a trace's first sentinel,
+    whether there is one, and the time from the first event to the sentinel, or to the last event."""
+    end = F.min(F.when(F.col(kind) == sentinel, F.col(ts)))
+    by = events.groupBy(key).agg(end.alias("_end"), F.min(ts).alias("_first"), F.max(ts).alias("_last"))
+    until = by.select(key, "_first", F.col("_end").isNotNull().alias("closed"), F.coalesce("_end", "_last").alias("_until"))
+    held = events.join(until, key).filter((F.col(kind) != sentinel) & (F.col(ts) <= F.col("_until")))
+    counted = held.groupBy(key).agg(F.count("*").alias("events"))
+    seconds = F.timestamp_diff("MICROSECOND", "_first", "_until") / 1e6
+    return until.join(counted, key, "left").select(key, F.coalesce("events", F.lit(0)).alias("events"), "closed", seconds.alias("seconds"))
+
+
+class Progress(StreamingQueryListener):
+    """The last progress of each running query, by name or id, for whoever polls it: batch, rows, state. Add it with
+    spark.streams.addListener."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, dict] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.seen[event.name or str(event.id)] = {"batch": -1, "rows": 0, "running": True}
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        known = self.seen.setdefault(p.name or str(p.id), {"rows": 0})
+        known.update(batch=p.batchId, rows=known["rows"] + p.numInputRows, running=True)
+
+    def onQueryTerminated(self, event) -> None:
+        for known in self.seen.values():
+            known["running"] = False
+
+
 def session_windows(events: DataFrame, key: str, ts: str, gap: str, late: str) -> DataFrame:
     """Sessions of each key with a gap, for events up to `late` behind the latest."""
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("events")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
