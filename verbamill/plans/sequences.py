@@ -326,7 +326,11 @@ def spelled_codes(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(codes(said), ",").alias("codes"))
 
 
-@query("numbers_verbalised")
+ENGLISH = """CASE WHEN p_size < 20 THEN ['one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen'][p_size]
+ ELSE ['twenty','thirty','forty','fifty'][p_size // 10 - 1] || CASE WHEN p_size % 10 = 0 THEN '' ELSE ' ' || ['one','two','three','four','five','six','seven','eight','nine'][p_size % 10] END END"""
+
+
+@query("numbers_verbalised", f"SELECT p_partkey, 'take ' || {ENGLISH} || ' milligrams of ' || p_name AS text FROM part")
 def numbers_verbalised(spark, sf_dir):
     """Sizes with their unit as words."""
     ship(spark)
@@ -348,7 +352,7 @@ def arabic_numbers(spark, sf_dir):
     return rows.withColumn("folded", python_text.folded_arabic_numbers(F.col("said")))
 
 
-@query("compounds_joined")
+@query("compounds_joined", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN replace(p_name, ' ', '') ELSE p_name END AS ref, CASE WHEN p_size % 2 = 0 THEN replace(p_name, ' ', '') ELSE p_name END AS hyp FROM part")
 def compounds_joined(spark, sf_dir):
     """Pairs of texts that differ in where words are split, brought together before they are scored."""
     ship(spark)

@@ -73,17 +73,20 @@ def normalised_digests(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(leaderboard("text")).alias("leaderboard"), F.md5(dedup_key("text")).alias("key"))
 
 
-@query("whisper_normal_form")
+WHISPER = "replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[<\\[][^>\\]]*[>\\]]', '', 'g'), '\\(([^)]+?)\\)', '', 'g'), 'œ', 'oe'), 'ø', 'o'), 'æ', 'ae'), 'ß', 'ss'), 'đ', 'd'), 'ð', 'd'), 'þ', 'th'), 'ł', 'l')"
+
+
+@query("whisper_normal_form", f"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(strip_accents({WHISPER}), '[\\p{{M}}\\p{{S}}\\p{{P}}]', ' ', 'g'), '[\\s\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{3000}}]+', ' ', 'g'))) AS digest FROM documents")
 def whisper_normal_form(spark, sf_dir):
-    ship(spark)
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(whisper_like(python_text.nfkd(F.col("text")))).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(whisper_like(python_text.nfkd(F.coalesce("text", F.lit(""))))).alias("digest"))
 
 
-@query("spelled_numbers")
+@query("spelled_numbers", "SELECT p_partkey, 'ship ' || p_size || ' of ' || p_name || ' and ' || (p_size * 100 + 2) || ' more' AS text FROM part")
 def spelled_numbers(spark, sf_dir):
-    """Number words as digits, in every turn of every conversation."""
+    """Number words as digits again, the longest first."""
     ship(spark)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", python_text.folded_numbers(F.col("text")).alias("text"))
+    said = F.concat(F.lit("ship "), F.col("p_size").cast("string"), F.lit(" of "), "p_name", F.lit(" and "), (F.col("p_size") * 100 + 2).cast("string"), F.lit(" more"))
+    return table(spark, sf_dir, "part").select("p_partkey", python_text.folded_numbers(python_text.verbalised(said, {})).alias("text"))
 
 
 @query("token_offsets", "SELECT conv_id, turn, len(w) AS tokens, CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS chars FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^ \\t\\n\\r]+') AS w FROM conversations) WHERE len(w) > 0")
