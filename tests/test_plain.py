@@ -150,7 +150,7 @@ def test_composite_scores(spark):
     for r in run(spark, "composite_scores"):
         got[r["term"]].append((r["rank"], r["other"], round(r["score"], 9)))
     for term in names():
-        found = sorted((-phonetics.composite_score_of(term, o), o) for o in names() if o != term and abs(len(o) - len(term)) <= 3)[:3]
+        found = sorted((-phonetics.composite_score_of(term, o), o) for o in names() if o != term and min(len(o), len(term)) >= 0.5 * max(len(o), len(term)))[:3]
         assert sorted(got[term]) == [(k, o, round(-s, 9)) for k, (s, o) in enumerate(found, 1)]
 
 
@@ -189,3 +189,20 @@ def test_logistic_calibration(spark):
     rows = run(spark, "logistic_calibration")
     right, wrong = ([r["confidence"] for r in rows if r["gold"] == y] for y in (1, 0))
     assert all(0 <= r["confidence"] <= 1 for r in rows) and (not right or min(right) > np.mean(wrong))
+
+
+def test_weighted_draws(spark):
+    import struct
+
+    import xxhash
+
+    rows = sorted((r["doc_id"], r["n_chars"]) for r in rows_of("documents") if (r["n_chars"] or 0) > 0)
+    buckets = defaultdict(list)
+    for i, w in rows:
+        buckets[xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest() % 1024 if xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest() < 2**63 else (xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest() - 2**64) % 1024].append((i, w))
+    line = [(i, w) for b in sorted(buckets) for i, w in buckets[b]]
+    ends = np.cumsum([w for _, w in line])
+    got = {r["draw"]: r["id"] for r in run(spark, "weighted_draws")}
+    for d in range(1000):
+        u = int(hashlib.md5(f"7{d}".encode()).hexdigest()[:12], 16) / 2.0**48
+        assert got[d] == line[int(np.searchsorted(ends, u * ends[-1], "right"))][0]

@@ -42,11 +42,17 @@ def banded(left: DataFrame, right: DataFrame, a: str, b: str, most: int) -> Data
     return spread.join(right.withColumn("_length", F.length(b)), "_length").drop("_length")
 
 
-def similar(left: DataFrame, right: DataFrame, a: str, b: str, most: int, least: float, k: int, by: Sequence[str], ties: Sequence[Column]) -> DataFrame:
-    """The k best right rows of each left row (`by`) at a Levenshtein similarity of at least `least`: `score`, `rank`.
-    The built-in distance gives up beyond `most` edits."""
-    pairs = banded(left, right, a, b, most).filter(F.levenshtein(F.col(a), F.col(b), most) >= 0)
-    scored = pairs.withColumn("score", similarity(F.col(a), F.col(b))).filter(F.col("score") >= least)
+def proportional(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """Pairs whose shorter string has at least the share `least` of the longer one's length, by an equi-join on length:
+    whatever has a Levenshtein similarity of `least` is among them. Empty strings have no partner."""
+    n = F.length(a)
+    spread = left.filter(n > 0).withColumn("_length", F.explode(F.sequence(F.ceil(n * least).cast("int"), F.floor(n / least).cast("int"))))
+    return spread.join(right.withColumn("_length", F.length(b)), "_length").drop("_length")
+
+
+def similar(left: DataFrame, right: DataFrame, a: str, b: str, least: float, k: int, by: Sequence[str], ties: Sequence[Column]) -> DataFrame:
+    """The k best right rows of each left row (`by`) at a Levenshtein similarity of at least `least`: `score`, `rank`."""
+    scored = proportional(left, right, a, b, least).withColumn("score", similarity(F.col(a), F.col(b))).filter(F.col("score") >= least)
     w = Window.partitionBy(*by).orderBy(F.desc("score"), *ties)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -91,8 +91,11 @@ def weighted_draws(df: DataFrame, weight: str, draws: int, seed: str, id_col: st
     # 1024 rows of sums at most
     at = points.join(F.broadcast(buckets), (F.col("u") * F.col("all") >= F.col("since")) & (F.col("u") * F.col("all") < F.col("until"))).select("draw", "b", (F.col("u") * F.col("all") - F.col("since")).alias("x"))
     w = Window.partitionBy("b").orderBy("id")
-    rows = ready.withColumn("until", F.sum("w").over(w)).withColumn("since", F.col("until") - F.col("w"))
-    return at.join(rows, "b").filter((F.col("x") >= F.col("since")) & (F.col("x") < F.col("until"))).select("draw", "id")
+    rows = ready.select("b", (F.sum("w").over(w) - F.col("w")).alias("x"), F.col("id").alias("row"), F.lit(None).cast("long").alias("draw"))
+    # a draw takes the last row of its bucket that begins at or before it: both in one order, so that none meet all
+    both = rows.unionByName(at.select("b", "x", F.lit(None).cast(rows.schema["row"].dataType).alias("row"), "draw"))
+    order = Window.partitionBy("b").orderBy("x", F.col("draw").isNotNull(), "row")
+    return both.withColumn("row", F.last("row", ignorenulls=True).over(order)).filter("draw IS NOT NULL").select("draw", F.col("row").alias("id"))
 
 
 def capped_draw(df: DataFrame, source: str, size: str, share: float, seed: str, id_col: str, slack: float = 1.05) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verbamill.functions import python_text
 from verbamill.functions.distance import cer, wer
 from verbamill.functions.text import ARABIC, aggressive, basic, script_aware, words
-from verbamill.operators import evaluation, gates
+from verbamill.operators import evaluation, gates, joins
 from verbamill.plans.registry import query
 from verbamill.session import ship, table
 
@@ -219,15 +219,13 @@ def roc_auc(spark, sf_dir):
     return evaluation.roc_auc(signals(spark, sf_dir), "score", "gold").select(F.round("auc", 6).alias("auc"))
 
 
-@query("retrieval_accuracy", """WITH t AS (SELECT DISTINCT p_name AS name FROM part), x AS (SELECT a.name AS q, b.name AS c, row_number() OVER (PARTITION BY a.name ORDER BY levenshtein(a.name, b.name), b.name) AS r FROM t a JOIN t b ON a.name <> b.name AND abs(length(a.name) - length(b.name)) <= 2),
+@query("retrieval_accuracy", """WITH t AS (SELECT DISTINCT p_name AS name FROM part), x AS (SELECT a.name AS q, b.name AS c, row_number() OVER (PARTITION BY a.name ORDER BY levenshtein(a.name, b.name), b.name) AS r FROM t a JOIN t b ON a.name <> b.name AND least(length(a.name), length(b.name)) >= 0.5 * greatest(length(a.name), length(b.name))),
  g AS (SELECT q, max(CASE WHEN r = 1 AND string_split(q, ' ')[2] = string_split(c, ' ')[2] THEN 1 ELSE 0 END) AS top1, max(CASE WHEN r <= 5 AND string_split(q, ' ')[2] = string_split(c, ' ')[2] THEN 1 ELSE 0 END) AS topk FROM x GROUP BY q)
  SELECT count(*) AS cases, round(avg(top1), 6) AS top1_accuracy, round(avg(topk), 6) AS topk_recall, round((avg(top1) + avg(topk)) / 2, 6) AS mean_of_both FROM g""")
 def retrieval_accuracy(spark, sf_dir):
     """Is the first, or any of the first five, of a name's neighbours of the same noun? The names are a vocabulary."""
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("q")).distinct()
-    from verbamill.operators.joins import banded
-
-    pairs = banded(names, names.select(F.col("q").alias("c")), "q", "c", 2).filter("q <> c")
+    pairs = joins.proportional(names, names.select(F.col("q").alias("c")), "q", "c", 0.5).filter("q <> c")
     ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.levenshtein("q", "c"), "c")))
     same = F.get(F.split("q", " "), 1) == F.get(F.split("c", " "), 1)
     cases = ranked.groupBy("q").agg(F.max(F.when(same & (F.col("r") == 1), 1).otherwise(0)).alias("a"), F.max(F.when(same & (F.col("r") <= 5), 1).otherwise(0)).alias("b"))

@@ -56,20 +56,19 @@ def aliases_pruned(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(lexicon.pruned(F.array("p_brand", "p_type", F.col("p_size").cast("string"))), "|").alias("aliases"))
 
 
-@query("similar_names", f"WITH {NAMES}, x AS (SELECT a.term AS term, b.term AS other, round(1 - CAST(levenshtein(a.term, b.term) AS DOUBLE) / greatest(length(a.term), length(b.term)), 6) AS score, levenshtein(a.term, b.term) AS d, greatest(length(a.term), length(b.term)) AS m FROM n a JOIN n b ON a.term <> b.term AND abs(length(a.term) - length(b.term)) <= 4), y AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY 1 - CAST(d AS DOUBLE) / m DESC, other) AS rank FROM x WHERE d <= 4 AND 1 - CAST(d AS DOUBLE) / m >= 0.5) SELECT term, other, score, CAST(rank AS INTEGER) AS rank FROM y WHERE rank <= 3")
+@query("similar_names", f"WITH {NAMES}, x AS (SELECT a.term AS term, b.term AS other, round(1 - CAST(levenshtein(a.term, b.term) AS DOUBLE) / greatest(length(a.term), length(b.term)), 6) AS score, levenshtein(a.term, b.term) AS d, greatest(length(a.term), length(b.term)) AS m FROM n a JOIN n b ON a.term <> b.term), y AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY 1 - CAST(d AS DOUBLE) / m DESC, other) AS rank FROM x WHERE 1 - CAST(d AS DOUBLE) / m >= 0.5) SELECT term, other, score, CAST(rank AS INTEGER) AS rank FROM y WHERE rank <= 3")
 def similar_names(spark, sf_dir):
     left = names(spark, sf_dir)
-    pairs = joins.banded(left, left.select(F.col("term").alias("other")), "term", "other", 4).filter("term <> other AND levenshtein(term, other, 4) >= 0")
-    scored = pairs.withColumn("s", similarity(F.col("term"), F.col("other"))).filter("s >= 0.5")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("s"), "other")))
-    return ranked.filter("rank <= 3").select("term", "other", F.round("s", 6).alias("score"), "rank")
+    ranked = joins.similar(left, left.select(F.col("term").alias("other")), "term", "other", 0.5, 4, ["term"], [F.col("other")]).filter("term <> other")
+    # a term is the best match of its own, so the others' ranks are one too high
+    return ranked.select("term", "other", F.round("score", 6).alias("score"), (F.col("rank") - 1).alias("rank"))
 
 
-@query("best_match_and_gap", f"WITH {NAMES}, x AS (SELECT a.term AS term, b.term AS other, 1 - CAST(levenshtein(a.term, b.term) AS DOUBLE) / greatest(length(a.term), length(b.term)) AS s FROM n a JOIN n b ON a.term <> b.term AND abs(length(a.term) - length(b.term)) <= 3), r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY s DESC, other) AS k FROM x) SELECT term, max(other) FILTER (k = 1) AS best, round(max(s) FILTER (k = 1), 6) AS score, round(max(s) FILTER (k = 1) - coalesce(max(s) FILTER (k = 2), 0), 6) AS gap FROM r GROUP BY term")
+@query("best_match_and_gap", f"WITH {NAMES}, x AS (SELECT a.term AS term, b.term AS other, 1 - CAST(levenshtein(a.term, b.term) AS DOUBLE) / greatest(length(a.term), length(b.term)) AS s FROM n a JOIN n b ON a.term <> b.term AND least(length(a.term), length(b.term)) >= 0.5 * greatest(length(a.term), length(b.term))), r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY s DESC, other) AS k FROM x) SELECT term, max(other) FILTER (k = 1) AS best, round(max(s) FILTER (k = 1), 6) AS score, round(max(s) FILTER (k = 1) - coalesce(max(s) FILTER (k = 2), 0), 6) AS gap FROM r GROUP BY term")
 def best_match_and_gap(spark, sf_dir):
     """The best candidate of each term, and how far the second lies behind."""
     left = names(spark, sf_dir)
-    pairs = joins.banded(left, left.select(F.col("term").alias("other")), "term", "other", 3).filter("term <> other").withColumn("s", similarity(F.col("term"), F.col("other")))
+    pairs = joins.proportional(left, left.select(F.col("term").alias("other")), "term", "other", 0.5).filter("term <> other").withColumn("s", similarity(F.col("term"), F.col("other")))
     ranked = pairs.withColumn("k", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("s"), "other"))).filter("k <= 2")
     first, second = F.max(F.when(F.col("k") == 1, F.col("s"))), F.max(F.when(F.col("k") == 2, F.col("s")))
     return ranked.groupBy("term").agg(F.max(F.when(F.col("k") == 1, F.col("other"))).alias("best"), F.round(first, 6).alias("score"), F.round(first - F.coalesce(second, F.lit(0.0)), 6).alias("gap"))
@@ -176,12 +175,12 @@ def phonetic_scores(spark, sf_dir):
                         python_text.partial_ratio(a, b).alias("partial"), phonetics.skeleton_score(a, b).alias("skeleton"), longest_common_substring(a, b).alias("shared"), common_prefix(a, b).alias("prefix"))
 
 
-@query("ranked_candidates", f"""WITH {NAMES}, x AS (SELECT a.term AS term, b.term AS other, 1 - CAST(levenshtein(a.term, b.term) AS DOUBLE) / greatest(length(a.term), length(b.term)) AS s, abs(length(a.term) - length(b.term)) AS gap, CASE WHEN starts_with(b.term, 'red') THEN 0 ELSE 1 END AS kind FROM n a JOIN n b ON a.term <> b.term AND abs(length(a.term) - length(b.term)) <= 3)
+@query("ranked_candidates", f"""WITH {NAMES}, x AS (SELECT a.term AS term, b.term AS other, 1 - CAST(levenshtein(a.term, b.term) AS DOUBLE) / greatest(length(a.term), length(b.term)) AS s, abs(length(a.term) - length(b.term)) AS gap, CASE WHEN starts_with(b.term, 'red') THEN 0 ELSE 1 END AS kind FROM n a JOIN n b ON a.term <> b.term AND least(length(a.term), length(b.term)) >= 0.5 * greatest(length(a.term), length(b.term)))
  SELECT term, other, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY s DESC, kind, gap, other) AS rank FROM x) WHERE rank <= 2""")
 def ranked_candidates(spark, sf_dir):
     """Four keys of order: similarity, preferred kind, difference of lengths, then the term."""
     left = names(spark, sf_dir)
-    pairs = joins.banded(left, left.select(F.col("term").alias("other")), "term", "other", 3).filter("term <> other")
+    pairs = joins.proportional(left, left.select(F.col("term").alias("other")), "term", "other", 0.5).filter("term <> other")
     order = [F.desc("s"), F.when(F.col("other").startswith("red"), 0).otherwise(1), F.abs(F.length("term") - F.length("other")), F.col("other")]
     ranked = pairs.withColumn("s", similarity(F.col("term"), F.col("other"))).withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(*order)))
     return ranked.filter("rank <= 2").select("term", "other", "rank")
@@ -258,6 +257,6 @@ def composite_scores(spark, sf_dir):
     """Spelling, compact spelling and sound as one score, for the pairs that lengths leave; the three best of a term."""
     ship(spark)
     left = names(spark, sf_dir)
-    pairs = joins.banded(left, left.select(F.col("term").alias("other")), "term", "other", 3).filter("term <> other")
+    pairs = joins.proportional(left, left.select(F.col("term").alias("other")), "term", "other", 0.5).filter("term <> other")
     scored = pairs.withColumn("score", phonetics.composite_score(F.col("term"), F.col("other")))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "other"))).filter("rank <= 3")
