@@ -262,3 +262,13 @@ def test_upserts_go_on_after_a_restart(spark, tmp_path):
         spark.createDataFrame(batch, "k long, v long, x string").write.mode("append").json(source)
         got = events.upserted(events.trace(spark, source, "k long, v long, x string"), folder, "k", "v")
     assert sorted(tuple(r) for r in got.collect()) == [(1, 2, "c"), (2, 1, "b")]
+
+
+def test_guards_stop_a_run(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id long, s string")
+    held = spark.createDataFrame([("x",), (None,)], "h string")
+    assert joins.asserted_apart(df, F.col("s"), held, F.col("h")).count() == 3 and joins.refused(df, "s", ["b"]).count() == 3
+    with pytest.raises(Exception, match="held-out row"):
+        joins.asserted_apart(df, F.col("s"), spark.createDataFrame([("c",)], "h string"), F.col("h")).collect()
+    with pytest.raises(Exception, match="blocked data set"):
+        joins.refused(df, "s", ["c"]).collect()

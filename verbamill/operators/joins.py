@@ -22,6 +22,26 @@ def leak_guard(df: DataFrame, ids: Column, held: DataFrame, held_ids: Column, ke
     return df.join(leaking, key, "left_anti")
 
 
+def asserted_apart(df: DataFrame, signature: Column, held: DataFrame, held_signature: Column) -> DataFrame:
+    """df as it is, in a plan that fails as soon as a row's signature is that of a held-out row; null signatures are
+    nobody's."""
+    known = held.select(held_signature.alias("_held")).filter("_held IS NOT NULL").distinct().withColumn("_leaks", F.lit(True))
+    met = df.withColumn("_held", signature).join(known, "_held", "left")
+    bad = F.when(F.col("_leaks"), F.raise_error(F.concat(F.lit("held-out row in training data: "), F.col("_held").cast("string"))).cast("boolean")).otherwise(True)
+    return met.filter(bad).select(*df.columns)
+
+
+def refused(df: DataFrame, column: str, blocked: Sequence[str]) -> DataFrame:
+    """df as it is, in a plan that fails on a row whose data set is blocked."""
+    bad = F.when(F.col(column).isin(*blocked), F.raise_error(F.concat(F.lit("blocked data set: "), F.col(column))).cast("boolean")).otherwise(True)
+    return df.filter(bad)
+
+
+def sets_overlap(a: Column, b: Column, least: int = 1) -> Column:
+    """Do two arrays of tokens share at least so many distinct ones?"""
+    return F.size(F.array_intersect(a, b)) >= least
+
+
 def shared_ngrams(df: DataFrame, words: Column, held: DataFrame, held_words: Column, n: int, id_col: str) -> DataFrame:
     """Ids of df that share a run of n words with a held-out row. Runs meet by a 64-bit hash, and only rows that met are
     looked at again, by their words. Runs of the held side are distinct first; where Spark finds them small it sends

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verbamill.functions import phonetics
 from verbamill.functions.text import words
-from verbamill.operators import builders, evaluation, gates, lexicon, spans
+from verbamill.operators import builders, evaluation, gates, joins, lexicon, spans
 from verbamill.plans import strategies
 from verbamill.plans.evaluation import CLIPS, clips
 from verbamill.plans.registry import query
@@ -270,3 +270,35 @@ def correctors_compared(spark, sf_dir):
         one = strategies.corrected(name, rows, terms).select(F.lit(name).alias("name"), "id", "corrected")
         found = one if found is None else found.unionByName(one)
     return found
+
+
+@query("token_sets_overlap", "SELECT a.conv_id, a.turn, len(list_intersect(list_distinct(string_split(a.text, ' ')), list_distinct(string_split(b.text, ' ')))) >= 3 AS alike FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1")
+def token_sets_overlap(spark, sf_dir):
+    """Turns that share at least three words with the next."""
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("w"))
+    after = talk.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
+    return talk.join(after, ["conv_id", "turn"]).select("conv_id", "turn", joins.sets_overlap(F.col("w"), F.col("v"), 3).alias("alike"))
+
+
+@query("head_manifest", "SELECT doc_id, 'audio/' || source || '/' || doc_id || '.wav' AS audio_path FROM documents ORDER BY doc_id LIMIT 25")
+def head_manifest(spark, sf_dir):
+    """The first rows of a manifest with their paths resolved (a preview is the feature)."""
+    rows = table(spark, sf_dir, "documents").orderBy("doc_id").limit(25)
+    return rows.select("doc_id", F.concat(F.lit("audio/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("audio_path"))
+
+
+@query("correction_pairs", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'context: ' || p_type || chr(10) ELSE '' END || 'correct: ' || replace(p_name, 'e', '') AS input, p_name AS output FROM part WHERE replace(p_name, 'e', '') <> p_name")
+def correction_pairs(spark, sf_dir):
+    """Corrections as pairs to train on, with a context where there is one; pairs that change nothing go."""
+    wrong = F.replace("p_name", F.lit("e"), F.lit(""))
+    context = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("context: "), "p_type", F.lit("\n"))).otherwise("")
+    return table(spark, sf_dir, "part").filter(wrong != F.col("p_name")).select("p_partkey", F.concat(context, F.lit("correct: "), wrong).alias("input"), F.col("p_name").alias("output"))
+
+
+@query("guarded_training_rows", "SELECT doc_id, lang FROM documents")
+def guarded_training_rows(spark, sf_dir):
+    """Training rows through the guards that stop a run: no held-out signature, no blocked source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    held = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("benchmark/"), F.col("item_id").cast("string")).alias("s"))
+    apart = joins.asserted_apart(docs, F.concat(F.lit("documents/"), F.col("doc_id").cast("string")), held, F.col("s"))
+    return joins.refused(apart, "source", ["blocked"]).select("doc_id", "lang")
