@@ -53,8 +53,10 @@ def dedup_first_wins(spark, sf_dir):
     """One row for each normalised text, the first by id; rows with an empty key all stay. Keys are hashed, so a text
     is not shuffled, and the first id is a minimum, so a common text is one row for each task."""
     keyed = table(spark, sf_dir, "documents").select("doc_id", dedup_key("text").alias("k"))
-    full = keyed.filter("k <> ''").select("doc_id", F.sha2("k", 256).alias("h")).groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return full.unionAll(keyed.filter("k = ''").select("doc_id"))
+    empty = F.col("k") == ""
+    groups = keyed.select("doc_id", F.when(~empty, F.sha2("k", 256)).alias("h"), F.when(empty, F.col("doc_id")).alias("own")).groupBy("h", "own").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    times = F.when(F.col("h").isNull(), F.col("n")).otherwise(1).cast("int")
+    return groups.select(F.explode(F.array_repeat("doc_id", times)).alias("doc_id"))
 
 
 RUNS = """list_transform(range(1, len(w) - 11), lambda i: list_aggregate(w[i:i + 11], 'string_agg', ' '))"""

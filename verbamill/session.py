@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, app: str = "verbamill") -> SparkSession:
@@ -30,9 +30,20 @@ def local_session(cpus: int | None = None, app: str = "verbamill") -> SparkSessi
     return spark
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+#: Tables of long texts, on which work is dealt evenly however few parts they come in.
+WORDY = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt evenly where a table comes in fewer parts than there are cores to work on them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the base tables; only Spark opens the path."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in WORDY else df
 
 
 def ship(spark: SparkSession) -> None:
