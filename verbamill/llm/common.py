@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from verbamill.session import shared_folder, ship
+from verbamill.session import shared_folder, ship, spread  # noqa: F401
 
 #: Rows turned into Python objects at a time, so that a batch of long texts is not held twice.
 ROWS_AT_ONCE = 256
@@ -23,12 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The same rows, dealt evenly where a table comes in fewer parts than there are cores to work on them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table in the shared folder: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
