@@ -6,8 +6,8 @@ pre-tokens of the whole corpus (at most MOST_FREQUENT) are replayed once, and th
 are replayed by the same function in each slice of documents where they stand (SLICE_BYTES of text), so that no text
 is shuffled: to bring ids that a join finds back to their places would shuffle every document.
 
-Null and empty texts, and tables without rows, have no ids and the digests of no bytes; a very long text is a slice of
-its own. Repeated rows each give a row, null ids stay null. Other columns, whatever their names, are not read."""
+Null and empty texts have no ids and the digests of no bytes, and an empty table gives no rows; a very long text is a
+slice of its own. Repeated rows each give a row, null ids stay null. Other columns, whatever their names, are not read."""
 
 from __future__ import annotations
 

@@ -7,7 +7,9 @@ subset-sum over a bitset of reachable sums, the multiset of others that fills th
 that multiset is used as often as the counts allow. Pieces then find their places from their rank among the pieces of
 their length, which needs no pass over them in order and no group.
 
-Null and empty texts are a document of the end id alone. Repeated rows are packed as documents of their own."""
+Null and empty texts are a document of the end id alone; a very long text is a slice of its own, and many windows.
+Repeated rows are packed as documents of their own, null ids stay null, and an empty table gives no rows. Pieces of
+equal length take places in order of their task and row. Other columns, whatever their names, are not read."""
 
 from __future__ import annotations
 

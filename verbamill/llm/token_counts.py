@@ -4,7 +4,8 @@ Pieces are counted once for each distinct pre-token of the corpus. A document's
 frequencies: those of the frequent pre-tokens are looked up in a dictionary of at most MOST_FREQUENT entries, the
 others are joined to the table of counts by pre-token.
 
-Null and empty texts have 0 bytes and 0 tokens. Repeated rows each give a row. Other columns are not read."""
+Null and empty texts have 0 bytes and 0 tokens, and an empty table gives no rows; a very long text is counted as a
+whole. Repeated rows each give a row, null ids stay null. Other columns, whatever their names, are not read."""
 
 from __future__ import annotations
 
