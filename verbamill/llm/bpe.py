@@ -20,14 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
-from public_tokenizers import PATTERN, path
+from public_tokenizers import path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, parts_of, written
+from .common import in_arrow, written
 from .ragged import Ragged, bytes_of, slices
-from .vocabulary import frequent_band, is_frequent, pretoken_counts
+from .vocabulary import Pretokens, distinct_parts, frequent_band, is_frequent, pretoken_counts
 
 
 def load_ranks(rank_file: str) -> dict[bytes, int]:
@@ -198,54 +197,26 @@ def pretoken_ids(vocabulary: DataFrame, rank_file: str) -> DataFrame:
     return in_arrow(vocabulary.select("pretoken", "freq"), run, "pretoken string, freq long, ids binary")
 
 
-#: Parts that are pre-tokens as they stand.
-_PLAIN = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
-
-
 class BlockEncoder:
     """Ids of whole texts, a block of them at a time; frequent: pre-tokens and their ids."""
 
     def __init__(self, rank_file: str, frequent: tuple[pa.Array, Ragged]):
-        self.vocabulary, (self.frequent, self.frequent_ids) = vocabulary_of(rank_file), frequent
-        self.find = regex.compile(PATTERN).findall
-
-    def pretokens(self, parts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """The pre-tokens of distinct parts, and how many each part has; plain parts first, then the others."""
-        plain = pc.match_substring_regex(parts, _PLAIN)
-        found = [self.find(x) for x in parts.filter(pc.invert(plain)).to_pylist()]
-        plain = plain.to_numpy(zero_copy_only=False)
-        sizes = np.ones(len(parts), np.int64)
-        sizes[~plain] = [len(x) for x in found]
-        return pa.concat_arrays([parts.filter(pa.array(plain)), pa.array([y for x in found for y in x], pa.string())]), sizes, plain
+        self.vocabulary, (self.frequent, self.frequent_ids), self.pretokens = vocabulary_of(rank_file), frequent, Pretokens()
 
     def part_ids(self, parts: pa.Array) -> Ragged:
-        pretokens, sizes, plain = self.pretokens(parts)
-        coded = pretokens.dictionary_encode()
-        known = pc.index_in(coded.dictionary, value_set=self.frequent)
+        words, runs = self.pretokens.split(parts)
+        known = pc.index_in(words, value_set=self.frequent)
         rare = pc.is_null(known).to_numpy(zero_copy_only=False)
         where = np.empty(len(rare), np.int64)
         where[~rare] = known.drop_null().to_numpy()
         where[rare] = len(self.frequent) + np.arange(int(rare.sum()))
-        table = Ragged.joined([self.frequent_ids, self.vocabulary.encode(coded.dictionary.filter(pa.array(rare)))])
-        ids = table.take(where[coded.indices.to_numpy()])
-        # back from plain parts first to the order of the parts
-        order = np.empty(len(plain), np.int64)
-        n = int(plain.sum())
-        order[plain], order[~plain] = np.arange(n), np.arange(n, len(plain))
-        return ids.regrouped(np.concatenate([sizes[plain], sizes[~plain]])).take(order)
+        table = Ragged.joined([self.frequent_ids, self.vocabulary.encode(words.filter(pa.array(rare)))])
+        return table.take(where[runs.values]).regrouped(runs.sizes)
 
     def encode(self, texts: list[str | None]) -> Ragged:
         """A run of ids for each text."""
-        parts = parts_of(texts)
-        counts, flat = parts.value_lengths().to_numpy(), parts.flatten()
-        ends = counts.cumsum()
-        later = np.ones(len(flat), bool)
-        later[ends - counts] = False  # every text has a first part, which no space precedes
-        first, others = (flat.filter(pa.array(x)).dictionary_encode() for x in (~later, later))
-        distinct = pa.concat_arrays([first.dictionary, pc.binary_join_element_wise(pa.scalar(" "), others.dictionary, pa.scalar(""))])
-        codes = np.empty(len(flat), np.int64)
-        codes[~later], codes[later] = first.indices.to_numpy(), others.indices.to_numpy().astype(np.int64) + len(first.dictionary)
-        return self.part_ids(distinct).take(codes).regrouped(counts)
+        parts, codes, counts = distinct_parts(texts)
+        return self.part_ids(parts).take(codes).regrouped(counts)
 
 
 def encode_documents(docs: DataFrame, rank_file: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:

@@ -104,14 +104,10 @@ _GAP = re.compile(r" \s")
 _BREAK = re.compile(r" (?=\S)")
 
 
-def chunks(text: str) -> list[str]:
-    """Cuts before each space that a non-space follows; every later part stands for a space and itself. No pre-token
-    of the byte-level pattern crosses such a cut, so parts can be split and looked up one by one."""
-    return _BREAK.split(text) if _GAP.search(text) else text.split(" ")
-
-
 def parts_of(texts: list[str | None]) -> pa.ListArray:
-    """The same parts of each text as an array of lists; a null or empty text has one empty part."""
+    """Each text cut before each space that a non-space follows, as an array of lists: every later part stands for a space
+    and itself. No pre-token of the byte-level pattern crosses such a cut, so parts can be split and looked up one by
+    one. A null or empty text has one empty part."""
     gaps = [bool(x) and _GAP.search(x) is not None for x in texts]
     plain = pc.split_pattern(pa.array(["" if g else x or "" for x, g in zip(texts, gaps)], pa.string()), " ")
     if not any(gaps):

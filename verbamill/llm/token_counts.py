@@ -10,17 +10,18 @@ whole. Repeated rows each give a row, null ids stay null. Other columns, whateve
 from __future__ import annotations
 
 import os
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import regex
-from public_tokenizers import PATTERN, path
+import pyarrow.compute as pc
+from public_tokenizers import path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, in_arrow, rows_of, written
-from .vocabulary import END, frequent_band, is_frequent, pieces_of, pretoken_counts
+from .common import in_arrow, written
+from .ragged import Ragged, slices
+from .vocabulary import END, Pretokens, distinct_parts, frequent_band, is_frequent, pieces_of, pretoken_counts
 
 
 def piece_counts(vocabulary: DataFrame, tokenizer_file: str) -> DataFrame:
@@ -40,6 +41,32 @@ def piece_counts(vocabulary: DataFrame, tokenizer_file: str) -> DataFrame:
     return in_arrow(vocabulary.select("pretoken", "freq"), run, "pretoken string, freq long, n_pieces int")
 
 
+class SliceCounter:
+    """Tokens of whole texts, a slice of them at a time; known: frequent pre-tokens and their counts of pieces."""
+
+    def __init__(self, known: tuple[pa.Array, np.ndarray]):
+        (self.known, self.counts), self.pretokens = known, Pretokens()
+
+    def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """For each text its special tokens and the pieces of its known pre-tokens; and of the others, one for each text
+        and pre-token: (text, pre-token, times)."""
+        pieces, owners, totals = pieces_of(texts, END)
+        if not pieces:
+            return totals, np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, np.int64)
+        parts, codes, counts = distinct_parts(pieces)
+        words, runs = self.pretokens.split(parts)
+        at = pc.index_in(words, value_set=self.known)
+        rare = pc.is_null(at).to_numpy(zero_copy_only=False)
+        each = np.where(rare, 0, self.counts[pc.fill_null(at, 0).to_numpy()]) if len(self.known) else np.zeros(len(words), np.int64)
+        sums = lambda values, sizes: np.diff(np.append(0, values.cumsum())[np.append(0, sizes.cumsum())])
+        of_pieces = sums(sums(each[runs.values], runs.sizes)[codes], counts)
+        np.add.at(totals, owners, of_pieces)
+        missing = rare[runs.values]
+        found = Ragged(runs.values[missing], sums(missing.astype(np.int64), runs.sizes)).take(codes).regrouped(counts)
+        key, times = np.unique(np.repeat(owners, found.sizes) * len(words) + found.values, return_counts=True)
+        return totals, key // len(words), words.take(pa.array(key % len(words))), times
+
+
 def token_counts(docs: DataFrame, tokenizer_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_tokens), a row for each row of docs."""
     spark = docs.sparkSession
@@ -47,39 +74,19 @@ def token_counts(docs: DataFrame, tokenizer_file: str | None = None, id_col: str
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     vocabulary = written(piece_counts(pretoken_counts(docs.select("text"), END), tokenizer_file), "pieces")
     lowest = frequent_band(vocabulary)
-    frequent = spark.sparkContext.broadcast({r[0]: r[1] for r in vocabulary.filter(is_frequent(lowest)).select("pretoken", "n_pieces").collect()})
+    held = vocabulary.filter(is_frequent(lowest)).select("pretoken", "n_pieces").collect()
+    frequent = spark.sparkContext.broadcast((pa.array([r[0] for r in held], pa.string()), np.array([r[1] for r in held], np.int64)))
     rare = vocabulary.filter(~is_frequent(lowest)).select("pretoken", "n_pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, cut, known = regex.compile(PATTERN).findall, pieces_of(END), frequent.value
-
-        def look(part: str) -> tuple[int, tuple]:
-            found = find(part)
-            return sum(known.get(x, 0) for x in found), tuple(x for x in found if x not in known)
-
-        later = Bounded(lambda part: look(" " + part))
-        for rows in rows_of(batches):
-            keys, counts, rids, ids, n_bytes = [], [], [], [], []
-            for rid, doc_id, size, text in rows:
-                total, rest = 0, Counter()
-                if text:
-                    firsts, others, total = cut(text)
-                    for part in firsts:
-                        n, missing = look(part)
-                        total += n
-                        rest.update(missing)
-                    for part, times in Counter(others).items():
-                        n, missing = later[part]
-                        total += n * times
-                        for x in missing:
-                            rest[x] += times
-                # the row of the document itself, under a key that no pre-token has
-                keys += [f"\x00row{rid}", *rest]
-                counts += [total, *rest.values()]
-                rids += [rid] * (1 + len(rest))
-                ids += [doc_id] * (1 + len(rest))
-                n_bytes += [size, *[0] * len(rest)]
-            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(ids, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], ["rid", "doc_id", "n_bytes", "pretoken", "times"])
+        counter = SliceCounter(frequent.value)
+        for part in slices(batches, "text"):
+            totals, owner, words, times = counter.count(part.column("text").to_pylist())
+            rids, ids, at = part.column("rid"), part.column("doc_id"), pa.array(owner)
+            # the row of the document itself, under a key that no pre-token has
+            heads = pc.binary_join_element_wise(pa.scalar("\x00row"), rids.cast(pa.string()), pa.scalar(""))
+            columns = [(rids, rids.take(at)), (ids, ids.take(at)), (part.column("n_bytes"), pa.array(np.zeros(len(owner), np.int64))), (heads, words), (pa.array(totals), pa.array(times))]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in columns], ["rid", "doc_id", "n_bytes", "pretoken", "times"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     counted = in_arrow(rows, run, "rid long, doc_id long, n_bytes long, pretoken string, times long").join(rare, "pretoken", "left")
