@@ -39,6 +39,8 @@ PHRASES = (
     (r"(?U)\bان\s*شاء\s*الله\b", "ان شاء الله"), (r"(?U)\bانشالله\b", "ان شاء الله"), (r"(?U)\bما\s*شاء\s*الله\b", "ما شاء الله"),
     (r"(?U)\bماشاءالله\b", "ما شاء الله"), (r"(?U)\bاهلل\b", "الله"), (r"(?U)\bاللو\b", "الله"), ("اهلل", "الله"), ("اللو", "الله"),
 )
+# The separators of Unicode's class Zs, which SQL's trim cuts off.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 # The entities that pages use most.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
@@ -65,6 +67,12 @@ def squeezed(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_text(c), r"[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]+", " "))
 
 
+def trimmed(c: Column) -> Column:
+    """No separators (Zs) at the ends, as SQL's trim has it. It has one parameter, so that F.transform can be given it: F.trim
+    has a second one, the characters to cut, and would be handed the element's position there."""
+    return F.trim(c, F.lit(SPACES))
+
+
 def words(c: Column | str) -> Column:
     """Words between ASCII white space, none of them empty."""
     return F.filter(F.split(_text(c), r"[ \t\n\r]+"), lambda w: w != "")
