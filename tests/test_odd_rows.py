@@ -41,3 +41,17 @@ LONG = " ".join(["word"] * 217)
 )
 def test_passages(compared, text, passages, chars):
     assert compared("mixed_passages", documents=([(1, text), (2, None), (3, "\n")], "doc_id long, text string")) == [(chars, 1, passages)]
+
+
+@pytest.mark.parametrize(
+    ("text", "sentences", "chars"),
+    [
+        ("0 is a digit here 0. 1 is another 1. 22 is two of 2", 3, 20 + 15 + 14),
+        ("Somewhere in. 19.37.233.111", 2, 13 + 13),
+        ("\u00a0of nine ch\u2003! \u1680tenletters\u3000 ", 2, 12 + 10),
+        ("of one part.\x0bof one part", 1, 24),
+        ("of two parts\x01of two parts.\x01 of three parts", 3, 12 + 13 + 14),
+    ],
+)
+def test_sentences(compared, text, sentences, chars):
+    assert set(compared("sentence_split", documents=([(1, text), (2, None), (3, "")], "doc_id long, text string"))) == {(chars, 1, sentences), (0, 2, 0), (0, 3, 0)}

@@ -253,8 +253,9 @@ def vowels(c: Column | str) -> Column:
     return F.translate(x, "aiouāīūēō", "sssslllll")
 
 
-def sentences(c: Column | str, least: int = 10) -> Column:
-    return F.filter(F.transform(F.split(_text(c), r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) >= least)
+def sentences(c: Column | str, least: int = 10, at: str = r"(?<=[.!?])[ \t\n\f\r]+") -> Column:
+    """Pieces of at least `least` characters between the ends of sentences (`at`), without separators at their ends."""
+    return F.filter(F.transform(F.split(_text(c), at), trimmed), lambda s: F.length(s) >= least)
 
 
 def paragraphs(c: Column | str, least: int = 6, most: int = 220) -> Column:
