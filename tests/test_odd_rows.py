@@ -55,3 +55,31 @@ def test_passages(compared, text, passages, chars):
 )
 def test_sentences(compared, text, sentences, chars):
     assert set(compared("sentence_split", documents=([(1, text), (2, None), (3, "")], "doc_id long, text string"))) == {(chars, 1, sentences), (0, 2, 0), (0, 3, 0)}
+
+
+def scored(texts, quality):
+    """documents and labels of these texts."""
+    return {
+        "documents": ([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string"),
+        "labels": ([(i, q, 0) for i, q in enumerate(quality)], "doc_id long, quality int, toxic int"),
+    }
+
+
+TIE = " ".join([f"w{i}" for i in range(57)] + ["w0"] * 743)  # 0.07125, whose scaled double lies below the half
+
+
+def test_thresholds_round_and_keep_what_has_no_score(compared):
+    rows = compared("threshold_table", **scored([TIE, None, "a b"], [1, 1, 0]))
+    assert {r[3]: (r[4], r[0], r[1], r[2]) for r in rows} == {1.0: (0, 1, 0.0, 0.0), 0.0712: (1, 1, 0.5, 0.5), None: (2, 1, 0.666667, 1.0)}
+
+
+def test_thresholds_without_any_correct(compared):
+    assert [str(r) for r in compared("threshold_table", **scored(["a", "a"], [0, None]))] == ["(2, 0.0, nan, 1.0, 0)"]
+
+
+def test_thresholds_round_precision(compared):
+    assert compared("threshold_table", **scored(["a"] * 640, [1] * 41 + [0] * 599)) == [(599, 0.064062, 1.0, 1.0, 41)]
+
+
+def test_a_missing_score_is_no_threshold(compared):
+    assert sorted(compared("confidence_thresholds", **scored([TIE, None, "a b"], [1, 1, 1]))) == [("auto", 1.0, 0.666667, 0.0712), ("review", 1.0, 0.666667, 0.0712)]

@@ -47,9 +47,16 @@ def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
     return [p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1")]
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """c to so many digits as DuckDB rounds doubles: the scaled double to the nearest whole number, halves away from zero.
+    F.round takes the decimal digits of c instead, which are on the other side of some halves (57 / 800 to four)."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def threshold_table(scored: DataFrame, score: str, correct: str) -> DataFrame:
-    """(score, tp, fp, precision, recall) for every distinct score as a threshold. Sums by score come first, so the
-    running totals pass over distinct scores alone, in ranges that are ordered apart."""
+    """(score, tp, fp, precision, recall) for every distinct score as a threshold, rows without a score last, below all
+    others; recall is not a number where nothing is correct. Sums by score come first, so the running totals pass over
+    distinct scores alone, in ranges that are ordered apart."""
     by = scored.groupBy(score).agg(F.sum(F.col(correct).cast("long")).alias("_t"), F.sum((1 - F.col(correct)).cast("long")).alias("_f"))
     # running sums: within blocks of scores, then over the blocks' totals
     by = by.withColumn("_block", F.floor(F.col(score) * 256))
@@ -58,8 +65,9 @@ def threshold_table(scored: DataFrame, score: str, correct: str) -> DataFrame:
     blocks = by.groupBy("_block").agg(F.sum("_t").alias("bt"), F.sum("_f").alias("bf"))
     above = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("at", F.coalesce(F.sum("bt").over(above), F.lit(0))).withColumn("af", F.coalesce(F.sum("bf").over(above), F.lit(0))).withColumn("all", F.sum("bt").over(Window.partitionBy()))
-    out = inside.join(blocks.select("_block", "at", "af", "all"), "_block").withColumn("tp", F.col("_tp") + F.col("at")).withColumn("fp", F.col("_fp") + F.col("af"))
-    return out.select(score, "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.when(F.col("all") > 0, F.col("tp") / F.col("all")).alias("recall"))
+    met = inside.alias("l").join(blocks.select("_block", "at", "af", "all").alias("r"), F.col("l._block").eqNullSafe(F.col("r._block"))).drop("_block")
+    out = met.withColumn("tp", F.col("_tp") + F.col("at")).withColumn("fp", F.col("_fp") + F.col("af"))
+    return out.select(score, "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.when(F.col("all") > 0, F.col("tp") / F.col("all")).otherwise(float("nan")).alias("recall"))
 
 
 def lowest_threshold(table: DataFrame, score: str, least: float) -> DataFrame:

@@ -181,9 +181,11 @@ SIGNALS = """s AS (SELECT doc_id, coalesce(quality, 0) AS gold, toxic, CASE WHEN
 
 
 def signals(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    """Marks and scores of labelled documents; they are computed before the join, so that no text is shuffled."""
     parts = F.split("text", " ")
-    return docs.select("doc_id", "lang", F.coalesce("quality", F.lit(0)).alias("gold"), "toxic", F.when(F.col("text").rlike("[#*$%&|]"), 0).otherwise(1).alias("predicted"), F.round(F.size(F.array_distinct(parts)) / F.size(parts), 4).alias("score"))
+    score = evaluation.rounded(F.size(F.array_distinct(parts)) / F.size(parts), 4)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("text").rlike("[#*$%&|]"), 0).otherwise(1).alias("predicted"), score.alias("score"))
+    return docs.join(table(spark, sf_dir, "labels").select("doc_id", F.coalesce("quality", F.lit(0)).alias("gold"), "toxic"), "doc_id")
 
 
 @query("stage_precision_recall", f"""WITH {SIGNALS}, c AS (SELECT count(*) FILTER (gold = 1 AND predicted = 1) AS tp, count(*) FILTER (gold = 0 AND predicted = 1) AS fp, count(*) FILTER (gold = 1 AND predicted = 0) AS fn, count(*) FILTER (gold = 0 AND predicted = 0) AS tn, lang FROM s GROUP BY GROUPING SETS ((), (lang)))
@@ -203,7 +205,7 @@ THRESHOLDS = f"""WITH {SIGNALS}, b AS (SELECT score, sum(gold) AS t, sum(1 - gol
 @query("threshold_table", f"{THRESHOLDS} SELECT score, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(CAST(tp AS DOUBLE) / (tp + fp), 6) AS precision, round(CAST(tp AS DOUBLE) / n, 6) AS recall FROM r")
 def threshold_table(spark, sf_dir):
     out = evaluation.threshold_table(signals(spark, sf_dir), "score", "gold")
-    return out.withColumn("precision", F.round("precision", 6)).withColumn("recall", F.round("recall", 6))
+    return out.withColumns({x: evaluation.rounded(F.col(x), 6) for x in ("precision", "recall")})
 
 
 @query("confidence_thresholds", f"""{THRESHOLDS}, p AS (SELECT score, CAST(tp AS DOUBLE) / (tp + fp) AS precision, CAST(tp AS DOUBLE) / n AS recall FROM r),
